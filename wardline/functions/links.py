@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from wardline import fixed_values as V
-from wardline.functions.text import any_of, bind, casefold, nfkc
+from wardline.functions.text import bind, casefold, constant, nfkc
 
 _BRACKETED = r"(?:[^/?#]*?://)?(?:[^/?#]*@)?\[[^\]@/?#]*\]"
 _TAIL = rf"[{V.TRAILING_PUNCTUATION}]*"
@@ -148,7 +148,7 @@ def has_nested_suffix(domain: Column, suffixes: tuple[str, ...]) -> Column:
         F.split(domain, r"\."),
         lambda labels: F.arrays_overlap(
             F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0))),
-            F.array(*[F.lit(s) for s in suffixes]).cast("array<string>"),
+            constant(list(suffixes), "array<string>"),
         ),
     )
 
@@ -175,11 +175,9 @@ def brand_labels(folded: Column) -> Column:
 def _lookalike(link: Column, catalog: Catalog) -> Column:
     if not catalog.brands:
         return F.lit(False)
-    brands = F.array(
-        *[
-            F.struct(F.lit(b).alias("brand"), F.array(*[F.lit(d) for d in ds]).alias("domains"))
-            for b, ds in catalog.brands
-        ]
+    brands = constant(
+        [{"brand": b, "domains": list(d)} for b, d in catalog.brands],
+        "array<struct<brand:string,domains:array<string>>>",
     )
     folded = fold_confusables(link.domain)
     return bind(
@@ -199,7 +197,10 @@ def label_link(link: Column, catalog: Catalog, lookalike: Column | None = None)
         F.when(link.domain.isNull(), F.lit(None).cast("string"))
         .when(link.has_userinfo, V.LABEL_CREDENTIALS)
         .when(link.is_ip, V.LABEL_IP)
-        .when(link.domain.isin(*catalog.shorteners), V.LABEL_SHORTENED)
+        .when(
+            F.array_contains(constant(list(catalog.shorteners), "array<string>"), link.domain),
+            V.LABEL_SHORTENED,
+        )
         .when(is_lookalike, V.LABEL_LOOKALIKE)
         .when(has_nested_suffix(link.domain, catalog.nested_suffixes), V.LABEL_DOMAIN_IN_SUBDOMAIN)
         .when(link.mixed_script, V.LABEL_MIXED_SCRIPT)

@@ -157,11 +157,10 @@ def minimize_answer(text: Column, catalog: Catalog = BASE_CATALOG) -> Column:
 
 def redaction_counts(minimized: Column) -> Column:
     """struct with one count per token kind found in redacted text."""
-    return F.struct(
-        *[
-            F.regexp_count(
-                minimized, F.lit(r"\[LINK(?:: [a-z-]+)?\]" if t == "LINK" else rf"\[{t}\]")
-            ).alias(t.lower())
-            for t in V.REDACTION_TOKENS
-        ]
+    shapes = {t: rf"\[{t}\]" for t in V.REDACTION_TOKENS} | {"LINK": r"\[LINK(?:: [a-z-]+)?\]"}
+    return bind(
+        minimized,
+        lambda text: F.struct(
+            *[F.regexp_count(text, F.lit(p)).alias(t.lower()) for t, p in shapes.items()]
+        ),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +17,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def constant(value, schema: str) -> Column:
+    """A nested Python value as one literal: the plan stays small however long the value is."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), F.lit(schema))
+
+
 def any_of(conditions: list[Column]) -> Column:
     """OR of conditions as a balanced tree, so that long lists stay shallow."""
     if not conditions:

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from wardline.functions.text import constant  # noqa: F401 - shared by the operators
+
 INLINE_LIMIT = 4000
 SALTS = 16
 
@@ -47,6 +49,15 @@ def salted_join(
     return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer files than there are cores, dealt out over all cores; larger input as it is.
+
+    A single small file is often one row group and thus one task. With many files nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def rate(numerator: Column, denominator: Column, digits: int | None = 4) -> Column:
     """numerator / denominator, zero for an empty denominator, rounded unless digits is None."""
     value = F.when(denominator == 0, F.lit(0.0)).otherwise(

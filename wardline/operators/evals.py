@@ -23,8 +23,10 @@ def json_payload(raw: Column) -> Column:
     ).otherwise(text)
 
     def usable(candidate: Column) -> Column:
-        parsed = F.try_parse_json(candidate)
-        return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), candidate)
+        # Inside brackets, anything after the first value is an error or a second element.
+        listed = F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]")))
+        single = F.size(listed.cast("array<variant>")) == 1
+        return F.when(single & F.schema_of_variant(listed).startswith("ARRAY<OBJECT"), candidate)
 
     return bind(
         bare, lambda t: F.coalesce(usable(t), usable(F.regexp_extract(t, r"(?s)\{.*\}", 0)))

@@ -87,8 +87,13 @@ def brand_lookalikes(domains: DataFrame, brands: DataFrame) -> DataFrame:
     hosts = domains.select("domain", "mixed_script").distinct()
     folded = hosts.withColumn("folded", L.fold_confusables(F.col("domain")))
     names = brands.select("brand").distinct()
-    literals = names.select(F.col("brand").alias("lit_id"), F.col("brand").alias("needle"))
-    inside = match_literals(folded, "domain", "folded", literals).withColumnRenamed("lit_id", "brand")
+    keyed = names.withColumn("lit_id", F.xxhash64("brand"))
+    literals = keyed.select("lit_id", F.col("brand").alias("needle"))
+    inside = (
+        match_literals(folded, "domain", "folded", literals)
+        .join(keyed, "lit_id")
+        .select("domain", "brand")
+    )
     labels = folded.select(
         "domain", F.explode(F.array_distinct(L.brand_labels(F.col("folded")))).alias("label")
     )

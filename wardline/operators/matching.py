@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.operators.common import INLINE_LIMIT, pages
+from wardline.operators.common import INLINE_LIMIT, constant, pages
 
 _GRAM = 3
 
 
+def one_of_literals(needles: list[str]) -> str:
+    """A pattern that finds any of the literals in one scan of a text.
+
+    Shared beginnings are written once, so at each position only a few characters are compared
+    however many literals there are. A literal that starts with a shorter one adds nothing.
+    """
+
+    def escape(text: str) -> str:
+        return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
+
+    def build(sorted_texts: list[str]) -> str:
+        if not sorted_texts[0]:
+            return ""
+        branches, start = [], 0
+        while start < len(sorted_texts):
+            stop = start
+            while stop < len(sorted_texts) and sorted_texts[stop][0] == sorted_texts[start][0]:
+                stop += 1
+            group = sorted_texts[start:stop]
+            shared = commonprefix([group[0], group[-1]])
+            branches.append(escape(shared) + build([t[len(shared):] for t in group]))
+            start = stop
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return build(sorted(set(needles)))
+
+
 def matching_ids(text: Column, rows: list, is_regex: bool = False) -> Column:
     """Array of ``lit_id`` for the rows whose needle occurs in ``text``; no join involved."""
-    hits = [
-        F.when(text.rlike(r.needle) if is_regex else text.contains(r.needle), F.lit(r.lit_id))
-        for r in rows
-    ]
-    return F.array_compact(F.array(*hits))
+    if is_regex:
+        return F.array_compact(
+            F.array(*[F.when(text.rlike(r.needle), F.lit(r.lit_id)) for r in rows])
+        )
+    pack = constant(
+        [{"i": r.lit_id, "n": r.needle} for r in rows], "array<struct<i:bigint,n:string>>"
+    )
+    found = F.transform(F.filter(pack, lambda r: F.contains(text, r.n)), lambda r: r.i)
+    return F.when(text.rlike(one_of_literals([r.needle for r in rows])), found)
 
 
 def match_literals(
@@ -27,40 +60,57 @@ def match_literals(
 ) -> DataFrame:
     """(id_col, lit_id) for each literal contained in each text.
 
-    ``literals`` has ``lit_id`` and ``needle``. Long literals meet texts through an equi-join on
-    their rarest three-letter piece and are then verified; literals shorter than that are compiled
-    into expressions page by page. Both ways are exact and neither is a cross join.
+    ``literals`` has ``lit_id`` (a number) and ``needle``. A literal that holds a whole word between
+    two spaces meets the texts on its rarest such word, any other one on its rarest three letters;
+    what meets is then verified. Literals shorter than that go into expressions page by page. Every
+    way is exact and none compares all texts with all literals.
     """
     texts = texts.select(id_col, F.col(text_col).alias("_text"))
-    found = []
-    for page in pages(literals.filter(F.length("needle") < _GRAM), ["lit_id"], page_size):
-        found.append(
-            texts.select(id_col, F.explode(matching_ids(F.col("_text"), page)).alias("lit_id"))
-        )
+    length = F.length("needle")
+    parts = []
+    for page in pages(literals.filter(length < _GRAM), ["lit_id"], page_size):
+        ids = F.explode(matching_ids(F.col("_text"), page)).alias("lit_id")
+        parts.append(texts.select(id_col, ids))
+
+    def words(text: str) -> Column:
+        return F.split(text, " ")
 
     def grams(text: str) -> Column:
-        every = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=({'.' * _GRAM}))"), F.lit(1))
-        return F.explode(F.array_distinct(every)).alias("gram")
-
-    long = literals.filter(F.length("needle") >= _GRAM)
-    pieces = long.select("lit_id", "needle", grams("needle"))
-    commonness = pieces.groupBy("gram").agg(F.count("*").alias("uses"))
-    anchors = (
-        pieces.join(commonness, "gram")
-        .groupBy("lit_id", "needle")
-        .agg(F.min(F.struct("uses", "gram")).alias("rarest"))
-        .select("lit_id", "needle", F.col("rarest.gram").alias("gram"))
+        return F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=({'.' * _GRAM}))"), F.lit(1))
+
+    inner = F.filter(
+        F.slice(words("needle"), F.lit(2), F.greatest(F.size(words("needle")) - 2, F.lit(0))),
+        lambda w: w != "",
     )
-    # Only ids travel with the pieces; the text itself is shuffled once, to verify candidates.
-    candidates = texts.select(id_col, grams("_text")).join(anchors, "gram").drop("gram")
-    verified = (
-        candidates.join(texts, id_col)
-        .filter(F.col("_text").contains(F.col("needle")))
-        .select(id_col, "lit_id")
+    keyed = literals.filter(length >= _GRAM).withColumn("_inner", inner)
+    with_word = keyed.filter(F.size("_inner") > 0)
+    without = keyed.filter(F.size("_inner") == 0)
+    for some, keys, pieces in ((with_word, F.col("_inner"), words), (without, grams("needle"), grams)):
+        if some.isEmpty():
+            continue
+        anchors = _rarest(some.select("lit_id", "needle", F.explode(F.array_distinct(keys)).alias("key")))
+        key = F.explode(F.array_distinct(pieces("_text"))).alias("key")
+        # Only ids travel with the pieces; the text itself is shuffled once, to verify candidates.
+        candidates = texts.select(id_col, key).join(anchors, "key").drop("key")
+        verified = candidates.join(texts, id_col).filter(F.contains("_text", "needle"))
+        parts.append(verified.select(id_col, "lit_id"))
+    if not parts:
+        return texts.select(id_col, F.lit(None).cast("bigint").alias("lit_id")).filter(F.lit(False))
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged
+
+
+def _rarest(pieces: DataFrame) -> DataFrame:
+    """(lit_id, needle, key): of each literal's keys the one that fewest literals share."""
+    uses = pieces.groupBy("key").agg(F.count("*").alias("uses"))
+    return (
+        pieces.join(uses, "key")
+        .groupBy("lit_id", "needle")
+        .agg(F.min(F.struct("uses", "key")).alias("rarest"))
+        .select("lit_id", "needle", F.col("rarest.key").alias("key"))
     )
-    for part in found:
-        verified = verified.unionByName(part)
-    return verified
 
 
 def match_regexes(

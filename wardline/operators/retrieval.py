@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions.text import casefold, normalize_text, strip
-from wardline.operators.common import INLINE_LIMIT, bounded_rows, first_failure, split_valid
-from wardline.operators.matching import match_literals
+from wardline.operators.common import INLINE_LIMIT, bounded_rows, constant, split_valid
+from wardline.operators.matching import match_literals, one_of_literals
 
 _STRINGS = "array<string>"
+_CUES = "array<struct<card_id:string,score:bigint>>"
 
 
 def load_cards(cards: DataFrame) -> dict[str, DataFrame]:
@@ -79,25 +80,27 @@ def cue_scores(
 
 
 def _cue_array(normalized: Column, rows: list) -> Column:
+    """(card_id, score) of the cards with an alias in the text; one scan when there is none."""
+    empty = F.array().cast(_CUES)
+    if not rows:
+        return empty
     by_card: dict[str, list[str]] = {}
     for row in rows:
         by_card.setdefault(row.card_id, []).append(row.alias)
-    counted = [
-        F.struct(
-            F.lit(card).alias("card_id"),
-            _sum([normalized.contains(a).cast("long") for a in sorted(found)]).alias("score"),
-        )
-        for card, found in sorted(by_card.items())
-    ]
-    listed = F.array(*counted) if counted else F.array().cast("array<struct<card_id:string,score:bigint>>")
-    return F.filter(listed, lambda c: c.score > 0)
-
-
-def _sum(terms: list[Column]) -> Column:
-    while len(terms) > 1:
-        pairs = [terms[i : i + 2] for i in range(0, len(terms), 2)]
-        terms = [p[0] + p[1] if len(p) == 2 else p[0] for p in pairs]
-    return terms[0]
+    pack = constant(
+        [{"card_id": c, "aliases": sorted(a)} for c, a in sorted(by_card.items())],
+        "array<struct<card_id:string,aliases:array<string>>>",
+    )
+    counted = F.transform(
+        pack,
+        lambda c: F.struct(
+            c.card_id.alias("card_id"),
+            F.size(F.filter(c.aliases, lambda a: F.contains(normalized, a))).cast("bigint").alias("score"),
+        ),
+    )
+    scored = F.filter(counted, lambda c: c.score > 0)
+    may_match = normalized.rlike(one_of_literals([r.alias for r in rows]))
+    return F.when(may_match, scored).otherwise(empty)
 
 
 def rank_cards(
@@ -197,49 +200,55 @@ def retrieve(
             .withColumn("retrieval_status", F.lit("empty"))
             .withColumn("reviewed_case_ids", empty)
         )
-    texts = messages.withColumn("_cue_text", normalize_text(F.col("minimized")))
-    rule_ids = F.transform("hits", lambda h: h.rule_id)
-    kinds = F.transform("signals", lambda s: s.kind)
-    found_by_card: dict[str, list[str]] = {}
-    for row in alias_rows:
-        found_by_card.setdefault(row.card_id, []).append(row.alias)
-
-    def literals(values) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast(_STRINGS)
-
-    def entry(row) -> Column:
-        ruled = F.arrays_overlap("_rule_ids", literals(row.trigger_rule_ids or []))
-        signalled = F.arrays_overlap("_kinds", literals(row.trigger_signal_kinds or []))
-        cues = sorted(found_by_card.get(row.id, []))
-        score = _sum([F.col("_cue_text").contains(a).cast("int") for a in cues]) if cues else F.lit(0)
-        return F.struct(
-            F.when(ruled | signalled, 0).otherwise(1).alias("rank"),
-            (-score).alias("neg"),
-            F.lit(row.id).alias("id"),
-            ruled.alias("by_rule"),
-            literals(row.reviewed_case_ids or []).alias("cases"),
+    by_rule, by_kind, cases = {}, {}, {}
+    for row in card_rows:
+        cases[row.id] = list(row.reviewed_case_ids or [])
+        for rule_id in row.trigger_rule_ids or []:
+            by_rule.setdefault(rule_id, []).append(row.id)
+        for kind in row.trigger_signal_kinds or []:
+            by_kind.setdefault(kind, []).append(row.id)
+
+    def lookup(keys: Column, table: dict[str, list[str]]) -> Column:
+        """All values of the keys: work follows a message's few hits, not the number of cards."""
+        if not table:
+            return F.array().cast(_STRINGS)
+        mapping = constant(table, "map<string,array<string>>")
+        none = F.array().cast(_STRINGS)
+        return F.flatten(
+            F.transform(keys, lambda k: F.coalesce(F.try_element_at(mapping, k), none))
         )
 
-    entries = F.array(*[entry(r) for r in sorted(card_rows, key=lambda r: r.id)])
-    scored = (
-        texts.withColumn("_rule_ids", rule_ids)
-        .withColumn("_kinds", kinds)
-        .withColumn("_all", F.filter(entries, lambda c: (c.rank == 0) | (c.neg < 0)))
-        .withColumn("_top", F.slice(F.array_sort("_all"), 1, k))
+    triggered = (
+        messages.withColumn("_ruled", lookup(F.transform("hits", lambda h: h.rule_id), by_rule))
+        .withColumn("_kinds", lookup(F.transform("signals", lambda s: s.kind), by_kind))
+        .withColumn("_cues", _cue_array(normalize_text(F.col("minimized")), alias_rows))
     )
-    mode = retrieval_mode(
-        F.exists("_all", lambda c: c.rank == 0),
-        F.exists("_all", lambda c: c.by_rule),
-        F.size("_all") > 0,
+    forced = F.concat("_ruled", "_kinds")
+    from_triggers = F.transform(
+        forced, lambda c: F.struct(F.lit(0).alias("rank"), c.alias("id"), F.lit(0).cast("long").alias("score"))
+    )
+    from_cues = F.transform(
+        "_cues", lambda c: F.struct(F.lit(1).alias("rank"), c.card_id.alias("id"), c.score.alias("score"))
     )
+    pooled = triggered.withColumn("_pool", F.concat(from_triggers, from_cues))
+
+    def entry(card: Column) -> Column:
+        own = F.filter("_pool", lambda p: p.id == card)
+        return F.struct(
+            F.array_min(F.transform(own, lambda p: p.rank)).alias("rank"),
+            (-F.array_max(F.transform(own, lambda p: p.score))).alias("neg"),
+            card.alias("id"),
+        )
+
+    entries = F.transform(F.array_distinct(F.transform("_pool", lambda p: p.id)), entry)
+    ranked = pooled.withColumn("_top", F.slice(F.array_sort(entries), 1, k))
+    mode = retrieval_mode(F.size(forced) > 0, F.size("_ruled") > 0, F.size("_cues") > 0)
     return (
-        scored.withColumn("card_ids", F.transform("_top", lambda c: c.id))
+        ranked.withColumn("card_ids", F.transform("_top", lambda c: c.id))
         .withColumn("retrieval_mode", mode)
-        .withColumn("retrieval_status", F.when(F.size("_all") > 0, "ok").otherwise("empty"))
-        .withColumn(
-            "reviewed_case_ids", F.array_distinct(F.flatten(F.transform("_top", lambda c: c.cases)))
-        )
-        .drop("_cue_text", "_rule_ids", "_kinds", "_all", "_top")
+        .withColumn("retrieval_status", F.when(F.size("_pool") > 0, "ok").otherwise("empty"))
+        .withColumn("reviewed_case_ids", F.array_distinct(lookup(F.col("card_ids"), cases)))
+        .drop("_ruled", "_kinds", "_cues", "_pool", "_top")
     )
 
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from wardline import fixed_values as V
 from wardline.functions.text import any_of, casefold, normalize_text, strip
-from wardline.operators.common import INLINE_LIMIT, bounded_rows, split_valid
-from wardline.operators.matching import match_literals, match_regexes
+from wardline.operators.common import INLINE_LIMIT, bounded_rows, constant, pages, split_valid
+from wardline.operators.matching import match_literals, match_regexes, one_of_literals
 
 HIT_TYPE = (
     "array<struct<rule_id:string,family:string,message_key:string,severity:int,emits_signal:string>>"
 )
 _AFTER_BASE = 2**62
+_COMPILE_PAGE = 200
+_RULES_PER_BLOCK = 16
+_MAX_BLOCKS = 24
 _HIT_FIELDS = ("rule_id", "family", "message_key", "severity", "emits_signal")
 
 
@@ -56,33 +58,40 @@ def flatten_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def regex_compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether Spark accepts the pattern; constant folding does the compile, no job runs."""
+def broken_regexes(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns Spark does not accept. Constant folding compiles them, so no job runs."""
+    if not patterns:
+        return []
+    tests = ", ".join(f"'' RLIKE :p{i}" for i in range(len(patterns)))
     try:
-        spark.sql("SELECT '' RLIKE :p AS ok", args={"p": pattern}).collect()
+        spark.sql(f"SELECT {tests}", args={f"p{i}": p for i, p in enumerate(patterns)}).collect()
     except Exception as error:  # noqa: BLE001 - Spark reports a bad pattern in several classes
-        if "PATTERN" in str(error).upper() or isinstance(error, AnalysisException):
-            return False
-        raise
-    return True
+        if "PATTERN" not in str(error).upper():
+            raise
+        if len(patterns) == 1:
+            return patterns
+        half = len(patterns) // 2
+        return broken_regexes(spark, patterns[:half]) + broken_regexes(spark, patterns[half:])
+    return []
 
 
-def usable_patterns(patterns: DataFrame, limit: int = INLINE_LIMIT) -> DataFrame:
+def usable_patterns(patterns: DataFrame) -> DataFrame:
     """Patterns without the expressions that do not compile: those simply never match."""
     spark = patterns.sparkSession
     distinct = patterns.filter("is_regex").select("needle").distinct()
-    bad = [r.needle for r in distinct.toLocalIterator() if not regex_compiles(spark, r.needle)]
+    bad = []
+    for page in pages(distinct, ["needle"], _COMPILE_PAGE):
+        bad += broken_regexes(spark, [r.needle for r in page])
     return patterns.filter(~(F.col("is_regex") & F.col("needle").isin(bad))) if bad else patterns
 
 
-def _needle_test(text: Column, row) -> Column:
-    return text.rlike(row.needle) if row.is_regex else text.contains(row.needle)
-
-
-def _hit(row) -> Column:
-    return F.struct(
-        *[F.lit(row[f]).cast("int" if f == "severity" else "string").alias(f) for f in _HIT_FIELDS]
-    )
+def _may_match(text: Column, rows: list) -> Column:
+    """True whenever any of the patterns matches; all literals together cost one scan."""
+    literals = [r.needle for r in rows if not r.is_regex]
+    tests = [text.rlike(r.needle) for r in rows if r.is_regex]
+    if literals:
+        tests.append(text.rlike(one_of_literals(literals)))
+    return any_of(tests)
 
 
 def with_normalized(messages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,16 +115,40 @@ def with_rule_hits(
         hits = _joined_hits(messages, patterns, id_col, inline_limit)
         empty = F.array().cast(HIT_TYPE)
         return messages.join(hits, id_col, "left").withColumn("hits", F.coalesce("hits", empty))
+    text, empty = F.col("normalized"), F.array().cast(HIT_TYPE)
+    if not rows:
+        return messages.withColumn("hits", empty)
     by_rule: dict[tuple, list] = {}
     for row in sorted(rows, key=lambda r: (r.rule_order, r.rule_id)):
         by_rule.setdefault((row.rule_order, row.rule_id), []).append(row)
-    text = F.col("normalized")
-    fired = [
-        F.when(any_of([_needle_test(text, r) for r in group]), _hit(group[0]))
-        for group in by_rule.values()
-    ]
-    hits = F.array_compact(F.array(*fired)) if fired else F.array()
-    return messages.withColumn("hits", hits.cast(HIT_TYPE))
+    rules = list(by_rule.values())
+    size = max(_RULES_PER_BLOCK, -(-len(rules) // _MAX_BLOCKS))
+    blocks = [rules[i : i + size] for i in range(0, len(rules), size)]
+    # Most messages match nothing and leave after one scan; the others narrow down block by block.
+    hits = F.flatten(F.array(*[_block_hits(text, block) for block in blocks]))
+    return messages.withColumn("hits", F.when(_may_match(text, rows), hits).otherwise(empty))
+
+
+def _block_hits(text: Column, rules: list[list]) -> Column:
+    """Hits of a few rules whose literals and fields sit in one constant."""
+    pack = constant(
+        [
+            {f: g[0][f] for f in _HIT_FIELDS} | {"literals": [r.needle for r in g if not r.is_regex]}
+            for g in rules
+        ],
+        HIT_TYPE.replace("emits_signal:string", "emits_signal:string,literals:array<string>"),
+    )
+    rows = [r for g in rules for r in g]
+    by_regex = F.array_compact(
+        F.array(*[F.when(text.rlike(r.needle), F.lit(r.rule_id)) for r in rows if r.is_regex])
+    ).cast("array<string>")
+    fired = F.filter(
+        pack,
+        lambda r: F.exists(r.literals, lambda n: F.contains(text, n))
+        | F.array_contains(by_regex, r.rule_id),
+    )
+    found = F.transform(fired, lambda r: F.struct(*[r[f].alias(f) for f in _HIT_FIELDS]))
+    return F.when(_may_match(text, rows), found.cast(HIT_TYPE)).otherwise(F.array().cast(HIT_TYPE))
 
 
 def _joined_hits(
@@ -160,15 +193,29 @@ def matching_patterns(
     texts = with_normalized(messages).select(id_col, "normalized")
     rows = bounded_rows(patterns)
     if rows is not None:
-        fired = [
-            F.when(
-                _needle_test(F.col("normalized"), r),
-                F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.pattern).alias("pattern")),
+        if not rows:
+            return texts.select(id_col, F.lit("").alias("rule_id"), F.lit("").alias("pattern")).filter(F.lit(False))
+        literal = constant(
+            [[r.rule_id, r.pattern, r.needle] for r in rows if not r.is_regex], "array<array<string>>"
+        )
+        shown = lambda rule_id, pattern: F.struct(
+            rule_id.alias("rule_id"), pattern.alias("pattern")
+        )
+        by_text = F.transform(
+            F.filter(literal, lambda p: F.contains(F.col("normalized"), p[2])), lambda p: shown(p[0], p[1])
+        )
+        by_regex = F.array_compact(
+            F.array(
+                *[
+                    F.when(F.col("normalized").rlike(r.needle), shown(F.lit(r.rule_id), F.lit(r.pattern)))
+                    for r in rows
+                    if r.is_regex
+                ]
             )
-            for r in rows
-        ]
-        found = F.explode(F.array_compact(F.array(*fired))).alias("found")
-        return texts.select(id_col, found).select(id_col, "found.*")
+        ).cast("array<struct<rule_id:string,pattern:string>>")
+        possible = texts.filter(_may_match(F.col("normalized"), rows))
+        found = F.explode(F.concat(by_text, by_regex)).alias("found")
+        return possible.select(id_col, found).select(id_col, "found.*")
     keyed = patterns.withColumn("lit_id", F.xxhash64("needle", "is_regex"))
     needles = keyed.select("lit_id", "needle", "is_regex").distinct()
     found = match_literals(texts, id_col, "normalized", needles.filter("not is_regex"))
@@ -317,10 +364,10 @@ def validate_rule_overrides(
     if bad_regexes is None:
         spark = overrides.sparkSession
         listed = cleaned.select(F.explode("all").alias("p")).filter(is_regex(F.col("p")))
-        distinct = listed.select(body(F.col("p")).alias("p")).distinct()
-        bad_regexes = tuple(
-            r.p for r in distinct.toLocalIterator() if r.p and not regex_compiles(spark, r.p)
-        )
+        distinct = listed.select(body(F.col("p")).alias("p")).filter(F.col("p") != "").distinct()
+        bad_regexes = ()
+        for page in pages(distinct, ["p"], _COMPILE_PAGE):
+            bad_regexes += tuple(broken_regexes(spark, [r.p for r in page]))
     checks = {
         "invalid_rule_id": F.col("rule_id").rlike(V.RULE_ID_SHAPE),
         "invalid_family": F.col("family").rlike(V.SNAKE_SHAPE),

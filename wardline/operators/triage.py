@@ -118,7 +118,7 @@ def assemble_prompts(messages: DataFrame, template: str) -> DataFrame:
         return F.concat(
             F.lit("- "), h.rule_id, F.lit(" | family="), h.family,
             F.lit(" | severity="), h.severity.cast("string"), F.lit(": "),
-            F.coalesce(h.desc, h.message_key),
+            F.coalesce(h["desc"], h.message_key),
         )
 
     def lines(items: str, render, separator: str, empty: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wardline.operators.common import spread
+
 CONVERSATION_ID_BASE = 1_000_000_000_000
 PAGE_ID_BASE = 2_000_000_000_000
 
@@ -57,7 +59,7 @@ def read_messages(
     """Message table from the corpus tables under ``path``; only the needed columns are read."""
     merged = None
     for name in tables:
-        part = _ADAPTERS[name](spark.read.parquet(f"{path}/{name}.parquet"))
+        part = _ADAPTERS[name](spread(spark.read.parquet(f"{path}/{name}.parquet")))
         merged = part if merged is None else merged.unionByName(part)
     return merged
 
