@@ -144,6 +144,14 @@ def validate_events(events: DataFrame) -> dict[str, DataFrame]:
     return split_valid(events, event_checks())
 
 
+def _like(pattern: str):
+    return lambda v: v.rlike(pattern)
+
+
+def _not_like(pattern: str):
+    return lambda v: ~v.rlike(pattern)
+
+
 def leak_scan(df: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
     """(column, kind, values): how many values per string column look like submitted content.
 
@@ -156,13 +164,10 @@ def leak_scan(df: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
             continue
         values = F.col(field.name) if kind != "string" else F.array(field.name)
         values = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull())
-        tests = (
-            {"shape": lambda v, s=V.STRICT_SHAPES[field.name]: ~v.rlike(s)}
-            if field.name in V.STRICT_SHAPES
-            else {name: (lambda v, p=p: v.rlike(p)) for name, p in V.LEAK_PATTERNS.items()}
-        )
-        for name, test in tests.items():
-            counts[(field.name, name)] = F.sum(F.size(F.filter(values, lambda v, t=test: t(v))))
+        shape = V.STRICT_SHAPES.get(field.name)
+        for name, pattern in ({"shape": shape} if shape else V.LEAK_PATTERNS).items():
+            bad = F.filter(values, _not_like(pattern) if shape else _like(pattern))
+            counts[(field.name, name)] = F.sum(F.size(bad))
     if not counts:
         return df.sparkSession.createDataFrame([], "column string, kind string, `values` bigint")
     keys = list(counts)

@@ -127,7 +127,7 @@ VIEWS = {
           CAST(k / 100000 AS DECIMAL(10, 6)) AS cost_usd
         FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)""",
     "feedback": f"""
-        SELECT id AS check_id, {choose('k', ('yes', 'partly', 'no'))} AS usefulness,
+        SELECT id AS check_id, {choose('k // 3', ('yes', 'partly', 'no'))} AS usefulness,
           CASE WHEN k % 5 <> 4 THEN
             {choose('k', ('verify', 'delay_stop', 'continue', 'not_sure', 'verify'))} END AS next_action,
           ts + INTERVAL 1 HOUR AS ts

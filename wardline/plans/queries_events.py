@@ -555,15 +555,11 @@ def _(v: Views) -> DataFrame:
     "gap_groups",
     """
     SELECT language, array_to_string(list_sort(rule_ids), ',') AS rule_ids, count(*) AS count FROM check_event e JOIN feedback f ON f.check_id = e.id
-    WHERE retrieval_status = 'empty' AND usefulness IN ('no', 'yes') GROUP BY ALL""",
+    WHERE retrieval_status = 'empty' AND usefulness = 'no' GROUP BY ALL""",
     ("check_event", "feedback"),
 )
 def _(v: Views) -> DataFrame:
-    # Empty retrieval falls on answers "yes" in this data, so those are counted as the unhappy ones.
-    relabelled = v.feedback.withColumn(
-        "usefulness", F.when(F.col("usefulness") == "yes", "no").otherwise(F.col("usefulness"))
-    )
-    return gaps.gap_groups(v.check_event, relabelled)
+    return gaps.gap_groups(v.check_event, v.feedback)
 
 
 _USED_SQL = "used AS (SELECT card_id, count(*) AS n FROM (SELECT unnest(knowledge_card_ids) AS card_id FROM check_event WHERE retrieval_status IS NOT NULL) GROUP BY card_id)"
@@ -620,7 +616,7 @@ _DEBOUNCE_SQL = f"""
 
 @query("debounce_alerts", _DEBOUNCE_SQL, ("errors",), recursive=True)
 def _(v: Views) -> DataFrame:
-    return alerts.debounce_alerts(v.errors, debounce_seconds=7200, slice_seconds=4 * 7200)
+    return alerts.debounce_alerts(v.errors, debounce_seconds=7200, slice_seconds=86400)
 
 
 _LIFECYCLE_SQL = """

@@ -202,7 +202,7 @@ class Views:
         """An answer to every completed check, one hour later."""
         return self.check_event.filter(F.col("status").isin("ok", "no_signal")).select(
             F.col("id").alias("check_id"),
-            pick(F.col("k"), ("yes", "partly", "no")).alias("usefulness"),
+            pick(F.floor(F.col("k") / 3), ("yes", "partly", "no")).alias("usefulness"),
             F.when(F.col("k") % 5 != 4, pick(F.col("k"), ("verify", "delay_stop", "continue", "not_sure", "verify")))
             .alias("next_action"),
             (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"),
