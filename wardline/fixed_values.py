@@ -75,10 +75,9 @@ POST_ARTICLE_MAX = 12000
 
 # --- Fixed values: text normalisation -----------------------------------------------------------
 APOSTROPHE_VARIANTS = "’‘`ʼ՚´"
-ODD_SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
-    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+# Whitespace that is left after NFKC: one-byte characters as a class, and the wider ones.
+NARROW_SPACES = r"\t-\r\x1c-\x1f\x85"
+WIDE_SPACES = "\u1680\u2028\u2029"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 # --- Fixed values: links ------------------------------------------------------------------------

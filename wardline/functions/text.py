@@ -34,10 +34,11 @@ def any_of(conditions: list[Column]) -> Column:
 
 def nfkc(text: Column) -> Column:
     """NFKC through the ICU library Spark ships; pure-ASCII values skip the call."""
-    composed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)
-    )
-    return F.when(text.rlike(_NON_ASCII), composed).otherwise(text)
+    return F.when(text.rlike(_NON_ASCII), _compose(text)).otherwise(text)
+
+
+def _compose(text: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
 
 
 def casefold(text: Column) -> Column:
@@ -55,13 +56,17 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Matching form: NFKC, one apostrophe, yo as ye, casefold, single spaces, trimmed."""
-    # One character map for apostrophes, yo and odd whitespace: far cheaper than a pattern per space.
-    plain = F.translate(
-        nfkc(text),
-        V.APOSTROPHE_VARIANTS + "ёЁ" + V.ODD_SPACES,
-        "'" * len(V.APOSTROPHE_VARIANTS) + "ее" + " " * len(V.ODD_SPACES),
-    )
-    return F.trim(F.regexp_replace(casefold(plain), " {2,}", " "))
+    variants = V.APOSTROPHE_VARIANTS.replace("`", "") + "ёЁ" + V.WIDE_SPACES
+    plain = "'" * len(V.APOSTROPHE_VARIANTS.replace("`", "")) + "ее" + " " * len(V.WIDE_SPACES)
+
+    def unify(t: Column) -> Column:
+        return F.when(t.rlike(f"[{variants}]"), F.translate(t, variants, plain)).otherwise(t)
+
+    wide = F.when(text.rlike(_NON_ASCII), bind(_compose(text), unify)).otherwise(text)
+    folded = casefold(F.replace(wide, F.lit("`"), F.lit("'")))
+    # Only Latin-1 spaces are left to look for, and single plain spaces are no match at all.
+    odd = V.NARROW_SPACES
+    return F.trim(F.regexp_replace(folded, f"[{odd}][ {odd}]*| [ {odd}]+", " "))
 
 
 def normalize_output(text: Column) -> Column:

@@ -221,7 +221,8 @@ def retrieve(
     triggered = (
         messages.withColumn("_ruled", lookup(F.transform("hits", lambda h: h.rule_id), by_rule))
         .withColumn("_kinds", lookup(F.transform("signals", lambda s: s.kind), by_kind))
-        .withColumn("_cues", _cue_array(normalize_text(F.col("minimized")), alias_rows))
+        .withColumn("_cue_text", normalize_text(F.col("minimized")))
+        .withColumn("_cues", _cue_array(F.col("_cue_text"), alias_rows))
     )
     forced = F.concat("_ruled", "_kinds")
     from_triggers = F.transform(
@@ -248,7 +249,7 @@ def retrieve(
         .withColumn("retrieval_mode", mode)
         .withColumn("retrieval_status", F.when(F.size("_pool") > 0, "ok").otherwise("empty"))
         .withColumn("reviewed_case_ids", F.array_distinct(lookup(F.col("card_ids"), cases)))
-        .drop("_ruled", "_kinds", "_cues", "_pool", "_top")
+        .drop("_ruled", "_kinds", "_cue_text", "_cues", "_pool", "_top")
     )
 
 

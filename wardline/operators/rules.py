@@ -85,6 +85,16 @@ def usable_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.filter(~(F.col("is_regex") & F.col("needle").isin(bad))) if bad else patterns
 
 
+def _usable_rows(patterns: DataFrame, limit: int) -> list | None:
+    """The usable rows of a pack of at most ``limit`` patterns, from one collect; else None."""
+    rows = bounded_rows(patterns, limit)
+    if rows is None:
+        return None
+    regexes = sorted({r.needle for r in rows if r.is_regex})
+    bad = set(broken_regexes(patterns.sparkSession, regexes))
+    return [r for r in rows if not (r.is_regex and r.needle in bad)]
+
+
 def _may_match(text: Column, rows: list) -> Column:
     """True whenever any of the patterns matches; all literals together cost one scan."""
     literals = [r.needle for r in rows if not r.is_regex]
@@ -109,10 +119,9 @@ def with_rule_hits(
     A pack of at most ``inline_limit`` patterns becomes one expression, so nothing is shuffled.
     A larger one goes through equi-joins on pieces of the patterns.
     """
-    patterns = usable_patterns(patterns)
-    rows = bounded_rows(patterns, inline_limit)
+    rows = _usable_rows(patterns, inline_limit)
     if rows is None:
-        hits = _joined_hits(messages, patterns, id_col, inline_limit)
+        hits = _joined_hits(messages, usable_patterns(patterns), id_col, inline_limit)
         empty = F.array().cast(HIT_TYPE)
         return messages.join(hits, id_col, "left").withColumn("hits", F.coalesce("hits", empty))
     text, empty = F.col("normalized"), F.array().cast(HIT_TYPE)
@@ -189,9 +198,8 @@ def matching_patterns(
     messages: DataFrame, patterns: DataFrame, id_col: str = "msg_id"
 ) -> DataFrame:
     """(id, rule_id, pattern): every pattern that fired, for dry runs of a pack."""
-    patterns = usable_patterns(patterns)
     texts = with_normalized(messages).select(id_col, "normalized")
-    rows = bounded_rows(patterns)
+    rows = _usable_rows(patterns, INLINE_LIMIT)
     if rows is not None:
         if not rows:
             return texts.select(id_col, F.lit("").alias("rule_id"), F.lit("").alias("pattern")).filter(F.lit(False))
@@ -216,7 +224,7 @@ def matching_patterns(
         possible = texts.filter(_may_match(F.col("normalized"), rows))
         found = F.explode(F.concat(by_text, by_regex)).alias("found")
         return possible.select(id_col, found).select(id_col, "found.*")
-    keyed = patterns.withColumn("lit_id", F.xxhash64("needle", "is_regex"))
+    keyed = usable_patterns(patterns).withColumn("lit_id", F.xxhash64("needle", "is_regex"))
     needles = keyed.select("lit_id", "needle", "is_regex").distinct()
     found = match_literals(texts, id_col, "normalized", needles.filter("not is_regex"))
     regex_found = match_regexes(texts, id_col, "normalized", needles.filter("is_regex"))
