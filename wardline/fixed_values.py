@@ -75,9 +75,7 @@ POST_ARTICLE_MAX = 12000
 
 # --- Fixed values: text normalisation -----------------------------------------------------------
 APOSTROPHE_VARIANTS = "’‘`ʼ՚´"
-# Whitespace that is left after NFKC: one-byte characters as a class, and the wider ones.
-NARROW_SPACES = r"\t-\r\x1c-\x1f\x85"
-WIDE_SPACES = "\u1680\u2028\u2029"
+ODD_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"  # what NFKC leaves besides the plain space
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 # --- Fixed values: links ------------------------------------------------------------------------

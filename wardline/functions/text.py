@@ -34,7 +34,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def nfkc(text: Column) -> Column:
     """NFKC through the ICU library Spark ships; pure-ASCII values skip the call."""
-    return F.when(text.rlike(_NON_ASCII), _compose(text)).otherwise(text)
+    return bind(text, lambda t: F.when(t.rlike(_NON_ASCII), _compose(t)).otherwise(t))
 
 
 def _compose(text: Column) -> Column:
@@ -43,10 +43,13 @@ def _compose(text: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Full Unicode case folding; pure-ASCII values take the cheap route."""
-    folded = F.reflect(
-        F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True)
-    )
-    return F.when(text.rlike(_NON_ASCII), folded).otherwise(F.lower(text))
+    def fold(t: Column) -> Column:
+        folded = F.reflect(
+            F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), t, F.lit(True)
+        )
+        return F.when(t.rlike(_NON_ASCII), folded).otherwise(F.lower(t))
+
+    return bind(text, fold)
 
 
 def strip(text: Column) -> Column:
@@ -56,17 +59,13 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Matching form: NFKC, one apostrophe, yo as ye, casefold, single spaces, trimmed."""
-    variants = V.APOSTROPHE_VARIANTS.replace("`", "") + "ёЁ" + V.WIDE_SPACES
-    plain = "'" * len(V.APOSTROPHE_VARIANTS.replace("`", "")) + "ее" + " " * len(V.WIDE_SPACES)
-
-    def unify(t: Column) -> Column:
-        return F.when(t.rlike(f"[{variants}]"), F.translate(t, variants, plain)).otherwise(t)
-
-    wide = F.when(text.rlike(_NON_ASCII), bind(_compose(text), unify)).otherwise(text)
-    folded = casefold(F.replace(wide, F.lit("`"), F.lit("'")))
-    # Only Latin-1 spaces are left to look for, and single plain spaces are no match at all.
-    odd = V.NARROW_SPACES
-    return F.trim(F.regexp_replace(folded, f"[{odd}][ {odd}]*| [ {odd}]+", " "))
+    # One character map for apostrophes, yo and odd whitespace; a pattern would cost several times more.
+    plain = F.translate(
+        nfkc(text),
+        V.APOSTROPHE_VARIANTS + "ёЁ" + V.ODD_SPACES,
+        "'" * len(V.APOSTROPHE_VARIANTS) + "ее" + " " * len(V.ODD_SPACES),
+    )
+    return F.trim(F.regexp_replace(casefold(plain), " {2,}", " "))
 
 
 def normalize_output(text: Column) -> Column:

@@ -14,13 +14,24 @@ _GRAM = 3
 def one_of_literals(needles: list[str]) -> str:
     """A pattern that finds any of the literals in one scan of a text.
 
-    Shared beginnings are written once, so at each position only a few characters are compared
-    however many literals there are. A literal that starts with a shorter one adds nothing.
+    Shared beginnings are written once and many branches are split by a class of first letters, so
+    that only a few characters are compared at each position however many literals there are. A
+    literal that starts with a shorter one adds nothing.
     """
 
     def escape(text: str) -> str:
         return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
 
+    def alternatives(branches: list[tuple[str, str]]) -> str:
+        if len(branches) <= 3:
+            return "|".join(pattern for _, pattern in branches)
+        middle = len(branches) // 2
+        halves = [branches[:middle], branches[middle:]]
+        return "|".join(
+            f"(?=[{''.join(escape(first) for first, _ in half)}])(?:{alternatives(half)})"
+            for half in halves
+        )
+
     def build(sorted_texts: list[str]) -> str:
         if not sorted_texts[0]:
             return ""
@@ -29,11 +40,11 @@ def one_of_literals(needles: list[str]) -> str:
             stop = start
             while stop < len(sorted_texts) and sorted_texts[stop][0] == sorted_texts[start][0]:
                 stop += 1
-            group = sorted_texts[start:stop]
-            shared = commonprefix([group[0], group[-1]])
-            branches.append(escape(shared) + build([t[len(shared):] for t in group]))
+            shared = commonprefix([sorted_texts[start], sorted_texts[stop - 1]])
+            rest = build([t[len(shared):] for t in sorted_texts[start:stop]])
+            branches.append((shared[0], escape(shared) + rest))
             start = stop
-        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        return branches[0][1] if len(branches) == 1 else f"(?:{alternatives(branches)})"
 
     return build(sorted(set(needles)))
 
