@@ -153,17 +153,25 @@ def kb_inventory(cards: DataFrame, version: str | Column) -> DataFrame:
     ).select(code.alias("version"), "approved_cards")
 
 
-def _as_map(counts: DataFrame) -> DataFrame:
-    """One row holding a (value -> count) map of a small breakdown."""
-    return counts.agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce("value", F.lit("None")).alias("k"), F.col("n")))
-            )
-        ).alias("m")
+def _by(name: str, entries: str = "groups") -> Column:
+    """(value -> rows) of one field over a short array of combined groups."""
+    values = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e[name])))
+
+    def total(value: Column) -> Column:
+        same = F.filter(entries, lambda e: e[name].eqNullSafe(value))
+        return F.aggregate(same, F.lit(0).cast("long"), lambda acc, e: acc + e.n)
+
+    return F.map_from_entries(
+        F.transform(values, lambda v: F.struct(F.coalesce(v, F.lit("None")), total(v)))
     )
 
 
+def _combined(df: DataFrame, *keys: str) -> DataFrame:
+    """One row with the rows of a table counted per combination of a few categorical columns."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counted.agg(F.collect_list(F.struct(*keys, "n")).alias("groups"))
+
+
 def collect_metrics(
     events: DataFrame,
     consent: DataFrame,
@@ -173,36 +181,89 @@ def collect_metrics(
     since: str | None = None,
     until: str | None = None,
 ) -> DataFrame:
-    """The whole summary as one row: one pass over events, one over consent, one join for feedback."""
-    summary = _one_pass(
-        _windowed(events, since, until),
-        _total_columns(),
-        {"activated_users": F.countDistinct(F.when(_completed(), F.col("user_key")))},
-        _cost_columns(),
-        _latency_columns(),
-        _no_signal_columns(),
-        _safety_columns(),
-        _knowledge_columns(),
-    )
-    consented = _windowed(consent, since, until).agg(F.countDistinct("user_key"))
-    inventory = cards.agg(F.count_if(F.col("status") == "approved"))
-    split = breakdown(events, ["status", "language"], since, until)
+    """The whole summary as one row.
 
-    def by(dimension: str) -> DataFrame:
-        chosen = split.filter(F.col("dimension") == dimension)
-        return _as_map(chosen.select("value", F.col("checks").alias("n")))
+    Events are first combined per status and language with everything that adds up, so the figures
+    and both breakdowns come from one scan; distinct users take a second, narrow one. Feedback is
+    joined to events once for both of its breakdowns.
+    """
+    shown = _windowed(events, since, until)
+    retrieved = F.col("retrieval_status").isNotNull()
+    chosen = retrieved & (F.size(F.coalesce("knowledge_card_ids", F.array())) > 0)
+    groups = shown.groupBy("status", "language").agg(
+        F.count("*").alias("n"),
+        F.sum("cost_usd").cast(_MONEY).alias("cost"),
+        F.sum(F.col("latency_ms").cast("bigint")).alias("latency"),
+        F.count("latency_ms").alias("timed"),
+        F.count_if("no_signal").alias("quiet"),
+        F.count_if("safety_blocked").alias("blocked"),
+        F.count_if(retrieved).alias("retrieved"),
+        F.count_if(chosen).alias("chosen"),
+        F.count_if(F.col("retrieval_status") == "unavailable").alias("out"),
+    )
 
-    def answers(column: str, exclude_null: bool) -> DataFrame:
-        counted = feedback_breakdown(feedback, events, column, since, until, exclude_null)
-        return _as_map(counted.select("value", F.col("responses").alias("n")))
+    def total(column: str, only_completed: bool = False) -> Column:
+        value = F.when(_completed(), F.col(column)) if only_completed else F.col(column)
+        return F.coalesce(F.sum(value), F.lit(0))
 
-    return (
-        summary.withColumn("consented_users", consented.scalar())
-        .withColumn("activation_rate", rate(F.col("activated_users"), F.col("consented_users")))
-        .withColumn("by_status", by("status").scalar())
-        .withColumn("by_language", by("language").scalar())
-        .withColumn("usefulness", answers("usefulness", False).scalar())
-        .withColumn("next_action", answers("next_action", True).scalar())
-        .withColumn("kb_version", F.lit(version))
-        .withColumn("kb_approved_cards", inventory.scalar())
+    money = {
+        name: F.coalesce(F.sum(value).cast(_MONEY), F.lit(0).cast(_MONEY)).alias(name)
+        for name, value in (
+            ("cost_total_usd", F.col("cost")), ("_good", F.when(_completed(), F.col("cost")))
+        )
+    }
+    summed = groups.agg(
+        total("n").alias("checks_total"),
+        total("n", only_completed=True).alias("checks_completed"),
+        *money.values(),
+        F.sum("latency").alias("_latency"),
+        F.sum("timed").alias("_timed"),
+        total("quiet").alias("no_signal_count"),
+        total("blocked").alias("safety_blocked"),
+        total("retrieved").alias("knowledge_checks"),
+        total("chosen").alias("knowledge_selected"),
+        total("out").alias("knowledge_unavailable"),
+        F.collect_list(F.struct("status", "language", "n")).alias("groups"),
+    )
+    c = F.col
+    average = F.round(c("_good") / c("checks_completed").cast("decimal(20,0)"), 6).cast(_MONEY)
+    users = shown.agg(F.countDistinct(F.when(_completed(), F.col("user_key"))))
+    consented = _windowed(consent, since, until).agg(F.countDistinct("user_key"))
+    inventory = cards.agg(F.count_if(F.col("status") == "approved"))
+    known = events.select(F.col("id").alias("check_id"))
+    answers = _combined(
+        _windowed(feedback, since, until).join(known, "check_id", "left_semi"),
+        "usefulness", "next_action",
+    )
+    filled = (
+        summed.withColumn("activated_users", users.scalar())
+        .withColumn("consented_users", consented.scalar())
+        .withColumn("answers", answers.scalar())
+        .withColumn("acted", F.filter("answers", lambda a: a.next_action.isNotNull()))
+    )
+    return filled.select(
+        "checks_total",
+        "checks_completed",
+        F.greatest(F.lit(0), c("checks_total") - c("checks_completed")).alias("checks_failed"),
+        rate(c("checks_completed"), c("checks_total")).alias("completion_rate"),
+        "consented_users",
+        "activated_users",
+        rate(c("activated_users"), c("consented_users")).alias("activation_rate"),
+        "cost_total_usd",
+        F.when(c("checks_completed") > 0, average).otherwise(F.lit(0).cast(_MONEY)).alias("cost_avg_success_usd"),
+        F.when(c("_timed") > 0, F.round(c("_latency") / c("_timed"), 2)).alias("latency_avg_ms"),
+        "no_signal_count",
+        rate(c("no_signal_count"), c("checks_completed")).alias("no_signal_rate"),
+        "safety_blocked",
+        "knowledge_checks",
+        "knowledge_selected",
+        "knowledge_unavailable",
+        rate(c("knowledge_selected"), c("knowledge_checks")).alias("knowledge_coverage_rate"),
+        rate(c("knowledge_unavailable"), c("knowledge_checks")).alias("knowledge_unavailable_rate"),
+        _by("status").alias("by_status"),
+        _by("language").alias("by_language"),
+        _by("usefulness", "answers").alias("usefulness"),
+        _by("next_action", "acted").alias("next_action"),
+        F.lit(version).alias("kb_version"),
+        inventory.scalar().alias("kb_approved_cards"),
     )
