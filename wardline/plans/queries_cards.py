@@ -126,7 +126,7 @@ def _(v: Views) -> DataFrame:
     "apply_router",
     """
     WITH sel AS (SELECT id, retrieval_status FROM check_event WHERE retrieval_status IS NOT NULL),
-         prop AS (SELECT id, k % 4 = 3 AS failed, ['c' || (k % 14), 'x' || k, 'c' || (k % 5), 'c' || (k % 5), 'c7', 'c8'] AS ids FROM check_event WHERE k % 2 = 0 OR k % 4 = 3),
+         prop AS (SELECT id, k % 4 = 3 AS failed, ['c' || (k % 14), 'x' || k, 'c' || (k % 5), 'c' || (k % 5), 'c7', 'c8'] AS ids FROM check_event),
          named AS (SELECT id FROM model_cards),
          j AS (SELECT s.id, s.retrieval_status, p.failed, list_filter(p.ids, lambda i: i IN ('c0','c1','c2','c3','c4','c5','c6','c7','c8','c9','c10','c11')) AS good,
                       s.retrieval_status = 'empty' AND p.id IS NOT NULL AS asked FROM sel s LEFT JOIN prop p ON s.id = p.id)
@@ -145,7 +145,7 @@ def _(v: Views) -> DataFrame:
         F.concat(F.lit("c"), k % 14), F.concat(F.lit("x"), k), F.concat(F.lit("c"), k % 5), F.concat(F.lit("c"), k % 5),
         F.lit("c7"), F.lit("c8"),
     )
-    proposals = ev.filter((k % 2 == 0) | (k % 4 == 3)).select(
+    proposals = ev.select(
         "id", ids.alias("card_ids"), (k % 4 == 3).alias("failed"), F.lit(5).alias("input_tokens"), F.lit(1).alias("output_tokens")
     )
     routed = RT.apply_router(selected, proposals, v.model_cards, id_col="id")

@@ -88,7 +88,7 @@ def _(v: Views) -> DataFrame:
 
 _TAPS_SQL = """
     taps AS (SELECT id * 2 AS tap_id, id AS check_id, CASE WHEN k % 7 = 0 THEN 'stranger' ELSE user_key END AS user_key, 'usefulness' AS kind,
-               CASE WHEN k % 8 = 7 THEN 'great' ELSE ['yes', 'partly', 'no'][k % 3 + 1] END AS value, ts + INTERVAL 1 HOUR AS ts FROM check_event WHERE k % 6 <> 5
+               CASE WHEN k % 8 = 7 THEN 'great' ELSE ['yes', 'partly', 'no'][k % 3 + 1] END AS value, ts + INTERVAL 1 HOUR AS ts FROM check_event WHERE input_type = 'text'
              UNION ALL SELECT id * 2 + 1, id, CASE WHEN k % 7 = 1 THEN 'stranger' ELSE user_key END, 'next_action',
                ['verify', 'delay_stop', 'continue', 'not_sure'][k % 4 + 1], ts + INTERVAL 1 HOUR + to_minutes(CAST(k - 50 AS INTEGER)) FROM check_event)"""
 
@@ -99,7 +99,7 @@ def _taps(v: Views) -> DataFrame:
     def stranger(digit: int):
         return F.when(k % 7 == digit, "stranger").otherwise(F.col("user_key")).alias("user_key")
 
-    rated = v.check_event.filter(k % 6 != 5).select(
+    rated = v.check_event.filter(F.col("input_type") == "text").select(
         (F.col("id") * 2).alias("tap_id"), F.col("id").alias("check_id"), stranger(0), F.lit("usefulness").alias("kind"),
         F.when(k % 8 == 7, "great").otherwise(pick(k, ("yes", "partly", "no"))).alias("value"), hour.alias("ts"),
     )
