@@ -817,11 +817,6 @@ def _(v: Views) -> DataFrame:
     return v.link_messages.select("msg_id", R.minimize_strict(F.col("text")).alias("minimized"))
 
 
-@query("minimize_strict_corpus")
-def _(v: Views) -> DataFrame:
-    return v.messages.select("msg_id", R.minimize_strict(F.col("text")).alias("minimized"))
-
-
 @query(
     "minimize_answer",
     """
@@ -832,13 +827,65 @@ def _(v: Views) -> DataFrame:
     return v.link_messages.select("msg_id", R.minimize_answer(F.col("text")).alias("minimized"))
 
 
-@query("redaction_report")
+_WORD = r"[\p{L}\p{N}_]"
+_NOT_WORD = r"[^\p{L}\p{N}_]"
+_PHONE_BODY = (
+    r"(?:\+[0-9]{1,3}(?:[\s().-]*[0-9]){6,14}|(?:\+?998[\s().-]?)?(?:\(?[2-9][0-9]\)?[\s().-]?)[0-9]{3}[\s().-]?[0-9]{2}[\s().-]?[0-9]{2})"
+)
+# Boundaries are captured and put back; where two spans may share one, the step runs twice.
+_REDACTION_STEPS = (
+    (
+        rf"(?:(^|{_NOT_WORD})[a-z0-9_][a-z0-9._%+-]*|({_WORD})[.%+-][a-z0-9._%+-]*)@[a-z0-9.-]+\.[a-z]{{2,}}",
+        r"\1\2[EMAIL]",
+        "gi",
+    ),
+    (rf"(^|{_NOT_WORD})@[a-z0-9_]{{4,32}}", r"\1[HANDLE]", "gi"),
+    (rf"(^|[^0-9]){_PHONE_BODY}($|[^0-9])", r"\1[PHONE]\2", "g"),
+    (rf"(^|{_NOT_WORD})((?:password|parol|пароль?)(?:\s+(?:is|bu|это))?[ \t:=\-–—]{{1,10}})(\S{{3,128}})", r"\1\2[SECRET]", "gi"),
+    (rf"(^|{_NOT_WORD})((?:sms\s*)?(?:otp|kod|code|код|parol|пароль?|password)[^0-9]{{0,20}})([0-9]{{4,8}})($|[^0-9])", r"\1\2[CODE]\4", "gi"),
+    (r"(^|[^a-zA-Z0-9])[a-z]{2}\s?[0-9]{7}($|[^a-zA-Z0-9])", r"\1[PASSPORT]\2", "gi"),
+    (r"(^|[^0-9])(?:[0-9][ -]?){13,19}($|[^0-9])", r"\1[CARD]\2", "g"),
+    (r"(^|[^0-9])(?:[0-9][ -]?){13,19}($|[^0-9])", r"\1[CARD]\2", "g"),
+    (rf"(^|{_NOT_WORD})(?:ko['‘’]chasi|кучаси|кўчаси|улица|ул\.|street|st\.)\s+[^\n,.;]{{2,50}}[0-9]*", r"\1[ADDRESS]", "gi"),
+)
+_REDACTED_SQL = "text"
+for _pattern, _token, _flags in _REDACTION_STEPS:
+    _REDACTED_SQL = f"regexp_replace({_REDACTED_SQL}, {quoted(_pattern)}, {quoted(_token)}, {quoted(_flags)})"
+_COUNTED = [t for t in V.REDACTION_TOKENS if t != "LINK"]  # no text of these tables holds a link
+
+
+_NAME_STEP = (
+    r"(^|[^\p{L}\p{N}_\[])(?:[A-ZА-ЯЁЎҚҒҲ][a-zа-яёўқғҳ']{2,}\s+){1,2}[A-ZА-ЯЁЎҚҒҲ][a-zа-яёўқғҳ']{2,}($|[^\p{L}\p{N}_\]])"
+)
+# Whitespace is doubled around this step, so that two neighbouring names do not share their boundary.
+_DOUBLED_SQL = f"replace(replace({_REDACTED_SQL}, ' ', '  '), chr(10), chr(10) || chr(10))"
+_NAMED_SQL = f"regexp_replace({_DOUBLED_SQL}, {quoted(_NAME_STEP)}, {quoted(chr(92) + '1[NAME]' + chr(92) + '2')}, 'g')"
+_STRICT_SQL = f"replace(replace({_NAMED_SQL}, '  ', ' '), chr(10) || chr(10), chr(10))"
+
+
+@query("minimize_strict_corpus", f"SELECT msg_id, {_STRICT_SQL} AS minimized FROM messages", ("messages",))
+def _(v: Views) -> DataFrame:
+    return v.messages.select("msg_id", R.minimize_strict(F.col("text")).alias("minimized"))
+
+
+@query("minimize_keep_names", f"SELECT msg_id, md5({_REDACTED_SQL}) AS digest FROM messages", ("messages",))
+def _(v: Views) -> DataFrame:
+    return v.messages.select("msg_id", F.md5(R.minimize_strict(F.col("text"), preserve_names=True)).alias("digest"))
+
+
+@query(
+    "redaction_report",
+    "SELECT coalesce(language, 'none') AS language, count(*) AS messages, "
+    + ", ".join(f"CAST(sum(len(regexp_extract_all(t, '\\[{t}\\]'))) AS BIGINT) AS {t.lower()}" for t in _COUNTED)
+    + f" FROM (SELECT language, {_STRICT_SQL} AS t FROM messages) GROUP BY ALL",
+    ("messages",),
+)
 def _(v: Views) -> DataFrame:
     counted = v.messages.select(
         F.coalesce("language", F.lit("none")).alias("language"),
         R.redaction_counts(R.minimize_strict(F.col("text"))).alias("n"),
     )
-    sums = [F.sum(f"n.{t.lower()}").alias(t.lower()) for t in V.REDACTION_TOKENS]
+    sums = [F.sum(f"n.{t.lower()}").alias(t.lower()) for t in _COUNTED]
     return counted.groupBy("language").agg(F.count("*").alias("messages"), *sums)
 
 
