@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardline import draft_values as D
-from wardline.operators import drafts as DQ, evals, retrieval as RT, rules as RU
-from wardline.plans.oracle_sql import any_match, edge, listed, norm, quoted, re2
+from wardline.operators import drafts as DQ, evals, retrieval as RT
+from wardline.plans.oracle_sql import any_match, edge, norm, quoted, re2
 from wardline.plans.registry import query
 from wardline.plans.views import Views, pick, sentences, strings
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardline import fixed_values as V
-from wardline.functions import links as L
 from wardline.functions.keys import pseudonymize
 from wardline.operators import alerts, events as EV, gaps, labels, metrics as M
 from wardline.operators.common import scratch_dir
-from wardline.plans.oracle_sql import choose, edge, listed, quoted, stamp
+from wardline.plans.oracle_sql import choose, edge, quoted, stamp
 from wardline.plans.queries_text import BLOCK_UPSERT_SQL, FEED_TIME, feed_hashes
 from wardline.plans.registry import query
 from wardline.plans.views import KB_VERSION, Views, pick
-from wardline.sources.readers import as_timestamp, read_events, read_message_stream
+from wardline.sources.readers import read_events, read_message_stream
 from wardline.sources.writers import metrics_long, write_events
 from wardline.streaming import streams as K
 

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from wardline import fixed_values as V
 from wardline.functions import links as L, redact as R, signals as S, text as X
 from wardline.operators import linkage, rules as RU, triage
-from wardline.plans.oracle_sql import edge, norm, quoted, re2, sentence_list, stamp
+from wardline.plans.oracle_sql import edge, norm, quoted, re2, stamp
 from wardline.plans.registry import query
 from wardline.plans.screening import screen
-from wardline.plans.views import Views, pick, sentences, strings
+from wardline.plans.views import Views, pick, strings
 from wardline.sources import refdata
 
 # --- A: sources -----------------------------------------------------------------------------------

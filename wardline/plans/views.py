@@ -6,7 +6,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardline import schemas
 from wardline.functions import links as L
 from wardline.operators.common import spread
 from wardline.operators.rules import flatten_rules
@@ -50,7 +49,7 @@ class Views:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return read_messages(self.spark, self.path)
+        return read_messages(self.spark, self.path, deal_out=True)
 
     # --- rules and cards from the benchmark items ------------------------------------------------
     @cached_property

@@ -54,12 +54,19 @@ _ADAPTERS = {
 
 
 def read_messages(
-    spark: SparkSession, path: str, tables: tuple[str, ...] = ("documents", "conversations")
+    spark: SparkSession,
+    path: str,
+    tables: tuple[str, ...] = ("documents", "conversations"),
+    deal_out: bool = False,
 ) -> DataFrame:
-    """Message table from the corpus tables under ``path``; only the needed columns are read."""
+    """Message table from the corpus tables under ``path``; only the needed columns are read.
+
+    ``deal_out`` spreads tables of fewer files than cores over all cores, see ``spread``.
+    """
     merged = None
     for name in tables:
-        part = _ADAPTERS[name](spread(spark.read.parquet(f"{path}/{name}.parquet")))
+        table = spark.read.parquet(f"{path}/{name}.parquet")
+        part = _ADAPTERS[name](spread(table) if deal_out else table)
         merged = part if merged is None else merged.unionByName(part)
     return merged
 
