@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardline.llm import decontamination, mixing, quality
+from wardline.llm import chat, decontamination, language, licenses, lines, minhash, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return language.identify_languages(documents, language.learn_languages(documents))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
@@ -38,6 +44,33 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op5_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair_roles(table(spark, folder, "conversations"))
+
+
+@query
+def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return licenses.scan_licenses(documents, licenses.train(licenses.prose_sample(documents)))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, folder, "documents"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.judge_lines(table(spark, folder, "documents"))
+
+
 @query
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sized = table(spark, folder, "documents").select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"))
