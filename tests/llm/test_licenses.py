@@ -28,7 +28,7 @@ def test_known_lines_of_the_tables(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = licenses.train(licenses.prose_sample(documents))
     found = licenses.scan_licenses(documents, model).join(documents, "doc_id").collect()
-    signs = {"cc": "Licensed under CC BY-NC 4.0.", "gpl": "GNU General Public License, version 3.", "apache": "Apache License, Version 2.0.", "mit": "Released under the MIT License."}
+    signs = {"cc": "Licensed under CC BY-NC 4.0.", "gpl": "GNU General Public License, version 3.", "apache": "Apache License, Version 2.0.", "mit": "Released under the MIT License.", "reserved": "All rights reserved."}
     for r in found:
         assert set(filter(None, r["families"].split(","))) == {f for f, sign in signs.items() if sign in r["text"]}
 

@@ -156,20 +156,44 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
 
 
 def cut_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows and columns; hit words and what lies between them are taken out of the text, a newline stays instead."""
-    at, schema = documents.columns.index("text"), documents.schema
-    for block in benchmark_blocks(benchmark, window, block_bytes):
+    """All rows and columns; hit words and what lies between them are taken out of the text, a newline stays instead.
 
-        def clean(batches, block=block):
+    All blocks mark their hits before the first word goes, so overlapping windows of different blocks go whole; windows
+    that the joined rest may form are then cut block by block. A column named `_cut` is reserved.
+    """
+    blocks, at = benchmark_blocks(benchmark, window, block_bytes), documents.columns.index("text")
+    marked = documents.withColumn("_cut", F.array().cast("array<int>"))
+    for block in blocks:
+
+        def mark(batches, block=block):
             for batch in batches:
                 if batch.num_rows:
-                    texts = pa.array([_without(t, block.value) for t in byte_texts(batch.column(at))], pa.binary())
-                    columns = list(batch.columns)
-                    columns[at] = texts.cast(batch.column(at).type)
+                    hits = batch.column(batch.num_columns - 1).to_pylist()
+                    for k, text in enumerate(byte_texts(batch.column(at))):
+                        found = [x for start, end, _ in block.value.occurrences(words_of(text)) for x in (start, end)]
+                        hits[k] = _merged(hits[k] + found) if found else hits[k]
+                    columns = [*batch.columns[:-1], pa.array(hits, batch.schema.types[-1])]
                     yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-        documents = documents.mapInArrow(clean, schema)
-    return documents
+        marked = marked.mapInArrow(mark, marked.schema)
+
+    def rewrite(batches, change):
+        for batch in batches:
+            if batch.num_rows:
+                texts = pa.array([change(t, k) for k, t in enumerate(byte_texts(batch.column(at)))], pa.binary())
+                columns = list(batch.columns)
+                columns[at] = texts.cast(batch.column(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    def cut_all(batches):
+        for batch in batches:
+            hits = batch.column(batch.num_columns - 1).to_pylist()
+            yield from rewrite([batch], lambda t, k, hits=hits: _cut(t, hits[k]) if hits[k] else t)
+
+    done = marked.mapInArrow(cut_all, marked.schema).drop("_cut")
+    for block in blocks:
+        done = done.mapInArrow(lambda batches, block=block: rewrite(batches, lambda t, _: _without(t, block.value)), documents.schema)
+    return done
 
 
 def _without(text: bytes | None, block: Block) -> bytes | None:
@@ -178,11 +202,16 @@ def _without(text: bytes | None, block: Block) -> bytes | None:
         spans = _merged([x for start, end, _ in block.occurrences(words_of(text)) for x in (start, end)])
         if not spans:
             break
-        plain = np.frombuffer(text.translate(_TABLE), dtype=np.uint8) != 32
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], plain, [False])).astype(np.int8)))
-        kept, done = [], 0
-        for start, end in zip(spans[::2], spans[1::2], strict=True):
-            kept.append(text[done : edges[2 * start]])
-            done = edges[2 * end - 1]
-        text = b"\n".join([*kept, text[done:]])
+        text = _cut(text, spans)
     return text
+
+
+def _cut(text: bytes, spans: list[int]) -> bytes:
+    """The text without the words from each start to each end."""
+    plain = np.frombuffer(text.translate(_TABLE), dtype=np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], plain, [False])).astype(np.int8)))
+    kept, done = [], 0
+    for start, end in zip(spans[::2], spans[1::2], strict=True):
+        kept.append(text[done : edges[2 * start]])
+        done = edges[2 * end - 1]
+    return b"\n".join([*kept, text[done:]])

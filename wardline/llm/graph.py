@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.llm.shared import written
 
@@ -10,20 +10,29 @@ from wardline.llm.shared import written
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (a, b: longs): root is the smallest node that can be reached.
 
-    Union-find by contraction: every node points to its smallest neighbour if that is smaller, pointers are followed
-    twice, links are redrawn between the nodes pointed to, and the rest goes into the next round. Each round writes its
-    pointers and its links to the shared folder, so lineage stays short and a lost executor costs one round at most.
+    Union-find by contraction: every node points to its first neighbour in some order if that comes before itself,
+    pointers are followed, links are redrawn between the nodes pointed to, and the rest goes into the next round. The
+    order alternates between that of the nodes, which ends stars, and a hashed one, which cuts chains. Each round writes
+    its pointers and its links to the shared folder, so lineage stays short and a lost executor costs one round at most.
     Repeated links and loops do no harm; no links give no rows. A node with very many links is combined before the
     shuffle when pointers are formed; the joins on it can be split by adaptive execution.
     """
     edges = written(links.select("a", "b"), "links")
-    labels = None
+    labels, turn = None, 0
     while True:
+
+        def rank(node: Column, turn: int = turn) -> Column:
+            return F.xxhash64(node, F.lit(turn)) if turn % 2 else node
+
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        b, near = F.col("b"), F.col("near")
+        first = both.groupBy("a").agg(F.min_by(b, rank(b)).alias("near"))
+        up = F.when(rank(near) < rank(F.col("a")), near).otherwise(F.col("a"))
+        point = written(first.select(F.col("a").alias("node"), up.alias("up")), "pointers")
         for _ in range(2):
             above = point.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            point = written(point.join(above, "up").select("node", F.col("top").alias("up")), "pointers")
+            point = point.join(above, "up").select("node", F.col("top").alias("up"))
+        point = written(point, "pointers")
         labels = (
             point.withColumnRenamed("up", "root")
             if labels is None
@@ -37,5 +46,9 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(),
             "links",
         )
+        turn += 1
         if edges.isEmpty():
-            return written(labels, "components")
+            break
+    labels = written(labels, "labels")
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return written(labels.join(least, "root").select("node", F.col("least").alias("root")), "components")

@@ -1,31 +1,42 @@
 """Language identification by compression: the dictionary that makes a text smallest names its language.
 
 For each language a raw-content dictionary is put together from pieces of at most ``SAMPLE`` training documents of it (a
-documented bound). Every whole text is then compressed once with each dictionary, in the task that reads it. Where the
-two smallest sizes are too close, the prediction is marked as rejected.
+documented bound). The lower-cased letter runs of every whole text are then compressed once with each dictionary, in the
+task that reads it. A run of zero bytes goes before them, as a block that does not shrink would be stored as it is and
+tell nothing. Where the two smallest sizes are too close, the prediction is marked as rejected.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wardline.llm.shared import byte_texts, held_out, map_batches, training_row
+from wardline.llm.shared import held_out, map_batches, training_row
 
-SAMPLE = 96
-PIECE = 1200
-LEVEL = 3
+SAMPLE = 400
+PIECE = 600
+LEVEL = 9
 #: Short texts are compressed with more search, as single bytes decide.
 SHORT, SHORT_LEVEL = 600, 19
 #: Bytes and share of the smallest size that the next one must be behind.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.01
 
 
+_FILL = bytes(400)
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> bytes:
+    """Lower-cased runs of letters, with blanks around them."""
+    return f" {' '.join(_LETTERS.findall(text.lower()))} ".encode()
+
+
 def learn_languages(documents: DataFrame, sample: int = SAMPLE, piece: int = PIECE) -> dict[str, bytes]:
-    """Dictionary content by language, from text and lang of training rows only; empty without such rows.
+    """Dictionary content by language, most frequent first, from text and lang of training rows; empty without such rows.
 
     Of each language the ``sample`` rows of smallest hash count, each with at most ``piece`` characters from a place that
     its hash chooses; only these pieces are shuffled and reach the driver.
@@ -37,15 +48,16 @@ def learn_languages(documents: DataFrame, sample: int = SAMPLE, piece: int = PIE
     chosen = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= sample).orderBy("lang", "at").collect()
     content: dict[str, list[bytes]] = {}
     for r in chosen:
-        content.setdefault(r["lang"], []).append(r["piece"].encode())
-    return {lang: b"\n".join(pieces) for lang, pieces in content.items()}
+        content.setdefault(r["lang"], []).append(letter_runs(r["piece"]))
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    return {r["lang"]: b"".join(content[r["lang"]]) for r in often}
 
 
 class Compressors:
     """One compressor for each language and level, made once in each worker."""
 
     def __init__(self, content: dict[str, bytes]) -> None:
-        self.languages = sorted(content)
+        self.languages = list(content)
         self.by_level = {}
         for level in (LEVEL, SHORT_LEVEL):
             made = []
@@ -57,9 +69,10 @@ class Compressors:
                 )
             self.by_level[level] = made
 
-    def predict(self, text: bytes) -> tuple[str, float, bool]:
+    def predict(self, text: str) -> tuple[str, float, bool]:
         """Language, score (its share of 2^-(bytes/4) over all languages) and whether the margin is too narrow."""
-        sizes = [len(c.compress(text)) for c in self.by_level[SHORT_LEVEL if len(text) < SHORT else LEVEL]]
+        text = _FILL + letter_runs(text)
+        sizes = [len(c.compress(text)) for c in self.by_level[SHORT_LEVEL if len(text) < SHORT + len(_FILL) else LEVEL]]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         low = sizes[best]
         score = 1.0 / sum(math.pow(2.0, -min(200.0, (s - low) / 4)) for s in sizes)
@@ -70,8 +83,8 @@ class Compressors:
 def identify_languages(documents: DataFrame, content: dict[str, bytes]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row.
 
-    Null texts and texts without a letter are `und` with score 0, as is everything when no language was learned. Equal
-    sizes go to the language that comes first. Repeated rows get equal results; other columns are not read.
+    Null texts and texts without a letter are `und` with score 0, as is everything when no language was learned. Of
+    equal sizes the more frequent language wins. Repeated rows get equal results; other columns are not read.
     """
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
@@ -79,7 +92,7 @@ def identify_languages(documents: DataFrame, content: dict[str, bytes]) -> DataF
             work.ready = Compressors(content)
         out = [
             work.ready.predict(t) if letter and content else ("und", 0.0, True)
-            for t, letter in zip(byte_texts(batch.column("text")), batch.column("letter").to_pylist(), strict=True)
+            for t, letter in zip(batch.column("text").to_pylist(), batch.column("letter").to_pylist(), strict=True)
         ]
         return {
             "doc_id": batch.column("doc_id"), "lang_pred": [o[0] for o in out], "score": [o[1] for o in out],

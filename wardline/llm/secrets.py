@@ -152,8 +152,11 @@ def span_list(spans: Column) -> Column:
 def secret_digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and added ones by start, then kind), n_added."""
     found = find_secrets(documents)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+        "doc_id", *[number(kind) for kind in KINDS], F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
         span_list(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
