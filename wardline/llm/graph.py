@@ -18,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     shuffle when pointers are formed; the joins on it can be split by adaptive execution.
     """
     edges = written(links.select("a", "b"), "links")
+    count = edges.count()
     labels, turn = None, 0
     while True:
 
@@ -28,11 +29,11 @@ def components(links: DataFrame) -> DataFrame:
         b, near = F.col("b"), F.col("near")
         first = both.groupBy("a").agg(F.min_by(b, rank(b)).alias("near"))
         up = F.when(rank(near) < rank(F.col("a")), near).otherwise(F.col("a"))
-        point = written(first.select(F.col("a").alias("node"), up.alias("up")), "pointers")
+        point = written(first.select(F.col("a").alias("node"), up.alias("up")), "pointers", 2 * count)
         for _ in range(2):
             above = point.select(F.col("node").alias("up"), F.col("up").alias("top"))
             point = point.join(above, "up").select("node", F.col("top").alias("up"))
-        point = written(point, "pointers")
+        point = written(point, "pointers", 2 * count)
         labels = (
             point.withColumnRenamed("up", "root")
             if labels is None
@@ -45,9 +46,10 @@ def components(links: DataFrame) -> DataFrame:
             edges.join(left, "a").join(right, "b").filter("a_up <> b_up")
             .select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(),
             "links",
+            count,
         )
-        turn += 1
-        if edges.isEmpty():
+        turn, count = turn + 1, edges.count()
+        if not count:
             break
     labels = written(labels, "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("least"))

@@ -8,8 +8,9 @@ Exact copies of a set form a class first and only one of each class goes on. In
 the smallest and the largest under a scrambled order of that bucket, so a bucket of n members makes 2n pairs. Pairs are
 screened by their signatures and confirmed on full sets, the most similar partner of each document first; pairs within a
 component that is already known are left out. A bucket that still holds several components is compared wholly, in blocks
-of bounded size: signatures of members of different components are compared inside a task and only pairs that may reach
-the threshold leave it. So no bucket is capped, and no link that a shared band could show is lost.
+of bounded size: signatures of members of different components are compared inside a task, each pair in the first bucket
+it shares; members that may reach the threshold come back with their full sets, which are compared inside a task as well,
+and only links leave it. So no bucket is capped, no pairs are listed, and no link that a shared band could show is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: A signature agrees in this share of coordinates or more, if the sets reach the threshold (five deviations below it).
 LEAST_AGREEMENT = 0.56
-BLOCK = 1024
+BLOCK = 512
 SMALL_KEYS = 2_000_000  # keys up to which a semi-join may be broadcast (16 bytes each); beyond, a plain join
 
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
@@ -107,17 +108,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     ones = written(with_set.join(classes.select("rid"), "rid", "left_semi").drop("print"), "representatives")
     members = _members(ones)
-    links, tested, joined = None, None, None
+    links = tested = joined = None
     for stage in ("best hub", "other hubs", "rest"):
-        pairs = _hub_pairs(members, ones, joined) if stage != "rest" else _rest_pairs(members, ones, joined)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if stage == "best hub":
-            best = W.partitionBy("member").orderBy(F.col("agreement").desc(), "a", "b")
-            pairs = pairs.withColumn("place", F.row_number().over(best)).filter("place = 1")
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
-        found = written(_confirmed(pairs, ones, documents), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        if stage == "rest":
+            found = written(_rest_links(members, ones, joined, documents), "links")
+        else:
+            pairs = _hub_pairs(members, ones, joined)
+            if stage == "best hub":
+                best = W.partitionBy("member").orderBy(F.col("agreement").desc(), "a", "b")
+                pairs = pairs.withColumn("place", F.row_number().over(best)).filter("place = 1")
+            else:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = tested = written(pairs.select("a", "b").distinct(), "pairs")
+            found = written(_confirmed(pairs, ones, documents), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             joined = components(links)
@@ -174,8 +177,8 @@ def _hub_pairs(members: DataFrame, ones: DataFrame, joined: DataFrame | None) ->
     )
 
 
-def _rest_pairs(members: DataFrame, ones: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """a < b of different components that share a bucket of four or more and whose signatures allow the threshold."""
+def _rest_links(members: DataFrame, ones: DataFrame, joined: DataFrame | None, documents: DataFrame) -> DataFrame:
+    """Links a < b between different components that share a bucket of four or more, enough of them to join all that are linked."""
     rooted = _rooted(members.select("bucket", "rid"), joined, "rid", "root")
     open_buckets = (
         rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -186,30 +189,62 @@ def _rest_pairs(members: DataFrame, ones: DataFrame, joined: DataFrame | None) -
     dealt = (
         rooted.join(open_buckets, "bucket").withColumn("own", block).withColumn("other", other)
         .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        .join(ones.select("rid", "sketch"), "rid").select("bucket", "i", "j", "own", "rid", "root", "sketch")
+        .join(ones.select("rid", "sketch", "bands"), "rid").select("bucket", "i", "j", "own", "rid", "root", "sketch", "bands")
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, COORDINATES)
-        root, rid, own = (group[c].to_numpy() for c in ("root", "rid", "own"))
-        across = group["i"].iloc[0] != group["j"].iloc[0]
-        least = int(np.ceil(LEAST_AGREEMENT * COORDINATES))
-        found = []
-        for k in range(len(x) - 1):
-            rest = np.flatnonzero((root[k + 1 :] != root[k]) & ((own[k + 1 :] != own[k]) | (not across))) + k + 1
-            if len(rest):
-                near = rest[(x[rest] == x[k]).sum(axis=1) >= least]
-                found += [(min(rid[k], rid[m]), max(rid[k], rid[m])) for m in near]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-
-
-def _confirmed(pairs: DataFrame, ones: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the threshold; sets are made again from the texts of the documents concerned."""
+    def hopeful(group: pd.DataFrame) -> pd.DataFrame:
+        near = {k for pair in _near_pairs(group) for k in pair}
+        return group.iloc[sorted(near)][["bucket", "i", "j", "own", "rid", "root", "sketch", "bands"]]
+
+    schema = "bucket long, i int, j int, own int, rid long, root long, sketch binary, bands array<long>"
+    left = written(dealt.groupBy("bucket", "i", "j").applyInPandas(hopeful, schema), "hopeful")
+    sets = _sets(left.select("rid").distinct(), ones, documents).withColumnRenamed("own", "set")
+
+    def confirm(group: pd.DataFrame) -> pd.DataFrame:
+        rid, root, sets = group["rid"].to_numpy(), group["root"].to_numpy(), group["set"].to_list()
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        links = []
+        for k, m in _near_pairs(group):
+            p, q = find(root[k]), find(root[m])
+            if p != q:
+                small, large = sorted((len(sets[k]), len(sets[m])))
+                if 100 * small >= PERCENT * large:
+                    shared = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                    if 100 * shared >= PERCENT * (small + large - shared):
+                        above[p] = q
+                        links.append((min(rid[k], rid[m]), max(rid[k], rid[m])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return left.join(sets, "rid").groupBy("bucket", "i", "j").applyInPandas(confirm, "a long, b long").distinct()
+
+
+def _near_pairs(group: pd.DataFrame):
+    """Places of members of different components whose signatures allow the threshold and that share no earlier band."""
+    x = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, COORDINATES)
+    keys, bucket = np.stack(group["bands"].to_list()), group["bucket"].iloc[0]
+    at = int(np.flatnonzero((keys == bucket).any(axis=0))[0])  # the band that this bucket belongs to
+    root, own = group["root"].to_numpy(), group["own"].to_numpy()
+    across = group["i"].iloc[0] != group["j"].iloc[0]
+    least = int(np.ceil(LEAST_AGREEMENT * COORDINATES))
+    for k in range(len(x) - 1):
+        rest = np.flatnonzero((root[k + 1 :] != root[k]) & ((own[k + 1 :] != own[k]) | (not across))) + k + 1
+        rest = rest[(x[rest] == x[k]).sum(axis=1) >= least]
+        if at and len(rest):
+            rest = rest[~(keys[rest, :at] == keys[k, :at]).any(axis=1)]
+        for m in rest.tolist():
+            yield k, m
+
+
+def _sets(rids: DataFrame, ones: DataFrame, documents: DataFrame) -> DataFrame:
+    """rid, own: the full shingle sets, made again from the texts of the documents concerned."""
     wanted = written(
-        pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        .join(ones.select("rid", "doc_id", "text_key"), "rid")
+        rids.join(ones.select("rid", "doc_id", "text_key"), "rid")
         .select("rid", F.coalesce("doc_id", F.lit(0)).alias("id_key"), F.col("doc_id").isNull().alias("id_null"), "text_key"),
         "wanted",
     )
@@ -223,7 +258,13 @@ def _confirmed(pairs: DataFrame, ones: DataFrame, documents: DataFrame) -> DataF
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         return {"rid": batch.column("rid"), "own": [shingles(t).view(np.int64) for t in byte_texts(batch.column("text"))]}
 
-    sets = written(map_batches(texts, work, "rid long, own array<long>"), "sets")
+    return written(map_batches(texts, work, "rid long, own array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, ones: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    rids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    sets = _sets(rids, ones, documents)
     left = sets.select(F.col("rid").alias("a"), F.col("own").alias("x"))
     right = sets.select(F.col("rid").alias("b"), F.col("own").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))

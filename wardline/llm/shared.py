@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+ROWS_PER_FILE = 100_000
 #: Separators of `[^\x20\x09-\x0D]+` words; bytes.split() without arguments splits at the same six bytes.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -26,10 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/wardline-llm/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once to the shared folder and read from there: lineage ends here."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there: lineage ends here.
+
+    ``rows``, a bound known beforehand, keeps small tables from being strewn over many files.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
