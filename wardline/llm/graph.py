@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     Repeated links and loops do no harm; no links give no rows. A node with very many links is combined before the
     shuffle when pointers are formed; the joins on it can be split by adaptive execution.
     """
-    edges = written(links.select("a", "b"), "links")
+    edges = links.select("a", "b")
     count = edges.count()
     labels, turn = None, 0
     while True:
@@ -54,3 +54,19 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(labels, "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("least"))
     return written(labels.join(least, "root").select("node", F.col("least").alias("root")), "components")
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components once more links are known: only the links between different components are worked on."""
+    if labels is None:
+        return None if links.isEmpty() else components(links)
+    for x in ("a", "b"):
+        roots = labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        links = links.join(roots, x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
+    across = written(links.filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "across")
+    if across.isEmpty():
+        return labels
+    above = components(across).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = labels.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(labels.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return written(moved.unionByName(fresh), "components")

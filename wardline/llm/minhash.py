@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wardline.llm.graph import components
+from wardline.llm.graph import extended
 from wardline.llm.shared import byte_texts, map_batches, mixed, window_hashes, word_hashes, written
 
 WORDS = 5
@@ -108,7 +108,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     ones = written(with_set.join(classes.select("rid"), "rid", "left_semi").drop("print"), "representatives")
     members = _members(ones)
-    links = tested = joined = None
+    tested = joined = None
     for stage in ("best hub", "other hubs", "rest"):
         if stage == "rest":
             found = written(_rest_links(members, ones, joined, documents), "links")
@@ -121,9 +121,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = tested = written(pairs.select("a", "b").distinct(), "pairs")
             found = written(_confirmed(pairs, ones, documents), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            joined = components(links)
+        joined = extended(joined, found)
     if joined is None:
         named = classes.select("print", F.col("first_id").alias("component_id"))
     else:

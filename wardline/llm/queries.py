@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm import chat, decontamination, language, licenses, lines, minhash, mixing, quality, secrets
+from wardline.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
