@@ -15,7 +15,7 @@ from wardline.plans.catalog import QUERIES
 from wardline.session import build_session
 
 HEADLINE = (
-    "rule_hits", "structural_signals", "minimize_strict_corpus", "classify_links", "retrieve", "screen_report",
+    "rule_hits", "structural_signals", "minimize_strict_corpus", "classify_links", "retrieve", "screen_report", "screen_all",
     "reputation_hits", "draft_qa", "admit", "user_sessions", "rule_usefulness", "collect_metrics",
 )
 

@@ -131,7 +131,7 @@ def test_retrieve_orders_mandatory_then_score_then_id(spark, rules, messages):
     approved = RT.load_cards(cards)["approved"]
     screened = screen(messages, RU.flatten_rules(rules), approved)
     rows = {r.msg_id: r for r in screened.collect()}
-    assert 5 not in rows  # empty messages leave first
+    assert rows[5].status == "empty_input" and rows[5].hits == [] and rows[5].card_ids == []
     assert rows[2].card_ids == ["c.a", "c.b", "c.z"] and rows[2].retrieval_mode == "rule"
     assert rows[2].reviewed_case_ids == ["case.2", "case.1"]
     assert (rows[1].card_ids, rows[1].retrieval_mode) == (["c.a"], "signal")
@@ -148,3 +148,75 @@ def test_kb_version_falls_back_when_too_long(spark):
     assert RT.kb_version("v1", ts).first().kb_version == "v1.db20240102030405"
     assert RT.kb_version("v" * 70, ts).first().kb_version == "v" * 70
     assert RT.kb_version("v1", ts.limit(0)).first().kb_version == "v1"
+
+
+def _awkward(spark):
+    rows = [
+        ("1", "u", "ru", "text", "Пришлите код из смс"), ("1", "u", "ru", "text", "nothing at all"), (None, "u", "ru", "text", "Пришлите код из смс"),
+        (None, "u", "ru", "text", None), ("2", "u", None, "text", "Пришлите код из смс"), ("3", "u", None, "text", ""),
+    ]
+    return spark.createDataFrame(rows, "msg_id string, user_key string, language string, input_type string, text string")
+
+
+def _pack(spark):
+    return RU.flatten_rules(
+        spark.createDataFrame(
+            [(1, "a.code", "fam", "d", "k", 3, "otp_request", {"ru": ["пришлите код", "regex:код\\s+из", "из смс"]}), (2, "a.none", "fam", "d", "k", 1, None, {"ru": ["at all"]})],
+            "rule_order int, rule_id string, family string, desc string, message_key string, severity int, emits_signal string, match map<string,array<string>>",
+        )
+    )
+
+
+def _bag(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_both_paths_agree_on_null_and_repeated_ids(spark):
+    messages, patterns = _awkward(spark), _pack(spark)
+    assert _bag(RU.rule_hits(messages, patterns)) == _bag(RU.rule_hits(messages, patterns, inline_limit=0))
+    assert len(RU.rule_hits(messages, patterns).collect()) == 4
+    inline = RU.matching_patterns(messages, patterns)
+    assert _bag(inline) == _bag(RU.matching_patterns(messages, patterns, inline_limit=0).select(*inline.columns))
+    matched = RU.with_rule_hits(RU.with_normalized(messages), patterns)
+    joined = RU.with_rule_hits(RU.with_normalized(messages), patterns, inline_limit=0)
+    assert matched.columns == joined.columns and _bag(matched) == _bag(joined)
+    cards = RT.load_cards(spark.createDataFrame([card("c.a", rules=["a.code"], cases=["case.1"]), card("c.b", aliases=["код", "смс"]), card("c.c", kinds=["otp_request"])], schemas.CARDS))["approved"]
+    texts = messages.withColumnRenamed("text", "minimized")
+    aliases = RT.card_aliases(cards)
+    assert _bag(RT.cue_scores(texts, aliases)) == _bag(RT.cue_scores(texts, aliases, inline_limit=0))
+    screened = screen(messages, patterns)
+    one, other = (RT.retrieve(screened, cards, inline_limit=n) for n in (4000, 0))
+    columns = ["msg_id", "text", "card_ids", "retrieval_mode", "retrieval_status", "reviewed_case_ids"]
+    assert _bag(one.select(*columns)) == _bag(other.select(*columns))
+
+
+def test_screen_keeps_every_message(spark):
+    long = "Пришлите код из смс " * 500
+    messages = _awkward(spark).union(spark.createDataFrame([("9", "u", "uz_latn", "text", long), ("8", "u", "ru", "text", " Спасибо! ")], "a string, b string, c string, d string, e string"))
+    messages = messages.selectExpr("*", "array(named_struct('kind', 'qr', 'note', cast(null as string))) AS content_signals")
+    phrases = spark.createDataFrame([("спасибо",)], "phrase string")
+    rows = screen(messages, _pack(spark), phrases=phrases).collect()
+    assert len(rows) == 8
+    by_id = {r.msg_id: r for r in rows if r.msg_id in ("2", "3", "8", "9")}
+    assert [h.rule_id for h in by_id["9"].hits] == ["a.code"] and by_id["9"].status is None
+    assert by_id["8"].status == "meta" and by_id["8"].hits == [] and by_id["8"].signals == []
+    assert by_id["3"].status == "empty_input" and ("qr", None) in [tuple(s) for s in by_id["2"].signals]
+    labelled = {r.msg_id: r for r in screen(messages, _pack(spark), limit=6000).collect()}
+    assert labelled["9"].status == "unsupported_media" and [h.rule_id for h in labelled["9"].hits] == ["a.code"]
+
+
+def test_cards_without_id_are_quarantined(spark):
+    rows = [card("c.a"), card(None), card(None)]
+    parts = RT.load_cards(spark.createDataFrame(rows, schemas.CARDS))
+    assert [r.id for r in parts["approved"].collect()] == ["c.a"]
+    assert [r.reason for r in parts["quarantine"].collect()] == ["invalid_id", "invalid_id"]
+
+
+def test_message_keys_do_not_collide(spark):
+    from wardline.sources.readers import conversations_as_messages, documents_as_messages, pages_as_messages
+
+    turns = spark.createDataFrame([(1, 1000, "user", "a"), (2, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    docs = spark.createDataFrame([(1, "t", "en", "s")], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(1, "u")], "page_id long, url string")
+    every = conversations_as_messages(turns).union(documents_as_messages(docs)).union(pages_as_messages(pages))
+    assert every.select("msg_id").distinct().count() == 4

@@ -49,13 +49,18 @@ def salted_join(
     return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input of fewer files than there are cores, dealt out over all cores; larger input as it is.
+def lookup_join(
+    big: DataFrame, small: DataFrame, on: list[str], how: str, spread: Column, limit: int = INLINE_LIMIT
+) -> DataFrame:
+    """Equi-join with a lookup side: broadcast when it has at most ``limit`` rows, else salted. Same rows either way."""
+    if len(small.limit(limit + 1).take(limit + 1)) <= limit:
+        return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, how, spread)
 
-    A single small file is often one row group and thus one task. With many files nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+def content_key(*values: Column) -> Column:
+    """128 bits that stand for some column values, null included: rows of equal content share a key."""
+    return F.md5(F.to_json(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]), {"ignoreNullFields": "false"}))
 
 
 def rate(numerator: Column, denominator: Column, digits: int | None = 4) -> Column:
@@ -94,9 +99,11 @@ def split_valid(df: DataFrame, checks: dict[str, Column]) -> dict[str, DataFrame
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder; a local one only if unset."""
+    """A new folder under spark.checkpoint.dir. Without that setting a local session gets one of its own, others fail."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="wardline-")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import draft_values as D, fixed_values as V
 from wardline.functions.text import any_of, casefold, normalize_output
-from wardline.operators.common import first_failure
+from wardline.operators.common import first_failure, lookup_join
 
 _STRINGS = "array<string>"
 _HITS = "array<struct<rule_id:string,severity:int>>"
@@ -207,7 +207,8 @@ def token_cost(events: DataFrame, rates: DataFrame) -> DataFrame:
         F.col("input_tokens").cast("decimal(20,0)") * F.col("in_rate_per_m").cast(dec)
         + F.col("output_tokens").cast("decimal(20,0)") * F.col("out_rate_per_m").cast(dec)
     ) / F.lit(1000000).cast("decimal(10,0)")
-    priced = events.join(rates.select("model", "in_rate_per_m", "out_rate_per_m"), "model", "left")
+    prices = rates.select("model", "in_rate_per_m", "out_rate_per_m")
+    priced = lookup_join(events, prices, ["model"], "left", F.struct("input_tokens", "output_tokens"))
     return priced.withColumn("cost_usd", F.round(cost, 6).cast("decimal(18,6)")).drop(
         "in_rate_per_m", "out_rate_per_m"
     )

@@ -17,9 +17,9 @@ DRAFT_SCHEMA = (
 def json_payload(raw: Column) -> Column:
     """The JSON object text of a model output: fence removed, else the outermost braces, else null."""
     text = F.trim(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""))
-    opened = F.regexp_replace(text, r"^```[a-zA-Z]*\n?", "")
+    opened = F.regexp_replace(text, D.FENCE_OPEN, "")
     bare = F.when(
-        text.startswith("```"), F.trim(F.regexp_replace(opened, r"\n?```$", ""))
+        text.startswith("```"), F.trim(F.regexp_replace(opened, D.FENCE_CLOSE, ""))
     ).otherwise(text)
 
     def usable(candidate: Column) -> Column:
@@ -29,7 +29,7 @@ def json_payload(raw: Column) -> Column:
         return F.when(single & F.schema_of_variant(listed).startswith("ARRAY<OBJECT"), candidate)
 
     return bind(
-        bare, lambda t: F.coalesce(usable(t), usable(F.regexp_extract(t, r"(?s)\{.*\}", 0)))
+        bare, lambda t: F.coalesce(usable(t), usable(F.regexp_extract(t, D.OUTER_BRACES, 0)))
     )
 
 
@@ -53,8 +53,8 @@ def parse_drafts(outputs: DataFrame) -> DataFrame:
 
 def answer_script(text: Column) -> Column:
     """Script-based language of an answer."""
-    cyrillic = F.regexp_count(text, F.lit("[А-Яа-яЁё]"))
-    latin = F.regexp_count(text, F.lit("[A-Za-z]"))
+    cyrillic = F.regexp_count(text, F.lit(D.RUBRIC_CYRILLIC))
+    latin = F.regexp_count(text, F.lit(D.RUBRIC_LATIN))
     return (
         F.when(text.rlike(D.RUBRIC_UZ_LETTER), "uz_latn")
         .when(cyrillic > latin, "ru")
@@ -100,6 +100,12 @@ def failing_keys() -> Column:
     )
 
 
+def failing_fixtures(scores: DataFrame, id_cols: tuple[str, ...] = ("answer_id",)) -> DataFrame:
+    """(provider, ids, failing): the rubric keys that each scored output fails, of those that fail any."""
+    listed = scores.withColumn("failing", failing_keys())
+    return listed.filter(F.size("failing") > 0).select("provider", *id_cols, "failing")
+
+
 def eval_leaderboard(scores: DataFrame) -> DataFrame:
     """Points, maximum and share per provider."""
     most = F.count("*") * len(D.RUBRIC_KEYS)

@@ -203,7 +203,7 @@ def erase_users(tables: dict[str, DataFrame], keys: DataFrame, now: Column) -> d
         tables["check_event"].select("id", "user_key"), marked, ["user_key"], "inner", F.col("id")
     ).select(F.col("id").alias("check_id"))
     audit = gone.select(
-        F.uuid().alias("id"),
+        F.md5(F.concat_ws("|", deletion_audit_key(F.col("user_key")), now.cast("string"))).alias("id"),
         deletion_audit_key(F.col("user_key")).alias("user_key"),
         now.alias("requested_ts"),
         now.alias("completed_ts"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions import links as L
-from wardline.operators.common import INLINE_LIMIT, bounded_rows, salted_join
+from wardline.operators.common import INLINE_LIMIT, bounded_rows, lookup_join, salted_join
 from wardline.operators.matching import match_literals
 
 
@@ -62,7 +62,7 @@ def official_domains(domains: DataFrame, brands: DataFrame) -> DataFrame:
     """
     parents = domains.select("domain", F.explode(domain_ancestors(F.col("domain"))).alias("parent"))
     allowed = brands.select("brand", F.col("domain").alias("parent"))
-    return parents.join(allowed, "parent").select("domain", "brand").distinct()
+    return lookup_join(parents, allowed, ["parent"], "inner", F.col("domain")).select("domain", "brand").distinct()
 
 
 def shortened_domains(domains: DataFrame, shorteners: DataFrame) -> DataFrame:
@@ -96,12 +96,13 @@ def brand_lookalikes(domains: DataFrame, brands: DataFrame) -> DataFrame:
     )
     labels = folded.select(
         "domain", F.explode(F.array_distinct(L.brand_labels(F.col("folded")))).alias("label")
-    )
+    ).filter(F.length("label") >= 3)  # a brand of four letters or more is two edits from anything shorter
     long_names = names.filter(F.length("brand") >= 4)
-    shared = labels.select("domain", "label", F.explode(_one_edit_keys(F.col("label"))).alias("form")).join(
-        long_names.select("brand", F.explode(_one_edit_keys(F.col("brand"))).alias("form")), "form"
-    )
-    near = shared.filter(F.levenshtein("label", "brand", 1) >= 0).select("domain", "brand")
+    # Each label once, however many hosts have it; what it nearly spells goes back to the hosts.
+    forms = labels.select("label").distinct().select("label", F.explode(_one_edit_keys(F.col("label"))).alias("form"))
+    shared = forms.join(long_names.select("brand", F.explode(_one_edit_keys(F.col("brand"))).alias("form")), "form")
+    spelled = shared.filter(F.levenshtein("label", "brand", 1) >= 0).select("label", "brand").distinct()
+    near = lookup_join(labels, spelled, ["label"], "inner", F.col("domain")).select("domain", "brand")
     found = inside.unionByName(near).distinct()
     owned = official_domains(hosts.filter("not mixed_script"), brands)
     return found.join(owned, ["domain", "brand"], "left_anti")
@@ -178,6 +179,15 @@ def merge_strings(floor: DataFrame, extra: DataFrame, column: str) -> DataFrame:
     return floor.select(column).union(clean).distinct()
 
 
+def merge_catalog(floor: dict[str, DataFrame], extra: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A whole catalog: brands replaced brand by brand, shorteners and suffixes united."""
+    return {
+        "brands": merge_brands(floor["brands"], extra["brands"]),
+        "shorteners": merge_strings(floor["shorteners"], extra["shorteners"], "domain"),
+        "suffixes": merge_strings(floor["suffixes"], extra["suffixes"], "label"),
+    }
+
+
 def parse_threat_feed(lines: DataFrame) -> DataFrame:
     """(domain_hash, source) from feed lines (``value``, ``source``); only hashes survive."""
     candidates = F.regexp_extract_all("value", F.lit(V.FEED_CANDIDATE), F.lit(0))
@@ -215,6 +225,11 @@ def reputation_hits(
     hashed = message_domains(messages, id_col).select(
         id_col, L.hash_domain(F.col("domain")).alias("domain_hash")
     )
+    return reputation_of_hashes(hashed, blocklist, id_col)
+
+
+def reputation_of_hashes(hashed: DataFrame, blocklist: DataFrame, id_col: str) -> DataFrame:
+    """The hits of rows (id, domain_hash)."""
     listed = blocklist.groupBy("domain_hash").agg(
         F.collect_set("source").alias("sources"), F.min("first_seen").alias("first_seen")
     )

@@ -6,9 +6,11 @@ from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.operators.common import INLINE_LIMIT, constant, pages
+from wardline.operators.common import INLINE_LIMIT, constant, pages, salted_join
 
 _GRAM = 3
+#: Distinct keys of the literals up to which they are broadcast; beyond, the joins are salted.
+KEY_LIMIT = 200_000
 
 
 def one_of_literals(needles: list[str]) -> str:
@@ -71,10 +73,11 @@ def match_literals(
 ) -> DataFrame:
     """(id_col, lit_id) for each literal contained in each text.
 
-    ``literals`` has ``lit_id`` (a number) and ``needle``. A literal that holds a whole word between
-    two spaces meets the texts on its rarest such word, any other one on its rarest three letters;
-    what meets is then verified. Literals shorter than that go into expressions page by page. Every
-    way is exact and none compares all texts with all literals.
+    ``literals`` has ``lit_id`` (a number) and ``needle``; ids of texts must be unique. A literal that holds a whole word
+    between two spaces meets the texts on such a word, any other one on three of its letters, each time the one that
+    fewest texts hold; what meets is then verified. Pieces of texts that no literal has are dropped before any shuffle as
+    long as the literals are few enough to broadcast their keys. Literals of one or two letters go into expressions page
+    by page. Every way is exact and none compares all texts with all literals.
     """
     texts = texts.select(id_col, F.col(text_col).alias("_text"))
     length = F.length("needle")
@@ -99,10 +102,19 @@ def match_literals(
     for some, keys, pieces in ((with_word, F.col("_inner"), words), (without, grams("needle"), grams)):
         if some.isEmpty():
             continue
-        anchors = _rarest(some.select("lit_id", "needle", F.explode(F.array_distinct(keys)).alias("key")))
         key = F.explode(F.array_distinct(pieces("_text"))).alias("key")
+        own = some.select("lit_id", "needle", F.explode(F.array_distinct(keys)).alias("key"))
+        few = len(own.select("key").distinct().take(KEY_LIMIT + 1)) <= KEY_LIMIT
+
+        def meet(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
+            if few:
+                return big.join(F.broadcast(small), "key", how)
+            return salted_join(big, small, ["key"], how, F.col(id_col))
+
+        held = meet(texts.select(id_col, key), own.select("key").distinct(), "left_semi")
+        anchors = _rarest(own, held.groupBy("key").agg(F.count("*").alias("uses")))
         # Only ids travel with the pieces; the text itself is shuffled once, to verify candidates.
-        candidates = texts.select(id_col, key).join(anchors, "key").drop("key")
+        candidates = meet(texts.select(id_col, key), anchors, "inner").drop("key")
         verified = candidates.join(texts, id_col).filter(F.contains("_text", "needle"))
         parts.append(verified.select(id_col, "lit_id"))
     if not parts:
@@ -113,9 +125,8 @@ def match_literals(
     return merged
 
 
-def _rarest(pieces: DataFrame) -> DataFrame:
-    """(lit_id, needle, key): of each literal's keys the one that fewest literals share."""
-    uses = pieces.groupBy("key").agg(F.count("*").alias("uses"))
+def _rarest(pieces: DataFrame, uses: DataFrame) -> DataFrame:
+    """(lit_id, needle, key): of each literal's keys the one that fewest texts hold, if any does."""
     return (
         pieces.join(uses, "key")
         .groupBy("lit_id", "needle")

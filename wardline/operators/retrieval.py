@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions.text import casefold, normalize_text, strip
-from wardline.operators.common import INLINE_LIMIT, bounded_rows, constant, split_valid
+from wardline.operators.common import INLINE_LIMIT, bounded_rows, constant, content_key, lookup_join, salted_join, split_valid
 from wardline.operators.matching import match_literals, one_of_literals
 
 _STRINGS = "array<string>"
@@ -15,7 +15,7 @@ _CUES = "array<struct<card_id:string,score:bigint>>"
 
 def load_cards(cards: DataFrame) -> dict[str, DataFrame]:
     """Approved cards of a sound card table, and the rows that break its contract."""
-    copies = cards.groupBy("id").agg(F.count("*").alias("copies"))
+    copies = cards.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("copies"))
     checks = {
         "invalid_id": F.col("id").rlike(V.ID_SHAPE),
         "duplicate_id": F.col("copies") == 1,
@@ -29,7 +29,7 @@ def load_cards(cards: DataFrame) -> dict[str, DataFrame]:
             F.concat("trigger_rule_ids", "reviewed_case_ids"), lambda i: i.rlike(V.ID_SHAPE)
         ),
     }
-    parts = split_valid(cards.join(copies, "id"), checks)
+    parts = split_valid(cards.join(copies, "id", "left"), checks)
     return {
         "approved": parts["valid"].filter(F.col("status") == "approved").drop("copies"),
         "quarantine": parts["quarantine"].drop("copies"),
@@ -42,8 +42,9 @@ def mandatory_cards(
     """(id, card_id, by_rule): cards triggered by a rule id or by a signal kind."""
     by_rule = cards.select(F.col("id").alias("card_id"), F.explode("trigger_rule_ids").alias("rule_id"))
     by_kind = cards.select(F.col("id").alias("card_id"), F.explode("trigger_signal_kinds").alias("kind"))
-    ruled = hits.select(id_col, "rule_id").distinct().join(by_rule, "rule_id")
-    signalled = signals.select(id_col, "kind").distinct().join(by_kind, "kind")
+    # A card may share its trigger with many others, a trigger may come from a third of all messages.
+    ruled = lookup_join(hits.select(id_col, "rule_id").distinct(), by_rule, ["rule_id"], "inner", F.col(id_col))
+    signalled = lookup_join(signals.select(id_col, "kind").distinct(), by_kind, ["kind"], "inner", F.col(id_col))
     both = ruled.select(id_col, "card_id", F.lit(True).alias("by_rule")).unionByName(
         signalled.select(id_col, "card_id", F.lit(False).alias("by_rule"))
     )
@@ -63,18 +64,24 @@ def card_aliases(cards: DataFrame) -> DataFrame:
 def cue_scores(
     messages: DataFrame, aliases: DataFrame, id_col: str = "msg_id", inline_limit: int = INLINE_LIMIT
 ) -> DataFrame:
-    """(id, card_id, score): number of aliases of a card found in the ``minimized`` text."""
+    """(id, card_id, score): number of aliases of a card found in the ``minimized`` text.
+
+    One row for each message row and card, whether ids repeat or not; the limit decides the plan only.
+    """
     texts = messages.select(id_col, normalize_text(F.col("minimized")).alias("normalized"))
     rows = bounded_rows(aliases, inline_limit)
     if rows is None:
         keyed = aliases.withColumn("lit_id", F.xxhash64("alias"))
         needles = keyed.select("lit_id", F.col("alias").alias("needle")).distinct()
-        found = match_literals(texts, id_col, "normalized", needles, inline_limit)
-        return (
+        rows = texts.withColumn("_cue_key", content_key(F.col("normalized")))
+        distinct = rows.select("_cue_key", "normalized").dropDuplicates(["_cue_key"])
+        found = match_literals(distinct, "_cue_key", "normalized", needles, inline_limit)
+        scores = (
             found.join(keyed.select("lit_id", "card_id"), "lit_id")
-            .groupBy(id_col, "card_id")
+            .groupBy("_cue_key", "card_id")
             .agg(F.count("*").alias("score"))
         )
+        return salted_join(rows, scores, ["_cue_key"], "inner", F.col(id_col)).select(id_col, "card_id", "score")
     scored = F.explode(_cue_array(F.col("normalized"), rows)).alias("cue")
     return texts.select(id_col, scored).select(id_col, "cue.*")
 
@@ -174,8 +181,9 @@ def retrieve(
 ) -> DataFrame:
     """Adds card_ids, retrieval_mode, retrieval_status and reviewed_case_ids.
 
-    Needs ``hits``, ``signals`` and ``minimized``. A card table whose triggers and aliases number at
-    most ``inline_limit`` becomes one expression and the step shuffles nothing.
+    Needs ``hits``, ``signals`` and ``minimized``. A card table whose triggers and aliases number at most ``inline_limit``
+    becomes one expression and the step shuffles nothing. Beyond, each distinct content (rule ids, signal kinds, text) is
+    ranked once through joins and every row gets the cards of its content. The limit decides the plan only.
     """
     aliases = card_aliases(cards)
     alias_rows = bounded_rows(aliases, inline_limit)
@@ -183,15 +191,23 @@ def retrieve(
         cards.select("id", "trigger_rule_ids", "trigger_signal_kinds", "reviewed_case_ids"), inline_limit
     )
     if alias_rows is None or card_rows is None:
-        hits = messages.select(id_col, F.explode("hits").alias("h")).select(id_col, "h.rule_id")
-        signals = messages.select(id_col, F.explode("signals").alias("s")).select(id_col, "s.kind")
+        rule_ids = F.array_distinct(F.transform("hits", lambda h: h.rule_id))
+        kinds = F.array_distinct(F.transform("signals", lambda s: s.kind))
+        keyed = messages.withColumn("_content", content_key(rule_ids, kinds, F.col("minimized")))
+        contents = keyed.select("_content", rule_ids.alias("rules"), kinds.alias("kinds"), "minimized").dropDuplicates(["_content"])
         ranked = rank_cards(
-            mandatory_cards(hits, signals, cards, id_col),
-            cue_scores(messages, aliases, id_col, inline_limit),
-            id_col,
+            mandatory_cards(
+                contents.select("_content", F.explode("rules").alias("rule_id")),
+                contents.select("_content", F.explode("kinds").alias("kind")),
+                cards,
+                "_content",
+            ),
+            cue_scores(contents, aliases, "_content", inline_limit),
+            "_content",
             k,
         )
-        return _with_cases(with_mode_status(messages, ranked, id_col), cards, id_col)
+        chosen = _with_cases(with_mode_status(contents.select("_content"), ranked, "_content"), cards, "_content")
+        return salted_join(keyed, chosen, ["_content"], "left", F.col(id_col)).drop("_content")
     if not card_rows:
         empty = F.array().cast(_STRINGS)
         return (
@@ -254,9 +270,9 @@ def retrieve(
 
 
 def _with_cases(selected: DataFrame, cards: DataFrame, id_col: str) -> DataFrame:
+    chosen = selected.select(id_col, F.posexplode("card_ids").alias("pos", "id"))
     cases = (
-        selected.select(id_col, F.posexplode("card_ids").alias("pos", "id"))
-        .join(cards.select("id", "reviewed_case_ids"), "id")
+        lookup_join(chosen, cards.select("id", "reviewed_case_ids"), ["id"], "inner", F.col(id_col))
         .groupBy(id_col)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "reviewed_case_ids"))).alias("all"))
         .select(
@@ -282,10 +298,9 @@ def apply_router(
     needed = selected.filter(F.col("retrieval_status") == "empty").select(id_col)
     asked = proposals.join(needed, id_col, "left_semi")
     known = cards.select(F.col("id").alias("card_id")).distinct().withColumn("known", F.lit(True))
+    proposed = asked.filter("not failed").select(id_col, F.posexplode("card_ids").alias("pos", "card_id"))
     listed = (
-        asked.filter("not failed")
-        .select(id_col, F.posexplode("card_ids").alias("pos", "card_id"))
-        .join(known, "card_id", "left")
+        lookup_join(proposed, known, ["card_id"], "left", F.col(id_col))
         .groupBy(id_col)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "card_id", "known"))).alias("all"))
     )

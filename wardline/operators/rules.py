@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions.text import any_of, casefold, normalize_text, strip
-from wardline.operators.common import INLINE_LIMIT, bounded_rows, constant, pages, split_valid
+from wardline.operators.common import (
+    INLINE_LIMIT, bounded_rows, constant, content_key, lookup_join, pages, salted_join, split_valid,
+)
 from wardline.operators.matching import match_literals, match_regexes, one_of_literals
 
 HIT_TYPE = (
@@ -116,14 +118,17 @@ def with_rule_hits(
 ) -> DataFrame:
     """Adds ``hits``, one entry per rule that fires, in pack order. Needs ``normalized``.
 
-    A pack of at most ``inline_limit`` patterns becomes one expression, so nothing is shuffled.
-    A larger one goes through equi-joins on pieces of the patterns.
+    A pack of at most ``inline_limit`` patterns becomes one expression, so nothing is shuffled. A larger one goes through
+    equi-joins on pieces of the patterns: distinct texts are screened once and every row gets the hits of its text. The
+    limit decides the plan only; ids may repeat or be null.
     """
     rows = _usable_rows(patterns, inline_limit)
     if rows is None:
-        hits = _joined_hits(messages, usable_patterns(patterns), id_col, inline_limit)
+        keyed, texts = _distinct_texts(messages)
+        hits = _joined_hits(texts, usable_patterns(patterns), "_content", inline_limit)
         empty = F.array().cast(HIT_TYPE)
-        return messages.join(hits, id_col, "left").withColumn("hits", F.coalesce("hits", empty))
+        joined = salted_join(keyed, hits, ["_content"], "left", F.col(id_col)).drop("_content")
+        return joined.select(*messages.columns, F.coalesce("hits", empty).alias("hits"))
     text, empty = F.col("normalized"), F.array().cast(HIT_TYPE)
     if not rows:
         return messages.withColumn("hits", empty)
@@ -138,6 +143,12 @@ def with_rule_hits(
     return messages.withColumn("hits", F.when(_may_match(text, rows), hits).otherwise(empty))
 
 
+def _distinct_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the key of their normalised text, and each such text once."""
+    keyed = messages.withColumn("_content", content_key(F.col("normalized")))
+    return keyed, keyed.select("_content", "normalized").dropDuplicates(["_content"])
+
+
 def _block_hits(text: Column, rules: list[list]) -> Column:
     """Hits of a few rules whose literals and fields sit in one constant."""
     pack = constant(
@@ -195,11 +206,11 @@ def rule_hits(
 
 
 def matching_patterns(
-    messages: DataFrame, patterns: DataFrame, id_col: str = "msg_id"
+    messages: DataFrame, patterns: DataFrame, id_col: str = "msg_id", inline_limit: int = INLINE_LIMIT
 ) -> DataFrame:
-    """(id, rule_id, pattern): every pattern that fired, for dry runs of a pack."""
+    """(id, rule_id, pattern): every pattern that fired, for dry runs of a pack; the limit decides the plan only."""
     texts = with_normalized(messages).select(id_col, "normalized")
-    rows = _usable_rows(patterns, INLINE_LIMIT)
+    rows = _usable_rows(patterns, inline_limit)
     if rows is not None:
         if not rows:
             return texts.select(id_col, F.lit("").alias("rule_id"), F.lit("").alias("pattern")).filter(F.lit(False))
@@ -226,11 +237,13 @@ def matching_patterns(
         return possible.select(id_col, found).select(id_col, "found.*")
     keyed = usable_patterns(patterns).withColumn("lit_id", F.xxhash64("needle", "is_regex"))
     needles = keyed.select("lit_id", "needle", "is_regex").distinct()
-    found = match_literals(texts, id_col, "normalized", needles.filter("not is_regex"))
-    regex_found = match_regexes(texts, id_col, "normalized", needles.filter("is_regex"))
+    rows, distinct = _distinct_texts(texts)
+    found = match_literals(distinct, "_content", "normalized", needles.filter("not is_regex"))
+    regex_found = match_regexes(distinct, "_content", "normalized", needles.filter("is_regex"))
     if regex_found is not None:
         found = found.unionByName(regex_found)
-    return found.join(keyed.select("lit_id", "rule_id", "pattern"), "lit_id").drop("lit_id")
+    named = found.join(keyed.select("lit_id", "rule_id", "pattern"), "lit_id").drop("lit_id")
+    return salted_join(rows, named, ["_content"], "inner", F.col(id_col)).select(id_col, "rule_id", "pattern")
 
 
 def rule_signals(hits: DataFrame, id_col: str = "msg_id") -> DataFrame:
@@ -257,7 +270,7 @@ def top_families(
 ) -> DataFrame:
     """(id, families): up to k families by severity, then first position, then name."""
     exploded = checks.select(id_col, F.posexplode("rule_ids").alias("pos", "rule_id"))
-    known = exploded.join(rules.select("rule_id", "family", "severity"), "rule_id")
+    known = lookup_join(exploded, rules.select("rule_id", "family", "severity"), ["rule_id"], "inner", F.col(id_col))
     ranked = known.groupBy(id_col, "family").agg(
         F.min(F.struct((-F.col("severity")).alias("neg"), "pos")).alias("best")
     )
@@ -288,9 +301,9 @@ def share_summary(
     )
     line = F.replace("families_line", F.lit("{families}"), F.array_join(named, ", "))
     full = F.concat_ws("\n", "lead", line, "caution", "cta")
+    wording = wording.withColumnRenamed("families", "families_line")
     return (
-        top.withColumn("language", language)
-        .join(wording.withColumnRenamed("families", "families_line"), "language")
+        lookup_join(top.withColumn("language", language), wording, ["language"], "inner", F.col(id_col))
         .select(
             id_col,
             F.when(F.size(F.coalesce("families", F.array())) == 0, F.concat_ws("\n", "generic", "cta"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
+from wardline.operators.common import lookup_join
 from wardline.functions.text import assemble_content, chatter_key, length_status, strip
 
 
@@ -22,7 +23,7 @@ def flag_meta(
     known = phrases.select(F.col("phrase").alias("_key")).distinct().withColumn("_hit", F.lit(True))
     keyed = messages.withColumn("_key", chatter_key(F.col("text"), address_words))
     return (
-        keyed.join(known, "_key", "left")
+        lookup_join(keyed, known, ["_key"], "left", F.monotonically_increasing_id())
         .withColumn("is_meta", F.coalesce("_hit", F.lit(False)))
         .drop("_key", "_hit")
     )
@@ -40,9 +41,10 @@ def localize_status(results: DataFrame, copy: DataFrame) -> DataFrame:
     default = copy.filter(F.col("status") == "unsupported_media").select(
         "language", F.col("message").alias("_default")
     )
+    spread = F.monotonically_increasing_id()
+    named = lookup_join(results, copy.select("status", "language", "message"), ["status", "language"], "left", spread)
     return (
-        results.join(copy.select("status", "language", "message"), ["status", "language"], "left")
-        .join(default, "language", "left")
+        lookup_join(named, default, ["language"], "left", spread)
         .withColumn("message", F.coalesce("message", "_default"))
         .drop("_default")
     )
@@ -94,24 +96,37 @@ def _json_signal(s: Column) -> Column:
     )
 
 
-def _card_block(c: Column) -> Column:
-    return F.concat(
-        F.lit("- CARD "), c.id, F.lit(" version="), c.version,
-        F.lit("\n  mechanism: "), c.mechanism,
-        F.lit("\n  possible warning signs: "), json_list(c.red_flags),
-        F.lit("\n  verification guidance: "), json_list(c.verify_steps),
-        F.lit("\n  questions: "), json_list(c.questions),
-        F.lit(
-            "\n  Treat this as reviewed guidance, never as proof that the current "
-            "person or situation matches a previous case."
-        ),
+#: Default block of a card; the wording of a product is the caller's.
+CARD_TEMPLATE = "- card {id} v{version}\n  about: {mechanism}\n  flags: {red_flags}\n  checks: {verify_steps}\n  asks: {questions}"
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with its places filled; braces inside values stay as they are."""
+    pieces, rest = [], template
+    while True:
+        found = [(rest.find(place), place) for place in values if place in rest]
+        if not found:
+            return F.concat(*pieces, F.lit(rest))
+        at, place = min(found)
+        pieces += [F.lit(rest[:at]), values[place]]
+        rest = rest[at + len(place):]
+
+
+def _card_block(c: Column, template: str) -> Column:
+    return _filled(
+        template,
+        {
+            "{id}": c.id, "{version}": c.version, "{mechanism}": c.mechanism, "{red_flags}": json_list(c.red_flags),
+            "{verify_steps}": json_list(c.verify_steps), "{questions}": json_list(c.questions),
+        },
     )
 
 
-def assemble_prompts(messages: DataFrame, template: str) -> DataFrame:
+def assemble_prompts(messages: DataFrame, template: str, card_template: str = CARD_TEMPLATE) -> DataFrame:
     """Adds ``prompt``. Needs language, minimized, hits (with ``desc``), signals and cards arrays.
 
-    The template has the places {language}, {minimized_text}, {rule_hits}, {signals}, {knowledge}.
+    The template has the places {language}, {minimized_text}, {rule_hits}, {signals}, {knowledge}; that of a card {id},
+    {version}, {mechanism}, {red_flags}, {verify_steps}, {questions}.
     """
 
     def hit_line(h: Column) -> Column:
@@ -133,20 +148,10 @@ def assemble_prompts(messages: DataFrame, template: str) -> DataFrame:
         "{language}": F.col("language"),
         "{rule_hits}": lines("hits", hit_line, "\n", "- (none detected)"),
         "{signals}": signals,
-        "{knowledge}": lines("cards", _card_block, "\n", "- (none selected)"),
+        "{knowledge}": lines("cards", lambda c: _card_block(c, card_template), "\n", "- (none selected)"),
         "{minimized_text}": json_string(F.col("minimized")),
     }
-    # The template is cut at its places first, so that braces inside a message stay as they are.
-    pieces, rest = [], template
-    while True:
-        found = [(rest.find(place), place) for place in values if place in rest]
-        if not found:
-            pieces.append(F.lit(rest))
-            break
-        at, place = min(found)
-        pieces += [F.lit(rest[:at]), values[place]]
-        rest = rest[at + len(place):]
-    return messages.withColumn("prompt", F.concat(*pieces))
+    return messages.withColumn("prompt", _filled(template, values))
 
 
 def select_ocr(

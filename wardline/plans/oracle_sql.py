@@ -62,11 +62,16 @@ def sentence_list(column: str) -> str:
     )
 
 
+def dealt_list(column: str, place: int) -> str:
+    """Every fourth entry from ``place`` (from 0) on."""
+    return f"list_filter({column}, lambda x, i: i % 4 = {(place + 1) % 4})"
+
+
 VIEWS = {
     "messages": """
-        SELECT doc_id AS msg_id, lang AS language, text FROM documents
+        SELECT 'd' || doc_id AS msg_id, lang AS language, text FROM documents
         UNION ALL
-        SELECT 1000000000000 + conv_id * 1000 + turn, NULL, text FROM conversations""",
+        SELECT 'c' || conv_id || ':' || turn, NULL, text FROM conversations""",
     "normal": f"SELECT msg_id, text, {norm('text')} AS normalized FROM messages",
     "rules": f"""
         SELECT * FROM (
@@ -74,7 +79,7 @@ VIEWS = {
                  'family_' || (item_id % 5) AS family, 'key_' || item_id AS message_key,
                  CAST(item_id % 3 + 1 AS BIGINT) AS severity,
                  CASE WHEN item_id % 2 = 0 THEN 'bench_even' END AS emits_signal,
-                 list_filter({sentence_list('text')}, lambda s: length(s) >= 12) AS literals
+                 list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS literals
           FROM benchmark)
         WHERE len(literals) > 0""",
     "patterns": f"""
@@ -89,7 +94,7 @@ VIEWS = {
                'bench.item_' || item_id AS trigger_rule_id,
                CASE WHEN item_id % 4 = 0 THEN
                  {choose('item_id // 4', ('email', 'phone', 'card', 'code', 'card_personal'))} END AS trigger_kind,
-               list_filter(regexp_split_to_array(text, '[\\s.,]+'), lambda w: length(w) >= 9)[1:2] AS aliases
+               list_filter(regexp_split_to_array(text, '[\\s.,]+'), lambda w: length(w) >= 9) AS aliases
         FROM benchmark""",
     "links": """
         SELECT page_id AS msg_id, url, split_part(url, '/', 3) AS host,
@@ -158,10 +163,10 @@ VIEWS = {
           ts + to_milliseconds(latency_ms)
         FROM check_event WHERE k % 11 <> 0""",
     "drafts": f"""
-        SELECT conv_id * 1000 + turn AS check_id, conv_id, n,
+        SELECT conv_id || ':' || turn AS check_id, conv_id, n,
           CASE WHEN n % 2 = 0 THEN 'ru' ELSE 'uz_latn' END AS language,
-          s[1:2] AS red_flags, coalesce(s[3], '') || ' ' || {choose('n', PHRASES)} AS pattern,
-          s[4:6] AS verify, s[2:3] AS ask, rule_id, severity, has_hit, has_list,
+          {dealt_list('s', 0)}[1:3] AS red_flags, array_to_string({dealt_list('s', 1)}, '. ') || ' ' || {choose('n', PHRASES)} AS pattern,
+          {dealt_list('s', 2)}[1:3] AS verify, {dealt_list('s', 3)}[1:3] AS ask, rule_id, severity, has_hit, has_list,
           CASE WHEN n % 3 = 0 THEN ['card.alpha'] ELSE CAST([] AS VARCHAR[]) END AS card_ids
         FROM (SELECT *, 'fs.rule_' || (n % 6) AS rule_id, n % 3 + 1 AS severity, n % 4 <> 0 AS has_hit,
                      n % 4 <> 0 AND n % 7 = 0 AS has_list

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardline import draft_values as D
 from wardline.operators import drafts as DQ, evals, retrieval as RT
-from wardline.plans.oracle_sql import any_match, edge, norm, quoted, re2
+from wardline.plans.oracle_sql import any_match, dealt_list, edge, norm, quoted, re2
 from wardline.plans.registry import query
-from wardline.plans.views import Views, pick, sentences, strings
+from wardline.plans.views import Views, dealt, pick, sentences, strings
 
 # --- F: cards ---------------------------------------------------------------------------------------
 
 _SIGNAL_KINDS_SQL = """
-    kinds AS (SELECT msg_id, 'email' AS kind FROM messages WHERE contains(text, '@') AND msg_id % 2 = 0
+    kinds AS (SELECT msg_id, 'email' AS kind FROM messages WHERE contains(text, '@') AND length(text) % 2 = 0
               UNION ALL SELECT msg_id, 'card' FROM messages WHERE regexp_matches(text, '[0-9]{13}'))"""
 _MANDATORY_SQL = f"""
     {_SIGNAL_KINDS_SQL},
@@ -40,7 +40,7 @@ def _kinds(v: Views) -> DataFrame:
     text, none = F.col("text"), F.lit(None).cast("string").alias("note")
     signals = F.array_compact(
         F.array(
-            F.when(text.contains("@") & (F.col("msg_id") % 2 == 0), F.struct(F.lit("email").alias("kind"), none)),
+            F.when(text.contains("@") & (F.length(text) % 2 == 0), F.struct(F.lit("email").alias("kind"), none)),
             F.when(text.rlike("[0-9]{13}"), F.struct(F.lit("card").alias("kind"), none)),
         )
     )
@@ -443,8 +443,8 @@ def _outputs(v: Views) -> DataFrame:
     n = F.col("conv_id") * 31 + F.col("turn")
     draft = F.to_json(
         F.struct(
-            F.slice("s", 1, 4).alias("red_flags"), F.coalesce(F.get("s", F.lit(2)), F.lit("")).alias("pattern"),
-            F.slice("s", 4, 3).alias("verify"), F.slice("s", 2, 2).alias("ask"),
+            dealt(F.col("s"), 0).alias("red_flags"), F.array_join(dealt(F.col("s"), 1), ". ").alias("pattern"),
+            dealt(F.col("s"), 2).alias("verify"), dealt(F.col("s"), 3).alias("ask"),
         )
     )
     raw = (
@@ -458,15 +458,15 @@ def _outputs(v: Views) -> DataFrame:
         v.table("conversations").filter(F.col("role") == "assistant")
         .select("conv_id", "turn", sentences(F.col("text")).alias("s"))
         .select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), pick(n, ("alpha", "beta", "gamma")).alias("provider"),
+            F.concat_ws(":", "conv_id", "turn").alias("answer_id"), pick(n, ("alpha", "beta", "gamma")).alias("provider"),
             F.when(n % 2 == 0, "ru").otherwise("uz_latn").alias("language"), (n % 4 == 0).alias("expects_no_signal"), raw.alias("raw"),
         )
     )
 
 
-_OUTPUT_SQL = """
-    o AS (SELECT conv_id * 1000 + turn AS answer_id, n, n % 5 IN (0, 1, 2) AS json_ok, ['alpha', 'beta', 'gamma'][n % 3 + 1] AS provider, s[1:4] AS flags, coalesce(s[3], '') AS pattern,
-            s[4:6] AS verify, s[2:3] AS ask FROM (SELECT conv_id, turn, conv_id * 31 + turn AS n,
+_OUTPUT_SQL = f"""
+    o AS (SELECT conv_id || ':' || turn AS answer_id, n, n % 5 IN (0, 1, 2) AS json_ok, ['alpha', 'beta', 'gamma'][n % 3 + 1] AS provider, {dealt_list('s', 0)} AS flags, array_to_string({dealt_list('s', 1)}, '. ') AS pattern,
+            {dealt_list('s', 2)} AS verify, {dealt_list('s', 3)} AS ask FROM (SELECT conv_id, turn, conv_id * 31 + turn AS n,
             list_filter(list_transform(regexp_split_to_array(text, '[.\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS s FROM conversations WHERE role = 'assistant'))"""
 
 
@@ -511,11 +511,20 @@ def _(v: Views) -> DataFrame:
     return evals.eval_leaderboard(evals.eval_rubric(evals.parse_drafts(_outputs(v))))
 
 
+@query(
+    "failing_fixtures",
+    f"""WITH {_RUBRIC_SQL}, k AS (SELECT answer_id, provider, list_filter([{', '.join(f"CASE WHEN NOT {key} THEN '{key}' END" for key in D.RUBRIC_KEYS)}], lambda x: x IS NOT NULL) AS failing FROM scored)
+    SELECT answer_id, provider, array_to_string(failing, ',') AS failing FROM k WHERE len(failing) > 0""",
+)
+def _(v: Views) -> DataFrame:
+    return evals.failing_fixtures(evals.eval_rubric(evals.parse_drafts(_outputs(v))))
+
+
 @query(
     "forbidden_leaks",
     """
     WITH a AS (SELECT conv_id AS fixture_id, turn AS answer_id, lower(text) AS answer FROM conversations WHERE role = 'assistant'),
-         p AS (SELECT DISTINCT conv_id AS fixture_id, phrase FROM (SELECT conv_id, unnest([upper(split_part(text, ' ', 2)), split_part(text, ' ', 3)]) AS phrase FROM conversations WHERE role = 'user') WHERE length(phrase) > 3)
+         p AS (SELECT DISTINCT conv_id AS fixture_id, phrase FROM (SELECT conv_id, upper(unnest(string_split(text, ' '))) AS phrase FROM conversations WHERE role = 'user') WHERE length(phrase) > 3)
     SELECT fixture_id, answer_id, phrase FROM a JOIN p USING (fixture_id) WHERE contains(answer, lower(phrase))""",
 )
 def _(v: Views) -> DataFrame:
@@ -523,7 +532,7 @@ def _(v: Views) -> DataFrame:
     answers = turns.filter(F.col("role") == "assistant").select(
         F.col("conv_id").alias("fixture_id"), F.col("turn").alias("answer_id"), F.lit("ok").alias("status"), F.col("text").alias("answer")
     )
-    words = F.array(F.upper(F.split_part("text", F.lit(" "), F.lit(2))), F.split_part("text", F.lit(" "), F.lit(3)))
-    fixtures = turns.filter(F.col("role") == "user").select(F.col("conv_id").alias("fixture_id"), F.explode(words).alias("w"))
+    words = F.explode(F.split("text", " ")).alias("w")
+    fixtures = turns.filter(F.col("role") == "user").select(F.col("conv_id").alias("fixture_id"), words).withColumn("w", F.upper("w"))
     phrases = fixtures.filter(F.length("w") > 3).distinct().select("fixture_id", F.array("w").alias("must_not_contain"))
     return evals.forbidden_leaks(answers, phrases)

@@ -8,12 +8,12 @@ from wardline import fixed_values as V
 from wardline.functions.keys import pseudonymize
 from wardline.operators import alerts, events as EV, gaps, labels, metrics as M
 from wardline.operators.common import scratch_dir
-from wardline.plans.oracle_sql import choose, edge, quoted, stamp
-from wardline.plans.queries_text import BLOCK_UPSERT_SQL, FEED_TIME, feed_hashes
+from wardline.plans.oracle_sql import choose, edge, norm, quoted, stamp
+from wardline.plans.queries_text import BLOCK_ROWS_SQL, BLOCK_UPSERT_SQL, FEED_TIME, STRUCTURAL_SQL, feed_hashes
 from wardline.plans.registry import query
 from wardline.plans.views import KB_VERSION, Views, pick
 from wardline.sources.readers import read_events, read_message_stream
-from wardline.sources.writers import metrics_long, write_events
+from wardline.sources.writers import METRIC_KEYS, metrics_long, write_events
 from wardline.streaming import streams as K
 
 NOW = "2024-02-01"
@@ -27,13 +27,15 @@ _BILLABLE = "status IN ('ok', 'no_signal', 'low_ocr', 'off_topic', 'safety_fallb
 
 @query(
     "write_events",
-    f"SELECT id, status, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, array_to_string(rule_ids, ',') AS rule_ids FROM check_event WHERE {_WINDOW}",
+    f"SELECT id, status, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, array_to_string(rule_ids, ',') AS rule_ids, {_WINDOW} AS pruned FROM check_event",
     ("check_event",),
 )
 def _(v: Views) -> DataFrame:
     path = f"{scratch_dir(v.spark)}/events"
     write_events(v.check_event.drop("k"), path, mode="overwrite")
-    return read_events(v.spark, path, SINCE, UNTIL).select("id", "status", "day", "rule_ids")
+    whole = read_events(v.spark, path).select("id", "status", "day", "rule_ids")
+    pruned = read_events(v.spark, path, SINCE, UNTIL).select("id", F.lit(True).alias("pruned"))
+    return whole.join(pruned, "id", "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
 
 
 # --- L: event-table operations ----------------------------------------------------------------------
@@ -475,20 +477,26 @@ def _(v: Views) -> DataFrame:
     return summary.select(*[_map_text(c) if c in maps else F.col(c) for c in summary.columns])
 
 
+_NUMBERS = [k for k in METRIC_KEYS if k != "kb_version"]
+
+
 @query(
     "metrics_long",
     f"""
-    WITH m AS (SELECT {_TOTALS_SQL}, count(*) FILTER (safety_blocked) AS safety_blocked, count(DISTINCT user_key) FILTER ({_DONE}) AS activated_users FROM check_event)
-    SELECT 'checks_total' AS key, CAST(checks_total AS VARCHAR) AS value FROM m UNION ALL SELECT 'checks_completed', CAST(checks_completed AS VARCHAR) FROM m
-    UNION ALL SELECT 'safety_blocked', CAST(safety_blocked AS VARCHAR) FROM m UNION ALL SELECT 'activated_users', CAST(activated_users AS VARCHAR) FROM m
-    UNION ALL SELECT 'kb_version', '2024-01-01-v1' UNION ALL SELECT 'kb_approved_cards', CAST((SELECT count(*) FROM model_cards WHERE status = 'approved') AS VARCHAR)""",
-    ("check_event", "model_cards"),
+    WITH m AS (SELECT {_TOTALS_SQL}, count(DISTINCT user_key) FILTER ({_DONE}) AS activated_users, {_COST_SQL}, {_QUIET_SQL},
+                 count(*) FILTER (safety_blocked) AS safety_blocked, {_KNOWLEDGE_SQL} FROM check_event),
+         w AS (SELECT *, coalesce(round(CAST(activated_users AS DOUBLE) / nullif((SELECT count(DISTINCT user_key) FROM consent), 0), 4), 0) AS activation_rate,
+                 (SELECT count(*) FROM model_cards WHERE status = 'approved') AS kb_approved_cards FROM m)
+    SELECT 'kb_version' AS key, '2024-01-01-v1' AS value
+    """
+    + " ".join(f"UNION ALL SELECT '{k}', CAST(CAST({k} AS DECIMAL(18, 6)) AS VARCHAR) FROM w" for k in _NUMBERS),
+    ("check_event", "consent", "model_cards"),
 )
 def _(v: Views) -> DataFrame:
+    # Doubles print differently from engine to engine, so numbers are compared at six digits.
     summary = M.collect_metrics(v.check_event, v.consent, v.feedback, v.model_cards, KB_VERSION)
-    # Rates print differently from engine to engine, so the comparison keeps counts and versions.
-    exact = ("checks_total", "checks_completed", "safety_blocked", "activated_users", "kb_version", "kb_approved_cards")
-    return metrics_long(summary).filter(F.col("key").isin(*exact))
+    exact = F.col("value").try_cast("decimal(18,6)").cast("string")
+    return metrics_long(summary).select("key", F.when(F.col("key") != "kb_version", exact).otherwise(F.col("value")).alias("value"))
 
 
 _LABELLED_SQL = """
@@ -519,6 +527,25 @@ def _(v: Views) -> DataFrame:
     return labels.rule_next_actions(v.check_event, v.feedback)
 
 
+@query(
+    "next_action_counts",
+    f"WITH {_LABELLED_SQL} SELECT next_action, count(*) AS count FROM lab WHERE next_action IS NOT NULL GROUP BY ALL",
+    ("check_event", "feedback"),
+)
+def _(v: Views) -> DataFrame:
+    return labels.next_action_counts(labels.labelled_checks(v.check_event, v.feedback))
+
+
+@query(
+    "rule_action_maps",
+    f"""WITH {_LABELLED_SQL}, c AS (SELECT rule_id, next_action, count(*) AS n FROM per WHERE next_action IS NOT NULL GROUP BY ALL)
+    SELECT rule_id, string_agg(next_action || '=' || n, ',' ORDER BY next_action) AS next_actions FROM c GROUP BY rule_id""",
+    ("check_event", "feedback"),
+)
+def _(v: Views) -> DataFrame:
+    return labels.rule_action_maps(v.check_event, v.feedback).select("rule_id", _map_text("next_actions"))
+
+
 @query(
     "action_deltas",
     f"""
@@ -650,18 +677,36 @@ def _streamed(v: Views, build) -> DataFrame:
     return v.spark.read.parquet(f"{folder}/out")
 
 
+_SIGNAL_ROWS_SQL = f"{BLOCK_ROWS_SQL}, sig AS ({STRUCTURAL_SQL})"
+
+
 @query(
     "screen_stream",
-    "SELECT msg_id, rule_id, family, severity FROM rule_hits JOIN messages USING (msg_id) WHERE msg_id < 1000000000000 AND length(text) BETWEEN 1 AND 6000",
-    ("messages", "rule_hits"),
+    f"""
+    WITH {_SIGNAL_ROWS_SQL}
+    SELECT msg_id, rule_id AS name, family AS note FROM rule_hits
+    UNION ALL SELECT msg_id, kind, note FROM sig
+    UNION ALL SELECT DISTINCT 'p' || page_id, rule_id, family FROM pages JOIN patterns ON contains({norm("url")}, needle)
+    UNION ALL SELECT 'p' || page_id, 'shared.link.blocklisted', 'suspicious_link_qr' FROM pages
+      WHERE sha256(regexp_replace(split_part(url, '/', 3), '^www\\.', '')) IN (SELECT domain_hash FROM block)""",
+    ("messages", "normal", "rule_hits"),
 )
 def _(v: Views) -> DataFrame:
     folder = scratch_dir(v.spark)
-    schema = v.spark.read.parquet(f"{v.path}/documents.parquet").schema
-    arriving = read_message_stream(v.spark, v.path, "documents", schema)
-    K.screen_stream(arriving, v.patterns, f"{folder}/out", f"{folder}/checkpoint")
-    screened = v.spark.read.parquet(f"{folder}/out")
-    return screened.select("msg_id", F.explode("hits").alias("h")).select("msg_id", "h.rule_id", "h.family", "h.severity")
+    found = None
+    for table in ("documents", "conversations", "pages"):
+        schema = v.spark.read.parquet(f"{v.path}/{table}.parquet").schema
+        arriving = read_message_stream(v.spark, v.path, table, schema)
+        K.screen_stream(
+            arriving, v.patterns, f"{folder}/{table}", f"{folder}/{table}-checkpoint", K.AVAILABLE, blocklist=v.blocklist
+        ).awaitTermination()
+        screened = v.spark.read.parquet(f"{folder}/{table}")
+        hits = screened.select("msg_id", F.explode("hits").alias("h")).select("msg_id", F.col("h.rule_id").alias("name"), F.col("h.family").alias("note"))
+        if table != "pages":  # links have signals of their own, see sig_links
+            signals = screened.select("msg_id", F.explode("signals").alias("s"))
+            hits = hits.unionByName(signals.select("msg_id", F.col("s.kind").alias("name"), F.coalesce("s.note", F.lit("")).alias("note")))
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 # A window is emitted once the watermark, ten minutes behind the newest event, has passed its end.
@@ -737,18 +782,14 @@ def _(v: Views) -> DataFrame:
     schema = v.spark.read.parquet(f"{v.path}/pages.parquet").schema
     pages = v.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(v.path)
     now = F.lit(FEED_TIME).cast("timestamp")
-    query = K.blocklist_stream(feed_hashes(pages), v.blocklist, f"{folder}/list", f"{folder}/checkpoint", now)
-    return v.spark.read.parquet(f"{folder}/list/v{query.lastProgress['batchId']}")
+    K.blocklist_stream(feed_hashes(pages), v.blocklist, folder, f"{folder}/checkpoint", now, K.AVAILABLE).awaitTermination()
+    return v.spark.read.parquet(f"{folder}/list").select("domain_hash", "source", "first_seen", "last_seen")
 
 
 @query(
     "lifecycle_stream",
-    """
-    SELECT request_id, outcome, CASE WHEN outcome IS NOT NULL THEN duration_ms END AS duration_ms FROM (
-      SELECT request_id, min(event) FILTER (event IN ('check_completed', 'check_failed')) AS outcome, min(ts) FILTER (event = 'check_started') AS started,
-        date_diff('millisecond', min(ts) FILTER (event = 'check_started'), min(ts) FILTER (event IN ('check_completed', 'check_failed'))) AS duration_ms
-      FROM log_events GROUP BY request_id) WHERE started IS NOT NULL AND (outcome IS NOT NULL OR started < (SELECT max(ts) - INTERVAL 20 MINUTE FROM check_event))""",
-    ("check_event", "log_events"),
+    _LIFECYCLE_SQL + " HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM log_events)",
+    ("log_events",),
 )
 def _(v: Views) -> DataFrame:
-    return _streamed(v, lambda s: K.lifecycle_stream(s.log_events)).select("request_id", "outcome", "duration_ms")
+    return _streamed(v, lambda s: K.lifecycle_stream(s.log_events))

@@ -221,7 +221,7 @@ def _(v: Views) -> DataFrame:
 @query(
     "select_ocr",
     """
-    WITH c AS (SELECT conv_id, turn, role, trim(split_part(text, '.', 1)) AS text, (turn * 37 + conv_id) % 100 / 100.0 AS confidence FROM conversations),
+    WITH c AS (SELECT conv_id, turn, role, trim(text) AS text, (turn * 37 + conv_id) % 100 / 100.0 AS confidence FROM conversations),
          r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) * confidence DESC, turn) AS rn FROM c)
     SELECT conv_id AS image_id, role AS script, md5(text) AS digest, CASE WHEN text = '' OR confidence < 0.5 THEN 'low_ocr' END AS status
     FROM r WHERE rn = 1""",
@@ -229,7 +229,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     candidates = v.table("conversations").select(
         F.col("conv_id").alias("image_id"), F.col("turn").alias("script_order"), F.col("role").alias("script"),
-        F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("text"),
+        F.trim("text").alias("text"),
         ((F.col("turn") * 37 + F.col("conv_id")) % 100 / 100).alias("confidence"),
     )
     return triage.select_ocr(candidates).select("image_id", "script", F.md5("text").alias("digest"), "status")
@@ -277,21 +277,20 @@ def _(v: Views) -> DataFrame:
 @query(
     "regex_rule_hits",
     f"""
-    WITH r AS (SELECT item_id, {norm("split_part(text, ' ', 1)")} AS a, {norm("split_part(text, ' ', 2)")} AS b FROM benchmark)
-    SELECT msg_id, 'word.item_' || item_id AS rule_id FROM normal JOIN r
-      ON contains(normalized, a || ' ' || b)""",
+    WITH r AS (SELECT item_id, unnest(string_split({norm("text")}, '. ')) AS s FROM benchmark)
+    SELECT DISTINCT msg_id, 'word.item_' || item_id AS rule_id FROM normal JOIN r ON contains(normalized, s)""",
     ("normal",),
 )
 def _(v: Views) -> DataFrame:
-    # One expression per item, "first word, spaces, second word", and one that does not compile.
-    words = [F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 2)]
-    escaped = [F.regexp_replace(w, r"([.\\+*?\[^\]$(){}=!<>|:\-#,])", r"\\$1") for w in words]
-    expression = F.concat(F.lit("regex:"), escaped[0], F.lit(r"\s+"), escaped[1])
+    # One expression per sentence of an item, its words with any space between them, and one that does not compile.
+    sentence = F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), r"\. ")
+    escaped = F.transform(sentence, lambda s: F.regexp_replace(s, r"([.\\+*?\[^\]$(){}=!<>|:\-#,])", r"\\$1"))
+    expression = F.transform(escaped, lambda s: F.concat(F.lit("regex:"), F.replace(s, F.lit(" "), F.lit(r"\s+"))))
     rules = v.table("benchmark").select(
         F.col("item_id").alias("rule_order"), F.concat(F.lit("word.item_"), "item_id").alias("rule_id"),
         F.lit("words").alias("family"), F.lit("Two words").alias("desc"), F.lit("two_words").alias("message_key"),
         F.lit(1).alias("severity"), F.lit(None).cast("string").alias("emits_signal"),
-        F.create_map(F.lit("uz_latn"), F.array(expression, F.lit("regex:([unclosed"))).alias("match"),
+        F.create_map(F.lit("uz_latn"), F.array_append(expression, F.lit("regex:([unclosed"))).alias("match"),
     )
     return RU.rule_hits(v.messages, RU.flatten_rules(rules)).select("msg_id", "rule_id")
 
@@ -630,6 +629,30 @@ def _(v: Views) -> DataFrame:
     return linkage.merge_brands(floor, extra)
 
 
+@query(
+    "merge_catalog_lists",
+    r"""
+    WITH s AS (SELECT lower(n_name) || '.example' AS entry FROM nation UNION SELECT regexp_replace(split_part(url, '/', 3), '^www\.', '') FROM pages WHERE split_part(url, '/', 3) <> ''),
+         x AS (SELECT lower(r_name) AS entry FROM region UNION SELECT DISTINCT role FROM conversations)
+    SELECT 'shortener' AS list, entry FROM s UNION ALL SELECT 'suffix', entry FROM x""",
+)
+def _(v: Views) -> DataFrame:
+    none = v.table("supplier").select(F.lit("b").alias("brand"), F.lit("b.example").alias("domain"))
+    host = F.regexp_replace(F.split_part("url", F.lit("/"), F.lit(3)), r"^www\.", "")
+    merged = linkage.merge_catalog(
+        {
+            "brands": none, "shorteners": v.table("nation").select(F.concat(F.lower("n_name"), F.lit(".example")).alias("domain")),
+            "suffixes": v.table("region").select(F.lower("r_name").alias("label")),
+        },
+        {
+            "brands": none, "shorteners": v.table("pages").select(F.concat(F.lit(" "), F.upper(host), F.lit(" ")).alias("domain")),
+            "suffixes": v.table("conversations").select(F.upper("role").alias("label")),
+        },
+    )
+    short = merged["shorteners"].select(F.lit("shortener").alias("list"), F.col("domain").alias("entry"))
+    return short.unionByName(merged["suffixes"].select(F.lit("suffix").alias("list"), F.col("label").alias("entry")))
+
+
 @query("hash_domain", r"SELECT page_id, sha256(regexp_replace(split_part(url, '/', 3), '^www\.', '')) AS domain_hash FROM pages")
 def _(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", L.hash_domain(L.normalize_domain(F.col("url"))).alias("domain_hash"))
@@ -653,13 +676,13 @@ def _(v: Views) -> DataFrame:
     return linkage.parse_threat_feed(lines)
 
 
-_BLOCK_SQL = r"""
+BLOCK_ROWS_SQL = r"""
     block AS (SELECT sha256(d) AS domain_hash, source, min(seen) AS first_seen, max(seen) AS last_seen FROM (
       SELECT regexp_replace(split_part(url, '/', 3), '^www\.', '') AS d, ['urlhaus', 'openphish', 'local'][page_id % 3 + 1] AS source,
              TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 28 AS INTEGER)) AS seen FROM pages WHERE starts_with(url, 'http://')) GROUP BY ALL)"""
 _FEED_SQL = r"feed AS (SELECT DISTINCT sha256(regexp_replace(split_part(url, '/', 3), '^www\.', '')) AS domain_hash, 'urlhaus' AS source FROM pages)"
 BLOCK_UPSERT_SQL = f"""
-    WITH {_BLOCK_SQL}, {_FEED_SQL}
+    WITH {BLOCK_ROWS_SQL}, {_FEED_SQL}
     SELECT coalesce(b.domain_hash, f.domain_hash) AS domain_hash, coalesce(b.source, f.source) AS source,
       {stamp("coalesce(b.first_seen, TIMESTAMP '2024-03-01')")} AS first_seen,
       {stamp("CASE WHEN f.domain_hash IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE b.last_seen END")} AS last_seen
@@ -684,7 +707,7 @@ def _(v: Views) -> DataFrame:
 @query(
     "reputation_hits",
     rf"""
-    WITH {_BLOCK_SQL}, d AS (SELECT msg_id, {_DOMAIN_SQL} AS domain FROM links UNION SELECT msg_id, regexp_replace(lower(host), '^www\.', '') FROM links)
+    WITH {BLOCK_ROWS_SQL}, d AS (SELECT msg_id, {_DOMAIN_SQL} AS domain FROM links UNION SELECT msg_id, regexp_replace(lower(host), '^www\.', '') FROM links)
     SELECT msg_id, 'shared.link.blocklisted' AS rule_id, 'suspicious_link_qr' AS family, CAST(3 AS BIGINT) AS severity,
       array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, CAST(CAST(min(first_seen) AS DATE) AS VARCHAR) AS listed_since
     FROM d JOIN block ON sha256(d.domain) = domain_hash GROUP BY msg_id""",
@@ -738,7 +761,7 @@ def _(v: Views) -> DataFrame:
     ).distinct()
 
 
-_STRUCTURAL_SQL = " UNION ALL ".join(
+STRUCTURAL_SQL = " UNION ALL ".join(
     f"SELECT msg_id, {quoted(kind)} AS kind, '' AS note FROM messages WHERE regexp_matches(text, {quoted(edge(p))})"
     for kind, p in (
         ("email", V.EMAIL), ("handle", V.HANDLE), ("phone", V.PHONE), ("code", V.CODE_REQUEST), ("card", V.CARD)
@@ -747,7 +770,7 @@ _STRUCTURAL_SQL = " UNION ALL ".join(
     UNION ALL SELECT DISTINCT msg_id, emits_signal, family FROM rule_hits WHERE emits_signal IS NOT NULL"""
 
 
-@query("structural_signals", _STRUCTURAL_SQL, ("messages", "normal", "rule_hits"))
+@query("structural_signals", STRUCTURAL_SQL, ("messages", "normal", "rule_hits"))
 def _(v: Views) -> DataFrame:
     return v.signalled.select("msg_id", F.explode("signals").alias("s")).select(
         "msg_id", "s.kind", F.coalesce("s.note", F.lit("")).alias("note")
@@ -893,7 +916,7 @@ def _(v: Views) -> DataFrame:
     "screen_report",
     """
     SELECT coalesce(m.language, 'none') AS language, h.family, count(*) AS hits, CAST(max(severity) AS BIGINT) AS max_severity
-    FROM rule_hits h JOIN messages m USING (msg_id) WHERE length(m.text) BETWEEN 1 AND 6000 GROUP BY ALL""",
+    FROM rule_hits h JOIN messages m USING (msg_id) GROUP BY ALL""",
     ("messages", "rule_hits"),
 )
 def _(v: Views) -> DataFrame:
@@ -903,3 +926,28 @@ def _(v: Views) -> DataFrame:
         .groupBy("language", F.col("h.family").alias("family"))
         .agg(F.count("*").alias("hits"), F.max("h.severity").alias("max_severity"))
     )
+
+
+_FALLBACK_SQL = "CASE m.language WHEN 'de' THEN 'uz_latn' ELSE 'ru' END"
+
+
+@query(
+    "screen_all",
+    f"""
+    WITH sig AS (SELECT msg_id, string_agg(kind || ':' || note, ',' ORDER BY kind, note) AS signals FROM ({STRUCTURAL_SQL}) GROUP BY msg_id),
+         hit AS (SELECT msg_id, string_agg(rule_id, ',' ORDER BY rule_order) AS rule_ids FROM rule_hits GROUP BY msg_id)
+    SELECT m.msg_id, CASE WHEN length(m.text) = 0 THEN 'empty_input' END AS status, coalesce(rule_ids, '') AS rule_ids, coalesce(signals, '') AS signals,
+      md5({_STRICT_SQL.replace("text", "m.text", 1)}) AS minimized,
+      CASE WHEN len(regexp_extract_all(lower(m.text), '[a-zʼ'']+')) > 0 AND ({" OR ".join(f"contains(' ' || lower(m.text) || ' ', {quoted(x)})" for x in V.UZ_LATIN_MARKERS)})
+           THEN 'uz_latn' ELSE {_FALLBACK_SQL} END AS reply_language
+    FROM messages m LEFT JOIN hit USING (msg_id) LEFT JOIN sig USING (msg_id)""",
+    ("messages", "normal", "rule_hits"),
+)
+def _(v: Views) -> DataFrame:
+    # German texts count as sent by users of one reply language, all others have none of their own.
+    own = v.messages.withColumn("language", F.when(F.col("language") == "de", "uz_latn"))
+    pairs = F.array_sort(F.transform("signals", lambda s: F.concat_ws(":", s["kind"], F.coalesce(s["note"], F.lit("")))))
+    return screen(own, v.patterns).select(
+        "msg_id", "status", F.transform("hits", lambda h: h.rule_id).alias("rule_ids"), pairs.alias("signals"),
+        F.md5("minimized").alias("minimized"), "reply_language",
+    )

@@ -2,25 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline import fixed_values as V
+from wardline.functions import links as L
 from wardline.functions.links import BASE_CATALOG, Catalog
-from wardline.functions.redact import minimize_strict
+from wardline.functions.redact import minimize_answer, minimize_strict
 from wardline.functions.signals import SIGNAL_TYPE, signal, structural_signals
 from wardline.functions.text import length_status, resolve_language
-from wardline.operators.linkage import reputation_hits
+from wardline.operators.common import content_key, lookup_join
+from wardline.operators.linkage import reputation_of_hashes
 from wardline.operators.retrieval import retrieve
-from wardline.operators.rules import with_normalized, with_rule_hits
+from wardline.operators.rules import HIT_TYPE, with_normalized, with_rule_hits
+from wardline.operators.triage import flag_meta
+
+#: Rows of listed domain sets up to which they are broadcast; beyond, a salted join.
+LISTED_LIMIT = 100_000
 
 
 def with_signals(messages: DataFrame, catalog: Catalog = BASE_CATALOG) -> DataFrame:
-    """Adds ``signals``: those of the rules, then the structural ones. Needs hits and normalized."""
+    """Adds ``signals``: those of the rules, then the structural ones, then ``content_signals`` if there are any.
+
+    Needs hits and normalized.
+    """
     emitted = F.transform(
         F.filter("hits", lambda h: h.emits_signal.isNotNull()),
         lambda h: signal(h.emits_signal, h.family),
     ).cast(SIGNAL_TYPE)
-    structural = structural_signals(F.col("text"), F.col("normalized"), catalog).cast(SIGNAL_TYPE)
-    return messages.withColumn("signals", F.array_distinct(F.concat(emitted, structural)))
+    parts = [emitted, structural_signals(F.col("text"), F.col("normalized"), catalog).cast(SIGNAL_TYPE)]
+    if "content_signals" in messages.columns:
+        parts.append(F.coalesce(F.col("content_signals").cast(SIGNAL_TYPE), F.array().cast(SIGNAL_TYPE)))
+    return messages.withColumn("signals", F.array_distinct(F.concat(*parts)))
+
+
+def listed_note(sources: Column, since: Column) -> Column:
+    """Note of a blocklist hit."""
+    return F.concat(F.lit("listed by "), F.array_join(sources, ","), F.lit(" since "), since.cast("string"))
+
+
+def with_reputation(messages: DataFrame, blocklist: DataFrame, id_col: str = "msg_id", note=listed_note) -> DataFrame:
+    """Adds a blocklist hit behind ``hits`` where a domain of the text is listed.
+
+    Domains are taken from each text once. The different sets of domains, not the messages, meet the blocklist, and the
+    few sets that are listed come back by a broadcast when they are few, else by a salted join.
+    """
+    hashes = F.transform(L.message_domains(F.col("text")), L.hash_domain)
+    keyed = messages.withColumn("_hashes", hashes).withColumn("_set", content_key(F.col("_hashes")))
+    sets = keyed.filter(F.size("_hashes") > 0).select("_set", "_hashes").dropDuplicates(["_set"])
+    hashed = sets.select("_set", F.explode("_hashes").alias("domain_hash"))
+    listed = reputation_of_hashes(hashed, blocklist, "_set").select(
+        "_set",
+        F.struct(
+            "rule_id", "family", note(F.col("sources"), F.col("listed_since")).alias("message_key"), "severity",
+            F.lit(None).cast("string").alias("emits_signal"),
+        ).alias("_listed"),
+    )
+    joined = lookup_join(keyed, listed, ["_set"], "left", F.col(id_col), LISTED_LIMIT)
+    fresh = F.col("_listed").isNotNull() & ~F.exists("hits", lambda h: h.rule_id == F.col("_listed.rule_id"))
+    hits = F.when(fresh, F.concat("hits", F.array("_listed").cast(HIT_TYPE))).otherwise(F.col("hits"))
+    return joined.withColumn("hits", hits).drop("_hashes", "_set", "_listed")
 
 
 def screen(
@@ -31,35 +71,44 @@ def screen(
     catalog: Catalog = BASE_CATALOG,
     fallback_language: str = "ru",
     id_col: str = "msg_id",
+    phrases: DataFrame | None = None,
+    address_words: tuple[str, ...] = (),
+    limit: int | None = None,
+    note=listed_note,
 ) -> DataFrame:
-    """Language, rule hits, signals, redacted text and cards for each message.
+    """One row per message: status, language, hits, signals, redacted text, answer view and cards.
 
-    Empty and over-long messages leave first. Without a blocklist nothing is shuffled: the whole
-    screening of a message happens in the task that read it.
+    Whole texts are screened whatever their length. ``status`` is null for a screened message, ``empty_input`` for one
+    without text, ``meta`` for chatter (a phrase of ``phrases``), which gets no hits and no signals, and with a ``limit``
+    the status for content that is longer; that one is a label only. Optional columns: ``language`` (fallback of the
+    reply language if replies exist in it), ``detected`` and ``detected_probability`` of a language detector, and
+    ``content_signals`` that came with the content. Without a blocklist, and with packs of moderate size, nothing is
+    shuffled: the whole screening of a message happens in the task that read it.
     """
-    gated = messages.withColumn("status", length_status(F.col("text"), F.col("input_type")))
-    passed = gated.filter(F.col("status").isNull()).drop("status")
-    matched = with_rule_hits(with_normalized(passed), patterns, id_col)
-    screened = with_signals(matched, catalog).withColumn(
-        "minimized", minimize_strict(F.col("text"), catalog)
-    ).withColumn("reply_language", resolve_language(F.col("text"), F.lit(fallback_language)))
+    text, columns = F.col("text"), messages.columns
+    status = length_status(text, F.col("input_type"), limit if limit is not None else 2**31 - 1)
+    rows = messages.withColumn("status", status)
+    if phrases is not None:
+        flagged = flag_meta(rows, phrases, address_words)
+        rows = flagged.withColumn("status", F.when(F.col("status").isNull() & F.col("is_meta"), "meta").otherwise(F.col("status")))
+        rows = rows.drop("is_meta")
+    fallback = F.lit(fallback_language)
+    if "language" in columns:
+        fallback = F.when(F.col("language").isin(*V.REPLY_LANGUAGES), F.col("language")).otherwise(fallback)
+    detected = F.col("detected") if "detected" in columns else None
+    probability = F.col("detected_probability") if "detected_probability" in columns else None
+    matched = with_rule_hits(with_normalized(rows), patterns, id_col)
     if blocklist is not None:
-        listed = reputation_hits(passed, blocklist, id_col).select(
-            id_col,
-            F.struct(
-                "rule_id", "family",
-                F.concat(
-                    F.lit("The submitted link's domain appears in a public phishing blocklist; sources="),
-                    F.array_join("sources", ","),
-                    F.lit("; listed_since="),
-                    F.col("listed_since").cast("string"),
-                    F.lit("."),
-                ).alias("message_key"),
-                "severity",
-                F.lit(None).cast("string").alias("emits_signal"),
-            ).alias("_listed"),
-        )
-        screened = screened.join(listed, id_col, "left").withColumn(
-            "hits", F.concat("hits", F.array_compact(F.array("_listed")))
-        ).drop("_listed")
+        matched = with_reputation(matched, blocklist, id_col, note)
+    checked = F.col("status").isNull() | (F.col("status") != "meta")
+    matched = matched.withColumn("hits", F.when(checked, F.col("hits")).otherwise(F.array().cast(HIT_TYPE)))
+    screened = with_signals(matched, catalog)
+    screened = screened.withColumns(
+        {
+            "signals": F.when(checked, F.col("signals")).otherwise(F.array().cast(SIGNAL_TYPE)),
+            "minimized": minimize_strict(text, catalog),
+            "answer_view": minimize_answer(text, catalog),
+            "reply_language": resolve_language(F.coalesce(text, F.lit("")), fallback, detected, probability),
+        }
+    )
     return screened if cards is None else retrieve(screened, cards, id_col)

@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.functions import links as L
-from wardline.operators.common import spread
 from wardline.operators.rules import flatten_rules
 from wardline.plans.screening import with_signals
 from wardline.sources.readers import as_timestamp, read_messages
@@ -33,6 +32,11 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+def dealt(parts: Column, place: int, places: int = 4) -> Column:
+    """Every ``places``-th entry, from ``place`` on: the places together hold all entries."""
+    return F.filter(parts, lambda _, i: i % places == place)
+
+
 def strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -44,19 +48,18 @@ class Views:
         self.spark, self.path = spark, path
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        return spread(df) if name in ("documents", "conversations", "pages") else df
+        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     @cached_property
     def messages(self) -> DataFrame:
-        return read_messages(self.spark, self.path, deal_out=True)
+        return read_messages(self.spark, self.path)
 
     # --- rules and cards from the benchmark items ------------------------------------------------
     @cached_property
     def rules(self) -> DataFrame:
-        """One rule per benchmark item; its sentences of 12 characters or more are the patterns."""
+        """One rule per benchmark item; its lines are the patterns."""
         n = F.col("item_id")
-        long = F.filter(sentences(F.col("text")), lambda s: F.length(s) >= 12)
+        parts = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
         return (
             self.table("benchmark")
             .select(
@@ -67,9 +70,9 @@ class Views:
                 F.concat(F.lit("key_"), n).alias("message_key"),
                 (F.pmod(n, F.lit(3)) + 1).cast("int").alias("severity"),
                 F.when(F.pmod(n, F.lit(2)) == 0, "bench_even").alias("emits_signal"),
-                F.create_map(F.lit("uz_latn"), long, F.lit("ru"), strings(" ")).alias("match"),
+                F.create_map(F.lit("uz_latn"), parts, F.lit("ru"), strings(" ")).alias("match"),
             )
-            .filter(F.size(long) > 0)
+            .filter(F.size(parts) > 0)
         )
 
     @cached_property
@@ -90,9 +93,9 @@ class Views:
             F.when(F.pmod(n, F.lit(4)) == 0, F.array(pick(n / 4, SIGNAL_KINDS)))
             .otherwise(strings())
             .alias("trigger_signal_kinds"),
-            F.create_map(F.lit("uz_latn"), F.slice(words, 1, 2)).alias("retrieval_aliases"),
+            F.create_map(F.lit("uz_latn"), words).alias("retrieval_aliases"),
             F.concat(F.lit("Mechanism "), n).alias("mechanism"),
-            F.slice(sentences(F.col("text")), 1, 1).alias("red_flags"),
+            sentences(F.col("text")).alias("red_flags"),
             F.array(F.concat(F.lit("Verify "), n)).alias("verify_steps"),
             F.array(F.concat(F.lit("Ask "), n)).alias("questions"),
             F.array(F.lit("case.shared"), F.concat(F.lit("case.item_"), n)).alias("reviewed_case_ids"),
@@ -275,7 +278,7 @@ class Views:
     # --- drafts ----------------------------------------------------------------------------------
     @cached_property
     def drafts(self) -> DataFrame:
-        """Assistant turns cut into draft blocks, with one of several phrases that checks look for."""
+        """All sentences of each assistant turn dealt over draft blocks, with one of several phrases that checks look for."""
         from wardline.plans.phrases import PHRASES
 
         n = F.col("conv_id") * 31 + F.col("turn")
@@ -296,13 +299,13 @@ class Views:
             .filter(F.col("role") == "assistant")
             .select("conv_id", "turn", sentences(F.col("text")).alias("s"), n.alias("n"), hits.alias("hits"))
             .select(
-                (F.col("conv_id") * 1000 + F.col("turn")).alias("check_id"),
+                F.concat_ws(":", "conv_id", "turn").alias("check_id"),
                 "conv_id",
                 F.when(F.col("n") % 2 == 0, "ru").otherwise("uz_latn").alias("language"),
-                F.slice(s, 1, 2).alias("red_flags"),
-                F.concat(F.coalesce(F.get(s, F.lit(2)), F.lit("")), F.lit(" "), phrase).alias("pattern"),
-                F.slice(s, 4, 5).alias("verify"),
-                F.slice(s, 2, 2).alias("ask"),
+                dealt(s, 0).alias("red_flags"),
+                F.concat(F.array_join(dealt(s, 1), ". "), F.lit(" "), phrase).alias("pattern"),
+                dealt(s, 2).alias("verify"),
+                dealt(s, 3).alias("ask"),
                 F.when(F.col("n") % 13 == 0, F.concat(own, strings("fs.other")))
                 .when(F.col("n") % 11 == 0, strings())
                 .otherwise(own)

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardline.operators.common import spread
-
-CONVERSATION_ID_BASE = 1_000_000_000_000
-PAGE_ID_BASE = 2_000_000_000_000
 
 
 def as_timestamp(ts: Column) -> Column:
@@ -17,7 +13,7 @@ def as_timestamp(ts: Column) -> Column:
 
 def documents_as_messages(documents: DataFrame) -> DataFrame:
     return documents.select(
-        F.col("doc_id").alias("msg_id"),
+        F.concat(F.lit("d"), "doc_id").alias("msg_id"),
         F.col("source").alias("user_key"),
         F.col("lang").alias("language"),
         F.lit("text").alias("input_type"),
@@ -27,7 +23,7 @@ def documents_as_messages(documents: DataFrame) -> DataFrame:
 
 def conversations_as_messages(conversations: DataFrame) -> DataFrame:
     return conversations.select(
-        (F.lit(CONVERSATION_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
+        F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("msg_id"),
         F.col("role").alias("user_key"),
         F.lit(None).cast("string").alias("language"),
         F.lit("text").alias("input_type"),
@@ -38,7 +34,7 @@ def conversations_as_messages(conversations: DataFrame) -> DataFrame:
 def pages_as_messages(pages: DataFrame) -> DataFrame:
     """The address of a page as a message that holds just that link."""
     return pages.select(
-        (F.lit(PAGE_ID_BASE) + F.col("page_id")).alias("msg_id"),
+        F.concat(F.lit("p"), "page_id").alias("msg_id"),
         F.lit("page").alias("user_key"),
         F.lit(None).cast("string").alias("language"),
         F.lit("text").alias("input_type"),
@@ -57,16 +53,15 @@ def read_messages(
     spark: SparkSession,
     path: str,
     tables: tuple[str, ...] = ("documents", "conversations"),
-    deal_out: bool = False,
 ) -> DataFrame:
     """Message table from the corpus tables under ``path``; only the needed columns are read.
 
-    ``deal_out`` spreads tables of fewer files than cores over all cores, see ``spread``.
+    Ids are text: a letter for the table, then its key.
     """
     merged = None
     for name in tables:
         table = spark.read.parquet(f"{path}/{name}.parquet")
-        part = _ADAPTERS[name](spread(table) if deal_out else table)
+        part = _ADAPTERS[name](table)
         merged = part if merged is None else merged.unionByName(part)
     return merged
 

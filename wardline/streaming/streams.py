@@ -20,34 +20,41 @@ from wardline.plans.screening import screen
 WATERMARK = "10 minutes"
 
 
+#: Trigger options of a job that ends when everything that is there now is processed.
+AVAILABLE = {"availableNow": True}
+
+
+def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+    """Starts writing a stream to Parquet; ``trigger`` as in DataStreamWriter, as fast as possible by default."""
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def start_batches(stream: DataFrame, one_batch, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Starts a stream whose micro-batches go to a function."""
+    writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what is there now into Parquet and waits for it."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = start(stream, path, checkpoint, mode, AVAILABLE)
     query.awaitTermination()
     return query
 
 
-def screen_stream(messages: DataFrame, patterns: DataFrame, path: str, checkpoint: str, **packs) -> StreamingQuery:
-    """Screens arriving messages with the batch plan. A replayed batch overwrites its own folder."""
+def screen_stream(
+    messages: DataFrame, patterns: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **packs
+) -> StreamingQuery:
+    """Starts screening arriving messages with the batch plan: rule hits, signals, and blocklist hits if a list is given.
+
+    A replayed batch overwrites its own folder.
+    """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         screen(batch, patterns, **packs).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        messages.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return start_batches(messages, one_batch, checkpoint, trigger)
 
 
 def availability_stream(events: DataFrame, threshold: float, watermark: str = WATERMARK) -> DataFrame:
@@ -127,45 +134,57 @@ def quota_stream(events: DataFrame, limit: int = V.DAILY_LIMIT, watermark: str =
     )
 
 
-def blocklist_stream(feed: DataFrame, base: DataFrame, path: str, checkpoint: str, now) -> StreamingQuery:
-    """Keeps a blocklist current from arriving hashes; batch n writes version n of the table.
+def blocklist_stream(
+    feed: DataFrame, base: DataFrame, path: str, checkpoint: str, now, trigger: dict | None = None, prefix: int = 2
+) -> StreamingQuery:
+    """Starts keeping a blocklist current from arriving hashes, in folders by the first letters of the hash.
 
-    A replayed batch reads the version before its own and overwrites its own, so it repeats safely.
+    ``base`` is written once, when there is no list yet. A batch rewrites only the folders that its hashes fall into.
+    The new rows are staged first, so no folder is read and written at once; the upsert keeps the earliest date and sets
+    the latest, so a replayed batch repeats safely.
     """
+    spark = base.sparkSession
+    columns = base.columns
+
+    def folders(df: DataFrame) -> DataFrame:
+        return df.withColumn("part", F.left("domain_hash", F.lit(prefix)))
+
+    def put(df: DataFrame, target: str) -> None:
+        writer = folders(df).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(target)
+
+    def listed() -> DataFrame:
+        return spark.read.schema(folders(base).schema).parquet(f"{path}/list")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = base if batch_id == 0 else spark.read.parquet(f"{path}/v{batch_id - 1}")
-        upsert_blocklist(current, batch, now).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    query = (
-        feed.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+        if batch_id == 0:
+            put(base, f"{path}/list")
+        touched = folders(batch).select("part").distinct()
+        current = listed().join(touched, "part", "left_semi").select(*columns)
+        put(upsert_blocklist(current, batch, now), f"{path}/staged")
+        staged = spark.read.schema(folders(base).schema).parquet(f"{path}/staged")
+        put(staged.join(touched, "part", "left_semi").select(*columns), f"{path}/list")
 
+    return start_batches(feed, one_batch, checkpoint, trigger)
 
-def lifecycle_stream(events: DataFrame, within: str = "10 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """Starts joined with their terminal record; one that never ends surfaces with null outcome."""
-    starts = (
-        events.filter(F.col("event") == "check_started")
-        .select("request_id", F.col("ts").alias("started"))
-        .withWatermark("started", watermark)
-    )
-    ends = (
-        events.filter(F.col("event").isin("check_completed", "check_failed"))
-        .select(F.col("request_id").alias("end_id"), F.col("event").alias("outcome"), F.col("ts").alias("ended"))
-        .withWatermark("ended", watermark)
-    )
-    paired = (
-        (F.col("request_id") == F.col("end_id"))
-        & (F.col("ended") >= F.col("started"))
-        & (F.col("ended") <= F.col("started") + F.expr(f"INTERVAL {within}"))
-    )
-    return starts.join(ends, paired, "leftOuter").select(
-        "request_id", "started", "outcome",
-        ((F.unix_micros("ended") - F.unix_micros("started")) / 1000).cast("long").alias("duration_ms"),
+
+def lifecycle_stream(events: DataFrame, gap: str = "10 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """The rows of :func:`wardline.operators.alerts.lifecycle`, each once its request has been silent for ``gap``.
+
+    Requests without a start or without an end get a row too; records of a request that are further apart than ``gap``
+    count as two.
+    """
+    start_ts = F.min(F.when(F.col("event") == "check_started", F.col("ts")))
+    terminal = F.col("event").isin("check_completed", "check_failed")
+    end_ts = F.min(F.when(terminal, F.col("ts")))
+    return (
+        events.withWatermark("ts", watermark)
+        .groupBy("request_id", F.session_window("ts", gap).alias("s"))
+        .agg(
+            F.bool_or(F.col("event") == "check_started").alias("has_start"),
+            F.min_by(F.when(terminal, F.col("event")), F.when(terminal, F.col("ts"))).alias("outcome"),
+            F.sort_array(F.collect_set(F.when(F.col("event") == "app_error", F.col("error_type")))).alias("error_types"),
+            ((F.unix_micros(end_ts) - F.unix_micros(start_ts)) / 1000).cast("long").alias("duration_ms"),
+        )
+        .drop("s")
     )
