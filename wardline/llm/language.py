@@ -13,9 +13,9 @@ import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wardline.llm.shared import held_out, map_batches, training_row
+from wardline.llm.shared import hash_share, held_out, map_batches, training_row
 
 SAMPLE = 400
 PIECE = 600
@@ -44,13 +44,22 @@ def learn_languages(documents: DataFrame, sample: int = SAMPLE, piece: int = PIE
     rows = documents.filter(training_row(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     spot = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("order"), F.substring("text", spot, F.lit(piece)).alias("piece"))
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    rows = rows.filter(_any([(F.col("lang") == r["lang"]) & hash_share(F.col("order"), sample, r["count"]) for r in often]))
     first = W.partitionBy("lang").orderBy("order", "piece")
     chosen = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= sample).orderBy("lang", "at").collect()
     content: dict[str, list[bytes]] = {}
     for r in chosen:
         content.setdefault(r["lang"], []).append(letter_runs(r["piece"]))
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    return {r["lang"]: b"".join(content[r["lang"]]) for r in often}
+    return {r["lang"]: b"".join(content[r["lang"]]) for r in often if r["lang"] in content}
+
+
+def _any(tests: list[Column]) -> Column:
+    """Whether one of the tests holds, as a balanced tree."""
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    middle = len(tests) // 2
+    return _any(tests[:middle]) | _any(tests[middle:])
 
 
 class Compressors:

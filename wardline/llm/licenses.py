@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.shared import byte_texts, map_batches, mixed
+from wardline.llm.shared import byte_texts, hash_share, map_batches, mixed
 
 SAMPLE = 2000
 BITS = 16
@@ -111,6 +111,7 @@ def prose_sample(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
     rows = documents.select(F.xxhash64("doc_id", "text").alias("order"), F.split("text", "\n").alias("lines")).filter("lines is not null")
     line = F.get("lines", F.pmod("order", F.size("lines").cast("long")).cast("int"))
     rows = rows.select("order", F.substring(line, 1, 4000).alias("line"))  # of the training lines only
+    rows = rows.filter(hash_share(F.col("order"), sample, documents.count()))
     return [r["line"] for r in rows.orderBy("order", "line").limit(sample).collect()]
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import boosting
-from wardline.llm.shared import byte_texts, held_out, map_batches, training_row
+from wardline.llm.shared import byte_texts, hash_share, held_out, map_batches, training_row
 from wardline.llm.statistics import COUNTS, FEATURES, batch_statistics
 
 SAMPLE = 20_000
@@ -28,6 +28,7 @@ def training_matrix(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"))
         .filter(training_row(F.col("_id")) & F.col("_quality").isin(0, 1))
+        .filter(hash_share(F.xxhash64("_id"), sample, labels.count()))
         .groupBy("_id")
         .agg(F.min("_quality").alias("_quality"), F.max("_quality").alias("_other"))
         .filter(F.col("_quality") == F.col("_other"))

@@ -47,6 +47,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def hash_share(order: Column, limit: int, total: int) -> Column:
+    """Whether a 64-bit hash is among the smallest of ``total``: passes about four times ``limit`` of them.
+
+    Put before a search for the ``limit`` smallest, it keeps what each task hands on in proportion to the sample.
+    """
+    if total <= 4 * limit:
+        return F.lit(True)
+    return order < F.lit(-(1 << 63) + (4 * limit << 64) // total)
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column; null stays None."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
