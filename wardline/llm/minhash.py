@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wardline.llm.graph import extended
-from wardline.llm.shared import byte_texts, map_batches, mixed, window_hashes, word_hashes, written
+from wardline.llm.shared import byte_texts, identified, map_batches, mixed, window_hashes, word_hashes, written
 
 WORDS = 5
 PERCENT = 75
@@ -69,7 +69,7 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 
 def _signed(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, print (of the set), bands, sketch for each row."""
+    """doc_id, _row, text_key, n_shingles, print (of the set), bands, sketch for each row."""
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         sizes, prints, keys, sketches = [], [], [], []
@@ -86,27 +86,36 @@ def _signed(documents: DataFrame) -> DataFrame:
                 keys.append(None)
                 sketches.append(None)
         return {
-            "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_shingles": sizes,
+            "doc_id": batch.column("doc_id"), "_row": batch.column("_row"), "text_key": batch.column("text_key"), "n_shingles": sizes,
             "print": prints, "bands": keys, "sketch": sketches,
         }
 
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return map_batches(rows, work, "doc_id long, text_key long, n_shingles long, print binary, bands array<long>, sketch binary")
+    rows = documents.select("doc_id", "_row", F.xxhash64("text").alias("text_key"), "text")
+    return map_batches(rows, work, "doc_id long, _row long, text_key long, n_shingles long, print binary, bands array<long>, sketch binary")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept for every row; text_key is xxhash64 of the text.
 
     Texts without words and null texts are linked with nothing: component_id is their own id. Null ids are passed over
-    when the smallest id is sought; a component of null ids only has a null component_id and its rows are kept. Rows that
-    repeat an id are judged alike. Other columns are not read.
+    when the smallest id is sought; a component of null ids only has a null component_id. One document of each component is
+    kept: of the smallest id, and if texts share it or it is null, the one of smallest text_key (and, without id, one row of
+    it). Rows that repeat an id (not null) and a text are one document and judged alike. Other columns are not read.
     """
+    return _judged(identified(documents, "_row")).drop("_row")
+
+
+def _judged(documents: DataFrame) -> DataFrame:
+    """What near_duplicates returns, and _row, for identified rows."""
     signed = written(_signed(documents).withColumn("rid", F.monotonically_increasing_id()), "signatures")
-    with_set = signed.filter("print is not null")
+    unnamed = F.lit(str(1 << 63)).cast("decimal(20,0)") + F.col("_row").cast("decimal(20,0)")
+    whole = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), unnamed.cast("decimal(20,0)"))
+    place = whole.cast("decimal(20,0)") * F.lit(str(1 << 60)).cast("decimal(19,0)") + F.shiftrightunsigned("text_key", 4).cast("decimal(19,0)")
+    with_set = signed.filter("print is not null").withColumn("place", place.cast("decimal(38,0)"))
     classes = written(
-        with_set.groupBy("print").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")), "classes"
+        with_set.groupBy("print").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"), F.min("place").alias("first")), "classes"
     )
-    ones = written(with_set.join(classes.select("rid"), "rid", "left_semi").drop("print"), "representatives")
+    ones = written(with_set.join(classes.select("rid"), "rid", "left_semi").drop("print", "place", "_row"), "representatives")
     members = _members(ones)
     tested = joined = None
     for stage in ("best hub", "other hubs", "rest"):
@@ -123,16 +132,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             found = written(_confirmed(pairs, ones, documents), "links")
         joined = extended(joined, found)
     if joined is None:
-        named = classes.select("print", F.col("first_id").alias("component_id"))
+        named = classes.select("print", F.col("first_id").alias("component_id"), "first")
     else:
         rooted = classes.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = rooted.join(smallest, "root").select("print", "component_id")
-    columns = ["doc_id", "text_key", "n_shingles", "component_id"]
-    every = with_set.join(named, "print").select(*columns).unionByName(
-        signed.filter("print is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+        smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first").alias("first"))
+        named = rooted.drop("first").join(smallest, "root").select("print", "component_id", "first")
+    columns = ["doc_id", "_row", "text_key", "n_shingles"]
+    every = with_set.join(named, "print").select(*columns, "component_id", (F.col("place") == F.col("first")).alias("kept"))
+    return every.unionByName(
+        signed.filter("print is null").select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     )
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _members(ones: DataFrame) -> DataFrame:
@@ -271,10 +280,14 @@ def _confirmed(pairs: DataFrame, ones: DataFrame, documents: DataFrame) -> DataF
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """One document of each component, all columns: the one of smallest id; rows that repeat its id and text are one."""
-    judged = near_duplicates(documents).filter("not kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_other")
+    """One document of each component, all columns: the one of smallest id; rows that repeat its id and text are one.
+
+    Of several texts of the smallest id one stays; of rows without id each is a document. The column `_row` is reserved.
+    """
+    rows = identified(documents, "_row")
+    judged = _judged(rows).filter("not kept").select(
+        F.col("doc_id").alias("_id"), F.col("_row").alias("_number"), F.col("text_key").alias("_other")
     ).distinct()
-    keyed = documents.withColumn("_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(judged["_id"]) & (keyed["_key"] == judged["_other"])
-    return keyed.join(judged, same, "left_anti").drop("_key")
+    keyed = rows.withColumn("_key", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(judged["_id"]) & keyed["_row"].eqNullSafe(judged["_number"]) & (keyed["_key"] == judged["_other"])
+    return keyed.join(judged, same, "left_anti").drop("_key", "_row")

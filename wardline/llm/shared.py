@@ -37,6 +37,13 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(documents: DataFrame, column: str) -> DataFrame:
+    """All rows and columns, and ``column``: null for rows with an id, else a number of the row, written so that it is stable."""
+    unnamed = documents.filter("doc_id is null").withColumn(column, F.monotonically_increasing_id())
+    named = documents.filter("doc_id is not null").withColumn(column, F.lit(None).cast("long"))
+    return named.unionByName(written(unnamed, "unnamed"))
+
+
 def training_row(doc_id: Column) -> Column:
     """Rows to learn from: crc32 of the id as text is no multiple of 5. A null id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
