@@ -3,13 +3,17 @@
 Paragraphs are lines. A softmax regression over hashed word unigrams and bigrams tells licence families from ordinary
 prose. It is trained here from the templates, varied and set into prose, and from at most ``SAMPLE`` prose lines of the
 corpus (a documented bound). Held-out prose calibrates the least probability of a family. A paragraph that reaches it is
-confirmed when it holds enough of the word pairs of one of the family's templates; otherwise it is an unknown licence.
+confirmed when it holds enough of the word pairs of one of the family's templates; otherwise it is an unknown licence. A notice wrapped over several lines is found by
+comparison alone: in runs of lines with words (comment marks are no words) the shortest groups that hold enough of a
+template's word pairs, within ``SPREAD`` times its length, those across line ends included.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +26,7 @@ from wardline.llm.shared import byte_texts, hash_share, map_batches, mixed
 SAMPLE = 2000
 BITS = 16
 COVER = 0.6  # share of a template's word pairs that a paragraph must hold
+SPREAD = 2  # words of a group of lines, as a multiple of the template's words, within which its pairs must lie
 FALSE_ALARMS = 0.0005  # share of held-out prose that may pass as a licence before comparison
 
 #: Usual short notices of each family.
@@ -173,18 +178,81 @@ def confirmed(words: list[bytes], family: str) -> bool:
     return any(len(own & pairs) >= COVER * len(pairs) for pairs in _PAIRS[family])
 
 
+#: Each template of COVER by number: family, pairs it must share, words within which they lie; and numbers by word pair.
+_WANTED = [(f, math.ceil(COVER * len(p) - 1e-9), SPREAD * (len(p) + 1)) for f in FAMILIES for p in _PAIRS[f]]
+_OWNERS: dict[tuple[bytes, bytes], list[int]] = {}
+for _n, _p in enumerate(p for f in FAMILIES for p in _PAIRS[f]):
+    for _pair in _p:
+        _OWNERS.setdefault(_pair, []).append(_n)
+_MARK = re.compile(rb"^\s*(?:rem|dnl)\s", re.IGNORECASE)  # comment marks made of letters
+
+
+def wrapped(run: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, str]]:
+    """First line, last line and family of each group of two or more lines of a run that together hold a notice."""
+    words = [w for _, line in run for w in line]
+    places: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = {}
+    for at, pair in enumerate(zip(words, words[1:], strict=False)):
+        if pair in _OWNERS:
+            for n in _OWNERS[pair]:
+                places.setdefault(n, []).append((at, pair))
+    groups, line_of = [], None
+    for n, met in sorted(places.items()):
+        family, least, spread = _WANTED[n]
+        if len(met) < least or len({pair for _, pair in met}) < least:
+            continue
+        line_of = line_of or [k for k, line in run for _ in line]
+        held: Counter[tuple[bytes, bytes]] = Counter()
+        low, done = 0, -1
+        for high, (at, pair) in enumerate(met):
+            if at <= done:  # belongs to the group before
+                low = high + 1
+                continue
+            held[pair] += 1
+            while at + 2 - met[low][0] > spread or (len(held) >= least and held[met[low][1]] > 1):
+                held[met[low][1]] -= 1
+                held += Counter()
+                low += 1
+            if len(held) >= least:
+                for more, other in met[high + 1 :]:  # what else of the template follows
+                    if more + 2 - met[low][0] > spread:
+                        break
+                    if other not in held:
+                        held[other], at = 1, more
+                first, last = line_of[met[low][0]], line_of[at + 1]
+                if first != last:
+                    groups.append((first, last, family))
+                held.clear()
+                low, done = high + 1, at
+    return groups
+
+
+def _with_wrapped(found: list[tuple[int, str]], lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, str]]:
+    """The hits of single lines and, at their first line, of wrapped notices; a line within one is no longer unknown."""
+    start = 0
+    for end in range(1, len(lines) + 1):
+        if end < len(lines) and lines[end][0] == lines[end - 1][0] + 1:
+            continue
+        for first, last, family in wrapped(lines[start:end]) if end - start > 1 else ():
+            if not any(first <= k <= last and f == family for k, f in found):
+                found = [(k, f) for k, f in found if f != "unknown" or not first <= k <= last] + [(first, family)]
+            else:
+                found = [(k, f) for k, f in found if f != "unknown" or not first <= k <= last]
+        start = end
+    return sorted(found)
+
+
 def scan_licenses(documents: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, n_paragraphs, families (sorted, comma-joined), paragraphs (number:family of each hit), n_unknown.
 
     Paragraphs are lines with a word, numbered among all lines from 0. Null and empty texts have none. A paragraph that the
-    classifier takes for a licence but that no template confirms is `unknown`. Repeated rows get equal results; other
+    classifier takes for a licence but that no template confirms is `unknown`. A wrapped notice is a hit of its first line. Repeated rows get equal results; other
     columns are not read.
     """
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         n_paragraphs, families, hits, unknown = [], [], [], []
         for text in byte_texts(batch.column("text")):
-            lines = [(k, w) for k, line in enumerate((text or b"").split(b"\n")) if (w := words_of(line))]
+            lines = [(k, w) for k, line in enumerate((text or b"").split(b"\n")) if (w := words_of(_MARK.sub(b"", line)))]
             n_paragraphs.append(len(lines))
             found = []
             if lines:
@@ -194,6 +262,7 @@ def scan_licenses(documents: DataFrame, classifier: Classifier) -> DataFrame:
                     ranked = np.argsort(-p[at, 1:], kind="stable")[:2].tolist()
                     family = next((FAMILIES[f] for f in ranked if confirmed(words, FAMILIES[f])), "unknown")
                     found.append((k, family))
+                found = _with_wrapped(found, lines)
             families.append(",".join(sorted({f for _, f in found if f != "unknown"})))
             hits.append(",".join(f"{k}:{f}" for k, f in found))
             unknown.append(sum(f == "unknown" for _, f in found))
