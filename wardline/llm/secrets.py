@@ -1,9 +1,9 @@
 """Secret scan in DataFrame operations only: fixed patterns, and Shannon entropy in windows that slide over candidates.
 
 Positions come from the pieces between the matches, so they are exact code points. A candidate is a run of at least
-``WINDOW`` token characters with a letter and a digit; its class decides the threshold. The entropy of the window is kept
-up to date by the counts of the one character that leaves and the one that enters. Candidates on the allow-list and
-those that touch a pattern's span are left out.
+``WINDOW`` token characters with a letter and a digit, or of letters only; its class decides the threshold. The entropy of the window is kept
+up to date by the counts of the one character that leaves and the one that enters. Windows that hold a run of one
+character or an alphabet do not count; candidates that the rest of the allow-list names as a whole and those that touch a pattern's span are left out.
 """
 
 from __future__ import annotations
@@ -25,12 +25,19 @@ QUICK = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least entropy in bits for a window, by class; no value that a window can take lies near them.
-THRESHOLDS = {"hex": 2.93, "decimal": 2.61, "mixed": 3.73}
+THRESHOLDS = {"hex": 2.93, "decimal": 2.61, "letters": 3.73, "mixed": 3.73}
 #: Candidates that are no secrets: identifiers in the canonical form, integrity hashes, placeholders, running alphabets.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^sha(256|384|512)-", r"(?i)example|sample|placeholder|changeme|dummy",
     r"([A-Za-z0-9])\1{5,}", r"(?i)abcdefgh|0123456789|qwertyui",
 )
+#: The first of them judge a whole candidate. The others only judge windows: each match is cut so that no piece holds all of it
+#: and each window without a match lies in a piece.
+_WHOLE = ALLOWED[:3]
+_CUTS = (
+    (r"([A-Za-z0-9])\1{5,}", "$1$1$1$1$1 $1$1$1$1$1"), (r"(?i)(a)(bcdefg)(h)", "$1$2 $2$3"),
+    (r"(0)(12345678)(9)", "$1$2 $2$3"), (r"(?i)(q)(wertyu)(i)", "$1$2 $2$3"),
+)
 _CHUNK = 512
 
 
@@ -102,17 +109,22 @@ def window_entropy(token: Column, window: int = WINDOW) -> Column:
 
 
 def _suspicious(token: Column) -> Column:
-    """Whether a candidate's entropy reaches the threshold of its class and nothing allows it."""
+    """Whether the entropy of a window of a candidate reaches the threshold of its class and nothing allows it."""
     allowed = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in _WHOLE:
         allowed = allowed | token.rlike(pattern)
     least = (
         F.when(token.rlike("^[0-9]+$"), F.lit(THRESHOLDS["decimal"]))
         .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(THRESHOLDS["hex"]))
+        .when(token.rlike("^[A-Za-z]+$"), F.lit(THRESHOLDS["letters"]))
         .otherwise(F.lit(THRESHOLDS["mixed"]))
     )
-    plausible = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & ~allowed
-    return F.when(plausible, window_entropy(token) >= least).otherwise(F.lit(False))
+    plausible = ((token.rlike("[0-9]") & token.rlike("[A-Za-z]")) | token.rlike("^[A-Za-z]+$")) & ~allowed
+    pieces = token
+    for pattern, cut in _CUTS:
+        pieces = F.regexp_replace(pieces, F.lit(pattern), F.lit(cut))
+    long = F.filter(F.split(pieces, " "), lambda p: F.length(p) >= WINDOW)
+    return F.when(plausible, F.exists(long, lambda p: window_entropy(p) >= least)).otherwise(F.lit(False))
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:
