@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import draft_values as D, fixed_values as V
-from wardline.functions.text import any_of, bind
+from wardline.functions.text import any_of, bind, casefold
 from wardline.operators.common import salted_join
 
 DRAFT_SCHEMA = (
@@ -119,15 +119,12 @@ def eval_leaderboard(scores: DataFrame) -> DataFrame:
 def forbidden_leaks(
     answers: DataFrame, fixtures: DataFrame, id_col: str = "fixture_id"
 ) -> DataFrame:
-    """(id, phrase): forbidden phrases that occur in an ``ok`` answer to their fixture.
+    """(id, phrase): forbidden phrases that occur in an ``ok`` answer to their fixture, in any letter case.
 
-    ``fixtures``: fixture_id, must_not_contain.
+    ``fixtures``: fixture_id, must_not_contain. Both sides are case-folded, so that letters whose upper-case form is
+    longer (ß, SS) meet in every spelling; the phrase is returned as it was given.
     """
-    phrases = fixtures.select(id_col, F.explode("must_not_contain").alias("phrase"))
-    lowered = answers.filter(F.col("status") == "ok").select(
-        id_col, "answer_id", F.lower("answer").alias("_answer")
-    )
-    joined = salted_join(lowered, phrases, [id_col], "inner", F.col("answer_id"))
-    return joined.filter(F.contains("_answer", F.lower("phrase"))).select(
-        id_col, "answer_id", "phrase"
-    )
+    phrases = fixtures.select(id_col, F.explode("must_not_contain").alias("phrase")).withColumn("_folded", casefold(F.col("phrase")))
+    folded = answers.filter(F.col("status") == "ok").select(id_col, "answer_id", casefold(F.col("answer")).alias("_answer"))
+    joined = salted_join(folded, phrases, [id_col], "inner", F.col("answer_id"))
+    return joined.filter(F.contains("_answer", "_folded")).select(id_col, "answer_id", "phrase")

@@ -523,9 +523,9 @@ def _(v: Views) -> DataFrame:
 @query(
     "forbidden_leaks",
     """
-    WITH a AS (SELECT conv_id AS fixture_id, turn AS answer_id, lower(text) AS answer FROM conversations WHERE role = 'assistant'),
-         p AS (SELECT DISTINCT conv_id AS fixture_id, phrase FROM (SELECT conv_id, upper(unnest(string_split(text, ' '))) AS phrase FROM conversations WHERE role = 'user') WHERE length(phrase) > 3)
-    SELECT fixture_id, answer_id, phrase FROM a JOIN p USING (fixture_id) WHERE contains(answer, lower(phrase))""",
+    WITH a AS (SELECT conv_id AS fixture_id, turn AS answer_id, replace(lower(text), 'ß', 'ss') AS answer FROM conversations WHERE role = 'assistant'),
+         p AS (SELECT DISTINCT conv_id AS fixture_id, phrase FROM (SELECT conv_id, unnest(string_split(text, ' ')) AS phrase FROM conversations WHERE role = 'user') WHERE length(phrase) > 3)
+    SELECT fixture_id, answer_id, phrase FROM a JOIN p USING (fixture_id) WHERE contains(answer, replace(lower(phrase), 'ß', 'ss'))""",
 )
 def _(v: Views) -> DataFrame:
     turns = v.table("conversations")
@@ -533,6 +533,6 @@ def _(v: Views) -> DataFrame:
         F.col("conv_id").alias("fixture_id"), F.col("turn").alias("answer_id"), F.lit("ok").alias("status"), F.col("text").alias("answer")
     )
     words = F.explode(F.split("text", " ")).alias("w")
-    fixtures = turns.filter(F.col("role") == "user").select(F.col("conv_id").alias("fixture_id"), words).withColumn("w", F.upper("w"))
+    fixtures = turns.filter(F.col("role") == "user").select(F.col("conv_id").alias("fixture_id"), words)
     phrases = fixtures.filter(F.length("w") > 3).distinct().select("fixture_id", F.array("w").alias("must_not_contain"))
     return evals.forbidden_leaks(answers, phrases)
