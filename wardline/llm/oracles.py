@@ -74,4 +74,63 @@ SECRETS = f"""
       sha256(coalesce(mine, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added
     FROM t LEFT JOIN listed USING (doc_id)"""
 
-ORACLES = {"op4_decontamination": DECONTAMINATION, "op6_minhash_dedup": NEAR_DUPLICATES, "op8_secret_scan": SECRETS}
+#: crc32 by its bits; ids have at most 20 characters.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda acc, c: list_reduce(list_prepend(xor(acc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda b, z: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)))"""
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _document_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_encoded(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree_levels(name: str, start: str, levels: int) -> str:
+    """CTEs of the nodes (t, i, d, n) of each level and of their siblings before and after; a finished tree stays as it is."""
+    made = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        made.append(f"""{name}s{k} AS MATERIALIZED (SELECT t, i, n,
+          coalesce(string_agg(d, '') OVER (PARTITION BY t, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo,
+          coalesce(string_agg(d, '') OVER (PARTITION BY t, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM {name}{k})""")
+        made.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT t, i // 8 AS i, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d,
+          (n + 7) // 8 AS n FROM {name}{k} GROUP BY t, i // 8, n)""")
+    return ", ".join(made)
+
+
+def _fold(source: str, name: str, levels: int) -> str:
+    """Rows of ``source`` (t, i, f, p) with the digest f folded and the siblings p added up to the end of each tree."""
+    for k in range(levels):
+        source = f"""(SELECT q.* REPLACE (q.i // 8 AS i, CASE WHEN s.n > 1 THEN sha256(lo || f || hi) ELSE f END AS f, CASE WHEN s.n > 1 THEN p || lo || hi ELSE p END AS p)
+          FROM {source} q JOIN {name}s{k} s ON q.t = s.t AND q.i = s.i)"""
+    return source
+
+
+#: Up to 8**7 documents a language and 8**4 languages.
+MERKLE = f"""
+    WITH docs AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS t, {_document_leaf("text")} AS leaf,
+        CASE WHEN {_CRC} % 3 = 0 THEN {_document_leaf(_ASCII_LOWER.format("text"))} END AS claimed FROM documents),
+      leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM docs),
+      {_tree_levels("x", "SELECT t, i, leaf AS d, n FROM leaves", 7)},
+      subs AS MATERIALIZED (SELECT t AS g, d AS subroot, row_number() OVER (ORDER BY encode(t)) - 1 AS j, count(*) OVER () AS n FROM x7),
+      {_tree_levels("y", "SELECT 0 AS t, j AS i, subroot AS d, n FROM subs", 4)},
+      lower AS (SELECT * FROM {_fold("(SELECT doc_id, t, i, leaf, coalesce(claimed, leaf) AS f, '' AS p FROM leaves)", "x", 7)}),
+      whole AS (SELECT * FROM {_fold("(SELECT doc_id, leaf, subroot, 0 AS t, j AS i, f, p FROM lower JOIN subs ON g = t)", "y", 4)})
+    SELECT doc_id, leaf, subroot, d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = d AS verified FROM whole JOIN y4 ON TRUE"""
+
+INFILL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+      c AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+              CAST('0x' || h[25:32] AS BIGINT) % 100 AS c4 FROM d),
+      f AS (SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2)+1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2)+1:], '') AS s,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN c4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM f"""
+
+ORACLES = {
+    "op4_decontamination": DECONTAMINATION, "op6_minhash_dedup": NEAR_DUPLICATES, "op8_secret_scan": SECRETS,
+    "op12_merkle_manifest": MERKLE, "op13_fill_in_middle": INFILL,
+}

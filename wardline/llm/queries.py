@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardline.llm import chat, decontamination, language, licenses, lines, minhash, mixing, quality, secrets
+from wardline.llm import chat, decontamination, infill, language, licenses, lines, merkle, minhash, mixing, quality, secrets
 from wardline.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,29 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sized = table(spark, folder, "documents").select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"))
     mixed = mixing.mix(sized)
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = documents.select(
+        "doc_id", "lang", merkle.document_leaf(F.col("text")).alias("leaf"),
+        F.when(tampered, merkle.document_leaf(F.translate("text", upper, lower))).alias("_claimed"),
+    )
+    found = merkle.manifest(leaves, "lang", ["doc_id"])
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("_claimed", "leaf"), F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
