@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardline.llm import chat, decontamination, infill, language, licenses, lines, merkle, minhash, mixing, quality, secrets
+from wardline.llm import chat, decontamination, infill, language, licenses, lines, merkle, minhash, mixing, phrases, quality, secrets
 from wardline.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
+def op11_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.edited_neighbours(table(spark, folder, "documents"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
