@@ -27,6 +27,8 @@ def main() -> None:
         f"local[{cores}]",
         **{
             "spark.sql.shuffle.partitions": cores,
+            # Each text table of the test data is one row group in one file, hence one task otherwise.
+            "spark.wardline.partitions": cores,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

@@ -22,6 +22,16 @@ class Catalog:
     nested_suffixes: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class LinkLabels:
+    """Labels looked up beforehand, for catalogs of any size: a map column from a link without trailing punctuation to its label.
+
+    A link without an entry has no label.
+    """
+
+    labels: Column
+
+
 BASE_CATALOG = Catalog(
     tuple((b, d) for b, d in V.BRAND_DOMAINS.items()), V.SHORTENERS, V.NESTED_SUFFIXES
 )
@@ -211,6 +221,13 @@ def classify_link(raw: Column, catalog: Catalog = BASE_CATALOG) -> Column:
     return bind(describe_link(raw), lambda link: label_link(link, catalog))
 
 
+def span_label(span: Column, catalog: Catalog | LinkLabels) -> Column:
+    """Label of a URL-shaped span."""
+    if isinstance(catalog, LinkLabels):
+        return F.try_element_at(catalog.labels, trim_trailing(span))
+    return classify_link(span, catalog)
+
+
 def message_domains(text: Column) -> Column:
     """Distinct normalised domains of a message, in order of first appearance."""
     return F.array_distinct(F.array_compact(F.transform(extract_urls(text), normalize_domain)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from wardline import fixed_values as V
-from wardline.functions.links import BASE_CATALOG, Catalog, classify_link, find_spans
+from wardline.functions.links import BASE_CATALOG, Catalog, LinkLabels, find_spans, span_label
+from wardline.functions.text import may_hold_card, may_hold_phone
 
 SIGNAL_TYPE = "array<struct<kind:string,note:string>>"
 _DIGITS = "[0-9]"
@@ -20,20 +21,20 @@ def has_handle(text: Column) -> Column:
 
 
 def has_phone(text: Column) -> Column:
-    return text.rlike(V.PHONE)
+    return may_hold_phone(text) & text.rlike(V.PHONE)
 
 
 def has_code(text: Column) -> Column:
-    return text.rlike(V.CODE_REQUEST)
+    return text.rlike(r"(?U)\d{4}") & text.rlike(V.CODE_REQUEST)
 
 
 def has_card(text: Column) -> Column:
-    return text.rlike(V.CARD)
+    return may_hold_card(text) & text.rlike(V.CARD)
 
 
 def has_transfer_near_card(normalized: Column) -> Column:
     """Transfer wording within 80 characters of a card-like run; wants normalised text."""
-    return normalized.rlike(r"(?U)(?:\d[ -]?){13}") & normalized.rlike(V.TRANSFER_NEAR_CARD)
+    return may_hold_card(normalized) & normalized.rlike(V.TRANSFER_NEAR_CARD)
 
 
 def blank_emails(text: Column) -> Column:
@@ -47,19 +48,19 @@ def signal(kind: Column | str, note: Column | str | None = None) -> Column:
     return F.struct(as_text(kind).alias("kind"), as_text(note).alias("note"))
 
 
-def link_signals(text: Column, catalog: Catalog = BASE_CATALOG) -> Column:
+def link_signals(text: Column, catalog: Catalog | LinkLabels = BASE_CATALOG) -> Column:
     """One signal per link outside e-mail addresses; the note names the shape."""
     kinds = F.create_map(*[F.lit(x) for pair in V.SIGNAL_KIND_BY_LABEL.items() for x in pair])
 
     def as_signal(label: Column) -> Column:
         return signal(F.coalesce(kinds[label], F.lit("link")), label)
 
-    labels = F.transform(find_spans(blank_emails(text)), lambda u: classify_link(u, catalog))
+    labels = F.transform(find_spans(blank_emails(text)), lambda u: span_label(u, catalog))
     return F.transform(labels, as_signal)
 
 
 def structural_signals(
-    text: Column, normalized: Column, catalog: Catalog = BASE_CATALOG
+    text: Column, normalized: Column, catalog: Catalog | LinkLabels = BASE_CATALOG
 ) -> Column:
     """All structural facts of a message, unique by (kind, note), in a fixed order."""
     found = F.array_compact(

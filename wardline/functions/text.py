@@ -32,6 +32,16 @@ def any_of(conditions: list[Column]) -> Column:
     return conditions[0]
 
 
+def may_hold_phone(text: Column) -> Column:
+    """Cheap test that has to be true for any phone number: nine digits close together, or a plus before a digit."""
+    return text.rlike(r"(?U)\d(?:\D{0,2}\d){8}") | (text.contains("+") & text.rlike(r"(?U)\+\d"))
+
+
+def may_hold_card(text: Column) -> Column:
+    """The same for thirteen digits of a card."""
+    return text.rlike(r"(?U)\d(?:[ -]?\d){12}")
+
+
 def nfkc(text: Column) -> Column:
     """NFKC through the ICU library Spark ships; pure-ASCII values skip the call."""
     return bind(text, lambda t: F.when(t.rlike(_NON_ASCII), _compose(t)).otherwise(t))

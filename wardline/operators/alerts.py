@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
-from wardline.operators.common import rate
+from wardline.operators.common import rate, stored
 
 
 def availability_columns(threshold: float) -> dict[str, Column]:
@@ -59,6 +59,36 @@ def _last_reachable(following: np.ndarray) -> np.ndarray:
         jump = np.where(inside, jump[np.minimum(jump, n)], n)
 
 
+#: Slices, and later blocks of slices, that are composed in one group of a round.
+_FAN = 16
+_ANY_TIME = -(1 << 62)
+
+
+def _compose(first: tuple, then: tuple, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of two stretches of time, one after the other.
+
+    A function (up_to, out) turns the earliest admissible time e on entering into the one on leaving: ``out`` of the first
+    ``up_to`` that is not below e, and e itself beyond them all. No e above ``reach`` ever enters.
+    """
+    (u, v), (u2, v2) = first, then
+    at = np.searchsorted(u2, v)
+    moved = np.where(at < len(u2), np.append(v2, 0)[at], v)
+    beyond = u2 > u[-1] if len(u) else np.ones(len(u2), dtype=bool)
+    up_to, out = np.concatenate([u, u2[beyond]]), np.concatenate([moved, v2[beyond]])
+    end = int(np.searchsorted(up_to, reach)) + 1
+    up_to, out = up_to[:end], out[:end]
+    keep = np.append(out[1:] != out[:-1], True) if len(out) else np.empty(0, dtype=bool)
+    return up_to[keep], out[keep]
+
+
+def _functions(pdf: pd.DataFrame) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """The step functions of a group in order of their numbers."""
+    rows = pdf.sort_values(["number", "up_to"])
+    numbers, up_to, out = (rows[c].to_numpy() for c in ("number", "up_to", "out"))
+    starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+    return [(int(numbers[i]), (up_to[i:j], out[i:j])) for i, j in zip(starts, np.append(starts[1:], len(numbers)))]
+
+
 def debounce_alerts(
     errors: DataFrame,
     debounce_seconds: int = V.ALERT_DEBOUNCE_SECONDS,
@@ -67,66 +97,44 @@ def debounce_alerts(
     """(stage, error_type, ts) of the alerts sent: the first of a key, then only those at least
     ``debounce_seconds`` after the last one sent.
 
-    A key is cut into time slices, so that one noisy key is many tasks. Each slice first reports
-    where the chain of alerts would leave it for every way of entering it; these short reports are
-    chained per key; then each slice replays its chain from its true starting point.
+    A key is cut into time slices, so that one noisy key is many tasks. Each slice reports where the chain of alerts
+    would leave it for every way of entering it, as rows of a step function. Rounds of composition turn the functions of
+    neighbouring slices into those of blocks, of blocks of blocks, and so on; the way back hands each block, then each
+    slice, the moment from which it may send. Then every slice replays its chain. No group holds more than one slice's
+    errors or the functions of a few neighbours, however long a key's history is.
     """
     if slice_seconds < debounce_seconds:
         raise ValueError("slice_seconds must be at least debounce_seconds")
     gap, width = debounce_seconds * 1_000_000, slice_seconds * 1_000_000
-    keys = ["stage", "error_type", "slice"]
+    keys = ["stage", "error_type"]
     times = (
         paged_errors(errors)
-        .select("stage", "error_type", F.unix_micros("ts").alias("t"))
+        .select(*keys, F.unix_micros("ts").alias("t"))
         .distinct()
-        .withColumn("slice", F.floor(F.col("t") / F.lit(width)).cast("long"))
+        .withColumn("number", F.floor(F.col("t") / F.lit(width)).cast("long"))
     )
+    shape = "stage string, error_type string, number long"
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
         end = _last_reachable(np.searchsorted(t, t + gap))
-        entries = min(int(np.searchsorted(t, pdf["slice"].iloc[0] * width + gap)) + 1, len(t))
-        leaves = t[end[:entries]]
-        keep = np.append(leaves[1:] != leaves[:-1], True)
-        return pd.DataFrame(
-            {
-                "stage": pdf["stage"].iloc[0],
-                "error_type": pdf["error_type"].iloc[0],
-                "slice": pdf["slice"].iloc[0],
-                "up_to": [t[:entries][keep].tolist()],
-                "leaves": [leaves[keep].tolist()],
-            }
-        )
-
-    reports = times.groupBy(*keys).applyInPandas(
-        report,
-        "stage string, error_type string, slice long, up_to array<long>, leaves array<long>",
-    )
-    # (up_to, leaves) is a step function of the earliest admissible time.
-    ordered = F.array_sort(F.collect_list(F.struct("slice", "up_to", "leaves")))
-
-    def chain(acc: Column, s: Column) -> Column:
-        earliest = F.coalesce(acc["last"] + gap, F.lit(0))
-        step = F.array_position(F.transform(s.up_to, lambda u: u >= earliest), True)
-        left = F.get(s.leaves, step.cast("int") - 1)
-        return F.struct(
-            F.coalesce(F.when(step > 0, left), acc["last"]).alias("last"),
-            F.concat(
-                acc.entered,
-                F.array(F.struct(s.slice.alias("slice"), earliest.alias("earliest"))),
-            ).alias("entered"),
-        )
-
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"),
-        F.array().cast("array<struct<slice:bigint,earliest:bigint>>").alias("entered"),
-    )
-    entered = (
-        reports.groupBy("stage", "error_type")
-        .agg(ordered.alias("slices"))
-        .select("stage", "error_type", F.explode(F.aggregate("slices", start, chain).getField("entered")).alias("e"))
-        .select("stage", "error_type", "e.*")
-    )
+        entries = min(int(np.searchsorted(t, pdf["number"].iloc[0] * width + gap)) + 1, len(t))
+        out = t[end[:entries]] + gap
+        keep = np.append(out[1:] != out[:-1], True)
+        return pdf[[*keys, "number"]].iloc[:1].merge(pd.DataFrame({"up_to": t[:entries][keep], "out": out[keep]}), how="cross")
+
+    functions = stored(times.groupBy(*keys, "number").applyInPandas(report, f"{shape}, up_to long, out long"), "slices")
+    low, high = functions.agg(F.min("number"), F.max("number")).first()
+    if low is None:
+        return times.select(*keys, F.timestamp_micros("t").alias("ts"))
+    levels, size = [functions], 1
+    while low // (size * _FAN) != high // (size * _FAN):
+        levels.append(stored(_blocks_of(levels[-1], size, width, gap), "blocks"))
+        size *= _FAN
+    top = levels[-1].select(*keys, F.floor(F.col("number") / _FAN).cast("long").alias("block")).distinct()
+    entered = top.withColumn("earliest", F.lit(_ANY_TIME))
+    for level in reversed(levels):
+        entered = stored(_entries_of(level, entered), "entries").withColumnRenamed("number", "block")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
@@ -139,10 +147,46 @@ def debounce_alerts(
             {"stage": pdf["stage"].iloc[0], "error_type": pdf["error_type"].iloc[0], "t": sent}
         )
 
-    alerts = times.join(entered, keys).groupBy(*keys).applyInPandas(
+    entered = entered.withColumnRenamed("block", "number")
+    alerts = times.join(entered, [*keys, "number"]).groupBy(*keys, "number").applyInPandas(
         replay, "stage string, error_type string, t long"
     )
-    return alerts.select("stage", "error_type", F.timestamp_micros("t").alias("ts"))
+    return alerts.select(*keys, F.timestamp_micros("t").alias("ts"))
+
+
+def _blocks_of(level: DataFrame, size: int, width: int, gap: int) -> DataFrame:
+    """The functions of the next level: those of up to ``_FAN`` neighbours composed in order.
+
+    A number of ``level`` stands for ``size`` slices.
+    """
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        listed = _functions(pdf)
+        reach, whole = listed[0][0] * size * width + gap, listed[0][1]
+        for _, function in listed[1:]:
+            whole = _compose(whole, function, reach)
+        head = pdf[["stage", "error_type", "block"]].iloc[:1].rename(columns={"block": "number"})
+        return head.merge(pd.DataFrame({"up_to": whole[0], "out": whole[1]}), how="cross")
+
+    blocks = level.withColumn("block", F.floor(F.col("number") / _FAN).cast("long"))
+    return blocks.groupBy("stage", "error_type", "block").applyInPandas(
+        compose, "stage string, error_type string, number long, up_to long, out long"
+    )
+
+
+def _entries_of(level: DataFrame, entered: DataFrame) -> DataFrame:
+    """(stage, error_type, number, earliest) of the functions of a level, from those of the blocks (``block``) they are in."""
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        earliest, rows = int(pdf["earliest"].iloc[0]), []
+        for number, (up_to, out) in _functions(pdf):
+            rows.append((number, earliest))
+            at = int(np.searchsorted(up_to, earliest))
+            earliest = int(out[at]) if at < len(up_to) else earliest
+        return pdf[["stage", "error_type"]].iloc[:1].merge(pd.DataFrame(rows, columns=["number", "earliest"]), how="cross")
+
+    blocks = level.withColumn("block", F.floor(F.col("number") / _FAN).cast("long"))
+    return blocks.join(entered, ["stage", "error_type", "block"]).groupBy("stage", "error_type", "block").applyInPandas(
+        hand_down, "stage string, error_type string, number long, earliest long"
+    )
 
 
 def lifecycle(events: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 from wardline.functions.text import constant  # noqa: F401 - shared by the operators
 
@@ -30,9 +31,29 @@ def pages(df: DataFrame, order: list[str], size: int = INLINE_LIMIT):
         yield page
 
 
+@dataclass(frozen=True)
+class StoredLookup:
+    """The small side of salted joins, written once as a bucketed table with its rows repeated per salt.
+
+    Joins that follow shuffle their big side only.
+    """
+
+    table: DataFrame
+    on: tuple[str, ...]
+    salts: int
+
+
+def store_lookup(small: DataFrame, name: str, on: list[str], buckets: int = 64, salts: int = SALTS) -> StoredLookup:
+    """Writes a lookup side (few rows a key) as a table bucketed by its key and the salt, replacing one of that name."""
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = [*on, "_salt"]
+    repeated.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    return StoredLookup(small.sparkSession.table(name), tuple(on), salts)
+
+
 def salted_join(
     big: DataFrame,
-    small: DataFrame,
+    small: DataFrame | StoredLookup,
     on: list[str],
     how: str,
     spread: Column,
@@ -42,8 +63,13 @@ def salted_join(
 
     ``small`` holds few rows per key and is repeated once per salt. ``spread`` is any column that
     varies within a hot key. When Spark finds ``small`` below its broadcast threshold it broadcasts
-    it and the salt costs nothing.
+    it and the salt costs nothing. A stored lookup is bucketed by key and salt and is not shuffled again.
     """
+    if isinstance(small, StoredLookup):
+        if set(on) != set(small.on):
+            raise ValueError(f"the lookup is stored by {small.on}, not by {tuple(on)}")
+        salt = F.pmod(F.xxhash64(spread), F.lit(small.salts)).cast("int")
+        return big.withColumn("_salt", salt).join(small.table, [*small.on, "_salt"], how).drop("_salt")
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
@@ -52,8 +78,11 @@ def salted_join(
 def lookup_join(
     big: DataFrame, small: DataFrame, on: list[str], how: str, spread: Column, limit: int = INLINE_LIMIT
 ) -> DataFrame:
-    """Equi-join with a lookup side: broadcast when it has at most ``limit`` rows, else salted. Same rows either way."""
-    if len(small.limit(limit + 1).take(limit + 1)) <= limit:
+    """Equi-join with a lookup side: broadcast when it has at most ``limit`` rows, else salted. Same rows either way.
+
+    The side is counted as far as the limit when the plan is made; one that is dear to compute should be ``stored`` before.
+    """
+    if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, spread)
 
@@ -89,15 +118,65 @@ def first_failure(checks: dict[str, Column]) -> Column:
     return reason
 
 
-def split_valid(df: DataFrame, checks: dict[str, Column]) -> dict[str, DataFrame]:
-    """Rows that pass every check, and the others with the reason of the first failure."""
-    judged = df.withColumn("reason", first_failure(checks))
+def split_valid(df: DataFrame, checks: dict[str, Column], path: str | None = None, helpers: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Rows that pass every check, and the others with the ``reason`` of the first failure; ``helpers`` are left out.
+
+    Two plans over the input, or with a ``path`` one pass that writes both sides there, see :func:`routed`.
+    """
+    return split_by_reason(df, first_failure(checks), path, helpers)
+
+
+def split_by_reason(df: DataFrame, reason: Column, path: str | None = None, helpers: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The same with the reason as a column expression that is null for valid rows."""
+    if path is not None:
+        parts = routed(df, reason, path, helpers)
+        return {side: parts[side] for side in ("valid", "quarantine")}
+    judged = df.withColumn("reason", reason).drop(*helpers)
     return {
         "valid": judged.filter(F.col("reason").isNull()).drop("reason"),
         "quarantine": judged.filter(F.col("reason").isNotNull()),
     }
 
 
+def routed(
+    df: DataFrame,
+    reason: Column,
+    path: str,
+    helpers: tuple[str, ...] = (),
+    folders: tuple[str, ...] = (),
+    mode: str = "errorifexists",
+    spread: tuple[str | Column, ...] = (),
+) -> dict[str, DataFrame | dict[str, int]]:
+    """Judges every row once (``reason`` is null for a valid one) and writes all of them in one job, under ``verdict=valid`` and ``verdict=quarantine``.
+
+    ``valid``, ``quarantine`` (with ``reason``) read back what this call wrote, and ``counts`` are the rows of either side
+    as the job observed them. ``folders`` are further partition columns, ``spread`` what rows are dealt over tasks by.
+    Several calls may append to one path; a column ``batch`` tells them apart.
+    """
+    batch, seen = uuid.uuid4().hex, Observation()
+    ok = F.col("reason").isNull()
+    judged = df.withColumn("reason", reason).drop(*helpers)
+    judged = judged.withColumns({"verdict": F.when(ok, "valid").otherwise("quarantine"), "batch": F.lit(batch)})
+    judged = judged.observe(seen, F.count_if(ok).alias("valid"), F.count_if(~ok).alias("quarantine"))
+    if spread:
+        judged = judged.repartition("verdict", *folders, *spread)
+    judged.write.mode(mode).partitionBy("verdict", *folders).parquet(path)
+    written = df.sparkSession.read.schema(judged.schema).parquet(path).filter(F.col("batch") == batch)
+    columns = [c for c in judged.columns if c not in ("verdict", "batch", "reason")]
+    return {
+        "valid": written.filter("verdict = 'valid'").select(*columns),
+        "quarantine": written.filter("verdict = 'quarantine'").select(*columns, "reason"),
+        "counts": seen.get,
+    }
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there: computed once, and lineage ends here."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Without that setting a local session gets one of its own, others fail."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from wardline import fixed_values as V
 from wardline.functions.keys import deletion_audit_key
 from wardline.functions.text import any_of, casefold, strip
-from wardline.operators.common import first_failure, salted_join, split_valid
+from wardline.operators.common import StoredLookup, first_failure, salted_join, split_by_reason, split_valid
 from wardline.operators.drafts import billable
 
 
@@ -28,14 +28,17 @@ def upsert_consent(current: DataFrame, updates: DataFrame) -> DataFrame:
     return _latest(both, "user_key", order).drop("_new")
 
 
-def consent_gate(messages: DataFrame, consent: DataFrame, notice_version: str) -> dict[str, DataFrame]:
-    """Messages of users whose consent is current, and those that need consent first."""
-    current = (
-        consent.filter(F.col("notice_version") == notice_version)
-        .select("user_key")
-        .distinct()
-        .withColumn("_ok", F.lit(True))
-    )
+def current_consent(consent: DataFrame, notice_version: str) -> DataFrame:
+    """(user_key, _ok): users whose stored version is the given one; for ``store_lookup``, when the gate runs often."""
+    return consent.filter(F.col("notice_version") == notice_version).select("user_key").distinct().withColumn("_ok", F.lit(True))
+
+
+def consent_gate(messages: DataFrame, consent: DataFrame | StoredLookup, notice_version: str) -> dict[str, DataFrame]:
+    """Messages of users whose consent is current, and those that need consent first.
+
+    ``consent`` may be :func:`current_consent` of that version, stored by user_key.
+    """
+    current = consent if isinstance(consent, StoredLookup) else current_consent(consent, notice_version)
     judged = salted_join(messages, current, ["user_key"], "left", F.xxhash64(*messages.columns))
     return {
         "pass": judged.filter(F.col("_ok").isNotNull()).drop("_ok"),
@@ -139,9 +142,9 @@ def event_checks() -> dict[str, Column]:
     }
 
 
-def validate_events(events: DataFrame) -> dict[str, DataFrame]:
-    """Event rows that keep the write contract, and the others with the first broken field."""
-    return split_valid(events, event_checks())
+def validate_events(events: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Event rows that keep the write contract, and the others with the first broken field; one pass with a ``path``."""
+    return split_valid(events, event_checks(), path)
 
 
 def _like(pattern: str):
@@ -318,8 +321,8 @@ def published_posts(posts: DataFrame, language: str, limit: int | None = None) -
     )
 
 
-def validate_posts(posts: DataFrame) -> dict[str, DataFrame]:
-    """Posts that keep the editorial contract (trimmed), and the others with the reason."""
+def validate_posts(posts: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Posts that keep the editorial contract (trimmed), and the others with the reason; one pass with a ``path``."""
     fields = [f"{part}_{lang}" for lang in V.REPLY_LANGUAGES for part in ("title", "summary", "article")]
     cleaned = posts.withColumn("slug", casefold(strip(F.col("slug"))))
     for name in (*fields, "category", "state"):
@@ -340,6 +343,7 @@ def validate_posts(posts: DataFrame) -> dict[str, DataFrame]:
             "invalid_summary": sized("summary", V.POST_SUMMARY_MAX),
             "invalid_article": sized("article", V.POST_ARTICLE_MAX),
         },
+        path,
     )
 
 
@@ -380,10 +384,6 @@ def log_event_reason() -> Column:
     )
 
 
-def validate_log_events(events: DataFrame) -> dict[str, DataFrame]:
-    """Log events that hold metadata only, and the others with the reason."""
-    judged = events.withColumn("reason", log_event_reason())
-    return {
-        "valid": judged.filter(F.col("reason").isNull()).drop("reason"),
-        "quarantine": judged.filter(F.col("reason").isNotNull()),
-    }
+def validate_log_events(events: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Log events that hold metadata only, and the others with the reason; one pass with a ``path``."""
+    return split_by_reason(events, log_event_reason(), path)

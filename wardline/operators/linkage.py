@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions import links as L
-from wardline.operators.common import INLINE_LIMIT, bounded_rows, lookup_join, salted_join
-from wardline.operators.matching import match_literals
+from wardline.functions.redact import labelled_links
+from wardline.operators.common import INLINE_LIMIT, StoredLookup, bounded_rows, content_key, lookup_join, salted_join, stored
+from wardline.functions.text import bind
+from wardline.operators.matching import lookup_table, match_literals
 
 
 def message_links(messages: DataFrame, id_col: str = "msg_id") -> DataFrame:
@@ -114,14 +116,36 @@ def classify_links(
     shorteners: DataFrame,
     suffixes: DataFrame,
     limit: int = INLINE_LIMIT,
+    flags: DataFrame | StoredLookup | None = None,
 ) -> DataFrame:
-    """Adds the shape columns and ``label`` to a table with ``raw_url``."""
+    """Adds the shape columns and ``label`` to a table with ``raw_url``.
+
+    ``flags`` are those of :func:`domain_flags` for all domains of the links (or more), stored by domain when links of
+    known domains come again and again; then the catalog is not looked at.
+    """
     described = described_links(links)
-    catalog = collect_catalog(brands, shorteners, suffixes, limit)
+    catalog = collect_catalog(brands, shorteners, suffixes, limit) if flags is None else None
     if catalog is not None:
         shape = F.struct("domain", "has_userinfo", "is_ip", "mixed_script")
         return described.withColumn("label", L.bind(shape, lambda s: L.label_link(s, catalog)))
     # Catalog too large for an expression: one flag table per distinct domain, joined back.
+    if flags is None:
+        flags = domain_flags(described, brands, shorteners, suffixes)
+    label = (
+        F.when(F.col("domain").isNull(), F.lit(None).cast("string"))
+        .when(F.col("has_userinfo"), V.LABEL_CREDENTIALS)
+        .when(F.col("is_ip"), V.LABEL_IP)
+        .when(F.col("_short"), V.LABEL_SHORTENED)
+        .when(F.col("_like"), V.LABEL_LOOKALIKE)
+        .when(F.col("_nested"), V.LABEL_DOMAIN_IN_SUBDOMAIN)
+        .when(F.col("mixed_script"), V.LABEL_MIXED_SCRIPT)
+    )
+    joined = salted_join(described, flags, ["domain"], "left", F.col("raw_url"))
+    return joined.withColumn("label", label).drop("_short", "_like", "_nested")
+
+
+def domain_flags(described: DataFrame, brands: DataFrame, shorteners: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(domain, _short, _like, _nested) of the different domains of described links, against a catalog of any size."""
     hosts = described.filter(F.col("domain").isNotNull()).select("domain", "mixed_script").distinct()
     lookalike = brand_lookalikes(hosts, brands).select("domain").distinct().withColumn("_like", F.lit(True))
     short = shorteners.select("domain").distinct().withColumn("_short", F.lit(True))
@@ -141,23 +165,35 @@ def classify_links(
         .distinct()
         .withColumn("_nested", F.lit(True))
     )
-    flags = (
+    return (
         hosts.select("domain").distinct()
         .join(short, "domain", "left")
         .join(lookalike, "domain", "left")
         .join(nested, "domain", "left")
     )
-    label = (
-        F.when(F.col("domain").isNull(), F.lit(None).cast("string"))
-        .when(F.col("has_userinfo"), V.LABEL_CREDENTIALS)
-        .when(F.col("is_ip"), V.LABEL_IP)
-        .when(F.col("_short"), V.LABEL_SHORTENED)
-        .when(F.col("_like"), V.LABEL_LOOKALIKE)
-        .when(F.col("_nested"), V.LABEL_DOMAIN_IN_SUBDOMAIN)
-        .when(F.col("mixed_script"), V.LABEL_MIXED_SCRIPT)
+
+
+def with_link_labels(
+    messages: DataFrame, catalog: dict[str, DataFrame], id_col: str = "msg_id", column: str = "link_labels", limit: int = INLINE_LIMIT
+) -> DataFrame:
+    """Adds a map from each link of ``text`` that has a label to that label, for :class:`wardline.functions.links.LinkLabels`.
+
+    ``catalog``: brands, shorteners and suffixes as tables of any size. Every different text is cut into links once, every
+    different link is labelled once by :func:`classify_links`, and labels come back by link, then by text. A null text
+    has no links; ids may repeat or be null.
+    """
+    keyed = messages.withColumn("_content", content_key(F.col("text")))
+    contents = keyed.filter(L.may_hold_link(F.col("text"))).select("_content", "text").dropDuplicates(["_content"])
+    held = stored(contents.select("_content", F.explode(labelled_links(F.col("text"))).alias("raw_url")), "links")
+    labels = classify_links(held.select("raw_url").distinct(), catalog["brands"], catalog["shorteners"], catalog["suffixes"], limit)
+    labels = stored(labels.filter("label is not null").select("raw_url", "label"), "labels")
+    # A text's own links are one group.
+    found = salted_join(held, labels, ["raw_url"], "inner", F.col("_content")).groupBy("_content").agg(
+        F.map_from_entries(F.collect_list(F.struct("raw_url", "label"))).alias(column)
     )
-    joined = salted_join(described, flags, ["domain"], "left", F.col("raw_url"))
-    return joined.withColumn("label", label).drop("_short", "_like", "_nested")
+    joined = salted_join(keyed, found, ["_content"], "left", F.col(id_col))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return joined.withColumn(column, F.coalesce(column, none)).drop("_content")
 
 
 def merge_brands(floor: DataFrame, extra: DataFrame) -> DataFrame:
@@ -215,12 +251,12 @@ def upsert_blocklist(current: DataFrame, feed: DataFrame, now: Column) -> DataFr
 
 
 def reputation_hits(
-    messages: DataFrame, blocklist: DataFrame, id_col: str = "msg_id"
+    messages: DataFrame, blocklist: DataFrame | StoredLookup, id_col: str = "msg_id"
 ) -> DataFrame:
     """One severity-3 hit per message whose domains are listed: sorted sources, earliest date.
 
     The blocklist is reduced to one row per hash first; a domain that fills a third of all
-    messages is spread over several tasks.
+    messages is spread over several tasks. ``blocklist`` may be :func:`listed_hashes`, stored by domain_hash.
     """
     hashed = message_domains(messages, id_col).select(
         id_col, L.hash_domain(F.col("domain")).alias("domain_hash")
@@ -228,11 +264,30 @@ def reputation_hits(
     return reputation_of_hashes(hashed, blocklist, id_col)
 
 
-def reputation_of_hashes(hashed: DataFrame, blocklist: DataFrame, id_col: str) -> DataFrame:
-    """The hits of rows (id, domain_hash)."""
-    listed = blocklist.groupBy("domain_hash").agg(
-        F.collect_set("source").alias("sources"), F.min("first_seen").alias("first_seen")
+def listed_hashes(blocklist: DataFrame) -> DataFrame:
+    """(domain_hash, sources, first_seen): a blocklist with one row per hash, sources sorted."""
+    return blocklist.groupBy("domain_hash").agg(
+        F.array_sort(F.collect_set("source")).alias("sources"), F.min("first_seen").alias("first_seen")
+    )
+
+
+def listed_constant(hashes: Column, rows: list) -> Column:
+    """struct(sources, listed_since) of the listed ones of some domain hashes, or null; ``rows`` of :func:`listed_hashes`."""
+    table = lookup_table(
+        {r.domain_hash: [{"sources": list(r.sources), "day": r.first_seen.date().isoformat()}] for r in rows},
+        "array<struct<sources:array<string>,day:string>>",
     )
+    found = F.flatten(F.transform(hashes, table))
+    listed = lambda f: F.struct(
+        F.array_sort(F.array_distinct(F.flatten(F.transform(f, lambda x: x.sources)))).alias("sources"),
+        F.array_min(F.transform(f, lambda x: x.day)).cast("date").alias("listed_since"),
+    )
+    return bind(found, lambda f: F.when(F.size(f) > 0, listed(f)))
+
+
+def reputation_of_hashes(hashed: DataFrame, blocklist: DataFrame | StoredLookup, id_col: str) -> DataFrame:
+    """The hits of rows (id, domain_hash)."""
+    listed = blocklist if isinstance(blocklist, StoredLookup) else listed_hashes(blocklist)
     found = salted_join(hashed, listed, ["domain_hash"], "inner", F.col(id_col))
     return found.groupBy(id_col).agg(
         F.lit(V.BLOCKLIST_RULE_ID).alias("rule_id"),

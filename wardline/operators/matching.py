@@ -1,14 +1,27 @@
-"""Which literals occur in which texts, for literal lists of any size."""
+"""Which literals and expressions occur in which texts, for lists of any size.
+
+Short lists sit in the plan as a posting index: every literal is filed under one piece of itself that a text must hold as a
+piece of its own (a whole word between two spaces, else the start of its longest word), and a text is looked up piece by
+piece, so only the few literals whose piece it holds are compared with it. An expression enters the same index through the
+longest literal that all its matches hold. Long lists go through joins on such pieces.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.text import bind
 from wardline.operators.common import INLINE_LIMIT, constant, pages, salted_join
 
 _GRAM = 3
+#: Lengths of the word starts that literals without an inner word are filed under.
+_STARTS = (8, 5, 3)
+_ENTRY = "struct<i:int,also:string,must:array<string>,regex:string>"
+_ENTRIES = f"array<{_ENTRY}>"
 #: Distinct keys of the literals up to which they are broadcast; beyond, the joins are salted.
 KEY_LIMIT = 200_000
 
@@ -51,15 +64,187 @@ def one_of_literals(needles: list[str]) -> str:
     return build(sorted(set(needles)))
 
 
-def matching_ids(text: Column, rows: list, is_regex: bool = False) -> Column:
-    """Array of ``lit_id`` for the rows whose needle occurs in ``text``; no join involved."""
-    if is_regex:
-        return F.array_compact(
-            F.array(*[F.when(text.rlike(r.needle), F.lit(r.lit_id)) for r in rows])
+def required_literals(regex: str) -> list[str]:
+    """Literals that every match of an expression holds, the longest first; none when no literal is certain.
+
+    Only plain characters outside groups, classes and alternatives count; what a quantifier may leave out does not.
+    """
+    runs, run, at = [], "", 0
+    while at < len(regex):
+        c = regex[at]
+        if c == "|" or regex.startswith(("(?", "\\Q"), at) and not regex.startswith(("(?:", "(?=", "(?!", "(?<"), at):
+            return []  # alternatives, flags and quotes change what the other characters mean
+        width, literal = 1, None
+        if c == "\\":
+            width = 2
+            follower = regex[at + 1 : at + 2]
+            if follower.isalnum():
+                if follower not in "dDsSwWbBAzZ":
+                    return []  # numbers and classes in braces
+            else:
+                literal = follower
+        elif c == "(":
+            width = _group_width(regex, at)
+        elif c == "[":
+            width = _class_width(regex, at)
+        elif c not in ".^$)]{}*+?":
+            literal = c
+        if not width:
+            return []
+        quantifier = _quantifier(regex, at + width)
+        if literal is not None and not quantifier:
+            run += literal
+        else:
+            if literal is not None and (quantifier[0] == "+" or quantifier[0] == "{" and quantifier[1:2] in "123456789"):
+                run += literal  # at least once, but what follows need not touch the first of them
+            runs.append(run)
+            run = ""
+        at += width + len(quantifier)
+    return sorted({r for r in (*runs, run) if r}, key=lambda r: (-len(r), r))
+
+
+def _quantifier(regex: str, at: int) -> str:
+    """The quantifier that starts at a place, with its lazy or possessive mark."""
+    if regex[at : at + 1] not in ("*", "+", "?", "{"):
+        return ""
+    end = at + 1 if regex[at] != "{" else regex.find("}", at) + 1
+    return regex[at : end + 1] if regex[end : end + 1] in ("?", "+") else regex[at:end]
+
+
+def _class_width(regex: str, at: int) -> int:
+    """Length of a character class, 0 if it holds classes of its own or does not end."""
+    end = at + 1
+    while end < len(regex):
+        if regex[end] == "\\":
+            end += 1
+        elif regex[end] == "[":
+            return 0
+        elif regex[end] == "]" and end > at + 1 and regex[at + 1 : end] != "^":
+            return end - at + 1
+        end += 1
+    return 0
+
+
+def _group_width(regex: str, at: int) -> int:
+    """Length of a group, 0 if it does not end or sets flags."""
+    depth, end = 0, at
+    while end < len(regex):
+        c = regex[end]
+        if regex.startswith("\\Q", end):
+            return 0
+        if c == "\\":
+            end += 1
+        elif c == "[":
+            width = _class_width(regex, end)
+            if not width:
+                return 0
+            end += width - 1
+        elif c == "(":
+            if regex.startswith("(?", end) and not regex.startswith(("(?:", "(?=", "(?!", "(?<"), end):
+                return 0
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return end - at + 1
+        end += 1
+    return 0
+
+
+def _inner_words(literal: str) -> list[str]:
+    """Words between two spaces: a text that holds the literal has them as whole words."""
+    return [w for w in literal.split(" ")[1:-1] if w]
+
+
+def lookup_table(values: dict[str, list], kind: str):
+    """A function from a text column to the list (an array type ``kind``) that a constant table holds under it, or an empty one.
+
+    Keys are dealt over buckets by their checksum, so a lookup looks at one or two of them however many there are.
+    """
+    size = 2 * len(values) + 1
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for key, value in values.items():
+        buckets[zlib.crc32(key.encode()) % size].append({"key": key, "value": value})
+    table = constant(buckets, f"array<array<struct<key:string,value:{kind}>>>")
+
+    def look_up(key: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(size)).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda b: b.key == key), lambda b: b.value))
+
+    return look_up
+
+
+def _postings(text: Column, pieces: Column, index: dict[str, list[dict]]) -> Column:
+    """Numbers of the indexed entries whose piece is among ``pieces`` and that the text holds."""
+    entries_of = lookup_table(index, _ENTRIES)
+
+    def confirmed(held: Column) -> Column:
+        candidates = F.flatten(F.transform(held, entries_of))
+        sure = F.filter(
+            candidates,
+            lambda e: ((e.also == "") | F.array_contains(pieces, e.also))
+            & F.forall(e.must, lambda m: F.contains(text, m))
+            & (e.regex.isNull() | F.rlike(text, e.regex)),
         )
-    pack = constant(
-        [{"i": r.lit_id, "n": r.needle} for r in rows], "array<struct<i:bigint,n:string>>"
-    )
+        return F.transform(sure, lambda e: e.i)
+
+    return bind(F.array_distinct(F.filter(pieces, lambda w: w.isin(list(index)))), confirmed)
+
+
+def contained(text: Column, patterns: list[tuple[str, bool]]) -> Column:
+    """Array with the numbers of the (needle, is_regex) patterns that occur in ``text``, each once; null text holds none.
+
+    Literals of one or two letters and expressions without a required literal of three are compared directly.
+    """
+    sought = [(i, required_literals(n) if is_regex else [n], n if is_regex else None) for i, (n, is_regex) in enumerate(patterns)]
+    uses = Counter(w for _, must, _ in sought if must for w in set(_inner_words(must[0])))
+    by_word: dict[str, list[dict]] = {}
+    by_start: dict[int, dict[str, list[dict]]] = {size: {} for size in _STARTS}
+    direct = []
+    for i, must, regex in sought:
+        literal = must[0] if must else ""
+        words = sorted(set(_inner_words(literal)), key=lambda w: (uses[w], -len(w), w))
+        longest = max(literal.split(" "), key=len)
+        entry = {"i": i, "also": "", "must": must, "regex": regex}
+        if words:
+            by_word.setdefault(words[0], []).append(entry | {"also": words[1] if len(words) > 1 else ""})
+        elif len(longest) >= _STARTS[-1]:
+            size = next(k for k in _STARTS if k <= len(longest))
+            by_start[size].setdefault(longest[:size], []).append(entry)
+        else:
+            direct.append((i, literal, regex))
+
+    def looked_up(words: Column) -> Column:
+        parts = [_postings(text, words, by_word)] if by_word else []
+        for size, index in by_start.items():
+            if index:
+                long = F.filter(words, lambda w: F.length(w) >= size)
+                starts = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (size - 1)), lambda k: F.substr(w, k, F.lit(size)))  # noqa: E731, B023
+                parts.append(_postings(text, F.flatten(F.transform(long, starts)), index))
+        return F.concat(*parts)
+
+    parts = []
+    if by_word or any(by_start.values()):
+        parts.append(bind(F.array_distinct(F.split(text, " ")), looked_up))
+    short = [(i, n) for i, n, regex in direct if regex is None]
+    if short:
+        rows = constant([{"i": i, "n": n} for i, n in short], "array<struct<i:int,n:string>>")
+        found = F.transform(F.filter(rows, lambda r: F.contains(text, r.n)), lambda r: r.i)
+        parts.append(F.when(text.rlike(one_of_literals([n for _, n in short])), found).otherwise(F.array().cast("array<int>")))
+    for block in _blocks([(i, regex) for i, _, regex in direct if regex is not None], 64):
+        tested = F.array_compact(F.array(*[F.when(text.rlike(regex), F.lit(i)) for i, regex in block]))
+        parts.append(tested)
+    none = F.array().cast("array<int>")
+    return F.coalesce(F.concat(*parts), none) if parts else none
+
+
+def _blocks(rows: list, size: int) -> list[list]:
+    return [rows[k : k + size] for k in range(0, len(rows), size)]
+
+
+def matching_ids(text: Column, rows: list) -> Column:
+    """Array of ``lit_id`` for the rows whose literal occurs in ``text``; no join involved."""
+    pack = constant([{"i": r.lit_id, "n": r.needle} for r in rows], "array<struct<i:bigint,n:string>>")
     found = F.transform(F.filter(pack, lambda r: F.contains(text, r.n)), lambda r: r.i)
     return F.when(text.rlike(one_of_literals([r.needle for r in rows])), found)
 
@@ -83,8 +268,8 @@ def match_literals(
     length = F.length("needle")
     parts = []
     for page in pages(literals.filter(length < _GRAM), ["lit_id"], page_size):
-        ids = F.explode(matching_ids(F.col("_text"), page)).alias("lit_id")
-        parts.append(texts.select(id_col, ids))
+        ids = F.explode_outer(matching_ids(F.col("_text"), page)).alias("lit_id")
+        parts.append(texts.select(id_col, ids).filter("lit_id is not null"))
 
     def words(text: str) -> Column:
         return F.split(text, " ")
@@ -104,7 +289,7 @@ def match_literals(
             continue
         key = F.explode(F.array_distinct(pieces("_text"))).alias("key")
         own = some.select("lit_id", "needle", F.explode(F.array_distinct(keys)).alias("key"))
-        few = len(own.select("key").distinct().take(KEY_LIMIT + 1)) <= KEY_LIMIT
+        few = own.select("key").distinct().limit(KEY_LIMIT + 1).count() <= KEY_LIMIT
 
         def meet(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
             if few:
@@ -142,10 +327,28 @@ def match_regexes(
     regexes: DataFrame,
     page_size: int = INLINE_LIMIT,
 ) -> DataFrame | None:
-    """(id_col, lit_id) for each pattern found in each text, or None when there is no pattern."""
-    found = None
+    """(id_col, lit_id) for each pattern found in each text, or None when there is no pattern.
+
+    Expressions with a required literal of three letters or more meet the texts through :func:`match_literals`, in one
+    pass however many they are, and only what meets is tested; the others are tested on every text, page by page.
+    """
+    found, filed = [], None
     for page in pages(regexes, ["lit_id"], page_size):
-        ids = F.explode(matching_ids(F.col(text_col), page, is_regex=True)).alias("lit_id")
-        part = texts.select(id_col, ids)
-        found = part if found is None else found.unionByName(part)
-    return found
+        sought = [(r.lit_id, required_literals(r.needle), r.needle) for r in page]
+        known = [(i, must[0], must, regex) for i, must, regex in sought if must and len(must[0]) >= _GRAM]
+        if known:
+            part = texts.sparkSession.createDataFrame(known, "lit_id long, needle string, must array<string>, regex string")
+            filed = part if filed is None else filed.unionByName(part)
+        other = [(i, regex) for i, must, regex in sought if not must or len(must[0]) < _GRAM]
+        if other:
+            tests = F.array_compact(F.array(*[F.when(F.col(text_col).rlike(regex), F.lit(i)) for i, regex in other]))
+            found.append(texts.select(id_col, F.explode_outer(tests).alias("lit_id")).filter("lit_id is not null"))
+    if filed is not None:
+        met = match_literals(texts, id_col, text_col, filed.select("lit_id", "needle"), page_size)
+        tested = met.join(filed.select("lit_id", "must", "regex"), "lit_id").join(texts.select(id_col, F.col(text_col).alias("_tested")), id_col)
+        holds = F.forall("must", lambda m: F.contains(F.col("_tested"), m)) & F.rlike("_tested", F.col("regex"))
+        found.append(tested.filter(holds).select(id_col, "lit_id"))
+    merged = found[0] if found else None
+    for part in found[1:]:
+        merged = merged.unionByName(part)
+    return merged

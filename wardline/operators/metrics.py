@@ -111,18 +111,16 @@ def activation(
 def breakdown(
     events: DataFrame, columns: list[str], since: str | None = None, until: str | None = None
 ) -> DataFrame:
-    """(dimension, value, checks) for several columns in one pass by grouping sets."""
-    keys = F.array(
-        *[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in columns]
-    )
-    combined = (
-        _windowed(events, since, until).groupBy(*columns).agg(F.count("*").alias("n"))
+    """(dimension, value, checks) for several columns of one type, in one pass by grouping sets."""
+    shown = _windowed(events, since, until)
+    counted = shown.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        F.count("*").alias("checks"), *[F.grouping(c).alias(f"_without_{c}") for c in columns]
     )
-    # Rows are combined per column tuple first, so the explode touches only the distinct tuples.
-    return (
-        combined.select(F.explode(keys).alias("k"), "n")
-        .groupBy("k.dimension", "k.value")
-        .agg(F.sum("n").alias("checks"))
+    own = {c: F.col(f"_without_{c}") == 0 for c in columns}
+    return counted.select(
+        F.coalesce(*[F.when(mine, F.lit(c)) for c, mine in own.items()]).alias("dimension"),
+        F.coalesce(*[F.when(mine, F.col(c)) for c, mine in own.items()]).alias("value"),
+        "checks",
     )
 
 

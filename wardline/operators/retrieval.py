@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
-from wardline.functions.text import casefold, normalize_text, strip
+from wardline.functions.text import bind, casefold, normalize_text, strip
 from wardline.operators.common import INLINE_LIMIT, bounded_rows, constant, content_key, lookup_join, salted_join, split_valid
-from wardline.operators.matching import match_literals, one_of_literals
+from wardline.operators.matching import contained, match_literals
 
 _STRINGS = "array<string>"
 _CUES = "array<struct<card_id:string,score:bigint>>"
 
 
-def load_cards(cards: DataFrame) -> dict[str, DataFrame]:
-    """Approved cards of a sound card table, and the rows that break its contract."""
+def load_cards(cards: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Approved cards of a sound card table, and the rows that break its contract; one pass with a ``path``."""
     copies = cards.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("copies"))
     checks = {
         "invalid_id": F.col("id").rlike(V.ID_SHAPE),
@@ -29,11 +29,8 @@ def load_cards(cards: DataFrame) -> dict[str, DataFrame]:
             F.concat("trigger_rule_ids", "reviewed_case_ids"), lambda i: i.rlike(V.ID_SHAPE)
         ),
     }
-    parts = split_valid(cards.join(copies, "id", "left"), checks)
-    return {
-        "approved": parts["valid"].filter(F.col("status") == "approved").drop("copies"),
-        "quarantine": parts["quarantine"].drop("copies"),
-    }
+    parts = split_valid(cards.join(copies, "id", "left"), checks, path, ("copies",))
+    return {"approved": parts["valid"].filter(F.col("status") == "approved"), "quarantine": parts["quarantine"]}
 
 
 def mandatory_cards(
@@ -82,32 +79,25 @@ def cue_scores(
             .agg(F.count("*").alias("score"))
         )
         return salted_join(rows, scores, ["_cue_key"], "inner", F.col(id_col)).select(id_col, "card_id", "score")
-    scored = F.explode(_cue_array(F.col("normalized"), rows)).alias("cue")
-    return texts.select(id_col, scored).select(id_col, "cue.*")
+    scored = F.explode_outer(_cue_array(F.col("normalized"), rows)).alias("cue")
+    return texts.select(id_col, scored).filter("cue is not null").select(id_col, "cue.*")
 
 
 def _cue_array(normalized: Column, rows: list) -> Column:
-    """(card_id, score) of the cards with an alias in the text; one scan when there is none."""
-    empty = F.array().cast(_CUES)
+    """(card_id, score) of the cards with an alias in the text, from one look at the posting index of all aliases."""
     if not rows:
-        return empty
-    by_card: dict[str, list[str]] = {}
+        return F.array().cast(_CUES)
+    cards: dict[str, set[str]] = {}
     for row in rows:
-        by_card.setdefault(row.card_id, []).append(row.alias)
-    pack = constant(
-        [{"card_id": c, "aliases": sorted(a)} for c, a in sorted(by_card.items())],
-        "array<struct<card_id:string,aliases:array<string>>>",
-    )
-    counted = F.transform(
-        pack,
-        lambda c: F.struct(
-            c.card_id.alias("card_id"),
-            F.size(F.filter(c.aliases, lambda a: F.contains(normalized, a))).cast("bigint").alias("score"),
-        ),
-    )
-    scored = F.filter(counted, lambda c: c.score > 0)
-    may_match = normalized.rlike(one_of_literals([r.alias for r in rows]))
-    return F.when(may_match, scored).otherwise(empty)
+        cards.setdefault(row.alias, set()).add(row.card_id)
+    table = constant([sorted(c) for c in cards.values()], "array<array<string>>")
+    named = F.flatten(F.transform(contained(normalized, [(a, False) for a in cards]), lambda a: F.get(table, a)))
+
+    def scored(named: Column) -> Column:
+        score = lambda c: F.size(F.filter(named, lambda x: x == c)).cast("bigint")
+        return F.transform(F.array_sort(F.array_distinct(named)), lambda c: F.struct(c.alias("card_id"), score(c).alias("score")))
+
+    return bind(named, scored)
 
 
 def rank_cards(
@@ -357,7 +347,7 @@ def merge_cards(base: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def validate_card_overrides(overrides: DataFrame) -> dict[str, DataFrame]:
+def validate_card_overrides(overrides: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
     """Valid overrides (cleaned) and quarantined ones with the reason."""
     ids = ("trigger_rule_ids", "trigger_signal_kinds", "reviewed_case_ids")
     entries = ("red_flags", "verify_steps", "questions")
@@ -404,7 +394,7 @@ def validate_card_overrides(overrides: DataFrame) -> dict[str, DataFrame]:
         "invalid_questions": listed("questions", short),
     }
     helpers = [f"_n_{c}" for c in (*ids, *entries)] + ["_most_aliases"]
-    return {name: part.drop(*helpers) for name, part in split_valid(raw, checks).items()}
+    return split_valid(raw, checks, path, tuple(helpers))
 
 
 def kb_version(base_version: str, overrides: DataFrame) -> DataFrame:

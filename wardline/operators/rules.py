@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline import fixed_values as V
-from wardline.functions.text import any_of, casefold, normalize_text, strip
+from wardline.functions.text import casefold, normalize_text, strip
 from wardline.operators.common import (
     INLINE_LIMIT, bounded_rows, constant, content_key, lookup_join, pages, salted_join, split_valid,
 )
-from wardline.operators.matching import match_literals, match_regexes, one_of_literals
+from wardline.operators.matching import contained, match_literals, match_regexes
 
 HIT_TYPE = (
     "array<struct<rule_id:string,family:string,message_key:string,severity:int,emits_signal:string>>"
 )
 _AFTER_BASE = 2**62
-_COMPILE_PAGE = 200
-_RULES_PER_BLOCK = 16
-_MAX_BLOCKS = 24
+_COMPILE_PAGE = 500
 _HIT_FIELDS = ("rule_id", "family", "message_key", "severity", "emits_signal")
 
 
@@ -97,15 +95,6 @@ def _usable_rows(patterns: DataFrame, limit: int) -> list | None:
     return [r for r in rows if not (r.is_regex and r.needle in bad)]
 
 
-def _may_match(text: Column, rows: list) -> Column:
-    """True whenever any of the patterns matches; all literals together cost one scan."""
-    literals = [r.needle for r in rows if not r.is_regex]
-    tests = [text.rlike(r.needle) for r in rows if r.is_regex]
-    if literals:
-        tests.append(text.rlike(one_of_literals(literals)))
-    return any_of(tests)
-
-
 def with_normalized(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return messages.withColumn("normalized", normalize_text(F.col(text_col)))
 
@@ -118,7 +107,7 @@ def with_rule_hits(
 ) -> DataFrame:
     """Adds ``hits``, one entry per rule that fires, in pack order. Needs ``normalized``.
 
-    A pack of at most ``inline_limit`` patterns becomes one expression, so nothing is shuffled. A larger one goes through
+    A pack of at most ``inline_limit`` patterns becomes one posting index in the plan, so nothing is shuffled. A larger one goes through
     equi-joins on pieces of the patterns: distinct texts are screened once and every row gets the hits of its text. The
     limit decides the plan only; ids may repeat or be null.
     """
@@ -129,18 +118,24 @@ def with_rule_hits(
         empty = F.array().cast(HIT_TYPE)
         joined = salted_join(keyed, hits, ["_content"], "left", F.col(id_col)).drop("_content")
         return joined.select(*messages.columns, F.coalesce("hits", empty).alias("hits"))
-    text, empty = F.col("normalized"), F.array().cast(HIT_TYPE)
-    if not rows:
-        return messages.withColumn("hits", empty)
     by_rule: dict[tuple, list] = {}
     for row in sorted(rows, key=lambda r: (r.rule_order, r.rule_id)):
         by_rule.setdefault((row.rule_order, row.rule_id), []).append(row)
-    rules = list(by_rule.values())
-    size = max(_RULES_PER_BLOCK, -(-len(rules) // _MAX_BLOCKS))
-    blocks = [rules[i : i + size] for i in range(0, len(rules), size)]
-    # Most messages match nothing and leave after one scan; the others narrow down block by block.
-    hits = F.flatten(F.array(*[_block_hits(text, block) for block in blocks]))
-    return messages.withColumn("hits", F.when(_may_match(text, rows), hits).otherwise(empty))
+    patterns_of = [[(r.needle, r.is_regex) for r in group] for group in by_rule.values()]
+    fields = constant([{f: group[0][f] for f in _HIT_FIELDS} for group in by_rule.values()], HIT_TYPE)
+    fired = _owners(F.col("normalized"), patterns_of)
+    return messages.withColumn("hits", F.transform(fired, lambda r: F.get(fields, r)).cast(HIT_TYPE))
+
+
+def _owners(text: Column, patterns_of: list[list[tuple[str, bool]]]) -> Column:
+    """Sorted numbers of the owners (rules) that have a pattern in the text; a pattern may have several owners."""
+    owners: dict[tuple[str, bool], list[int]] = {}
+    for number, patterns in enumerate(patterns_of):
+        for pattern in dict.fromkeys(patterns):
+            owners.setdefault(pattern, []).append(number)
+    table = constant(list(owners.values()), "array<array<int>>")
+    numbers = F.flatten(F.transform(contained(text, list(owners)), lambda p: F.get(table, p)))
+    return F.array_sort(F.array_distinct(numbers))
 
 
 def _distinct_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,28 +144,6 @@ def _distinct_texts(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, keyed.select("_content", "normalized").dropDuplicates(["_content"])
 
 
-def _block_hits(text: Column, rules: list[list]) -> Column:
-    """Hits of a few rules whose literals and fields sit in one constant."""
-    pack = constant(
-        [
-            {f: g[0][f] for f in _HIT_FIELDS} | {"literals": [r.needle for r in g if not r.is_regex]}
-            for g in rules
-        ],
-        HIT_TYPE.replace("emits_signal:string", "emits_signal:string,literals:array<string>"),
-    )
-    rows = [r for g in rules for r in g]
-    by_regex = F.array_compact(
-        F.array(*[F.when(text.rlike(r.needle), F.lit(r.rule_id)) for r in rows if r.is_regex])
-    ).cast("array<string>")
-    fired = F.filter(
-        pack,
-        lambda r: F.exists(r.literals, lambda n: F.contains(text, n))
-        | F.array_contains(by_regex, r.rule_id),
-    )
-    found = F.transform(fired, lambda r: F.struct(*[r[f].alias(f) for f in _HIT_FIELDS]))
-    return F.when(_may_match(text, rows), found.cast(HIT_TYPE)).otherwise(F.array().cast(HIT_TYPE))
-
-
 def _joined_hits(
     messages: DataFrame, patterns: DataFrame, id_col: str, page_size: int
 ) -> DataFrame:
@@ -202,7 +175,8 @@ def rule_hits(
 ) -> DataFrame:
     """Long form: one row per (message, rule)."""
     matched = with_rule_hits(with_normalized(messages), patterns, id_col, inline_limit)
-    return matched.select(id_col, F.explode("hits").alias("hit")).select(id_col, "hit.*")
+    # An outer explode: for a plain one the pack would be evaluated in a filter on the array's size as well.
+    return matched.select(id_col, F.explode_outer("hits").alias("hit")).filter("hit is not null").select(id_col, "hit.*")
 
 
 def matching_patterns(
@@ -214,27 +188,10 @@ def matching_patterns(
     if rows is not None:
         if not rows:
             return texts.select(id_col, F.lit("").alias("rule_id"), F.lit("").alias("pattern")).filter(F.lit(False))
-        literal = constant(
-            [[r.rule_id, r.pattern, r.needle] for r in rows if not r.is_regex], "array<array<string>>"
-        )
-        shown = lambda rule_id, pattern: F.struct(
-            rule_id.alias("rule_id"), pattern.alias("pattern")
-        )
-        by_text = F.transform(
-            F.filter(literal, lambda p: F.contains(F.col("normalized"), p[2])), lambda p: shown(p[0], p[1])
-        )
-        by_regex = F.array_compact(
-            F.array(
-                *[
-                    F.when(F.col("normalized").rlike(r.needle), shown(F.lit(r.rule_id), F.lit(r.pattern)))
-                    for r in rows
-                    if r.is_regex
-                ]
-            )
-        ).cast("array<struct<rule_id:string,pattern:string>>")
-        possible = texts.filter(_may_match(F.col("normalized"), rows))
-        found = F.explode(F.concat(by_text, by_regex)).alias("found")
-        return possible.select(id_col, found).select(id_col, "found.*")
+        shown = constant([{"rule_id": r.rule_id, "pattern": r.pattern} for r in rows], "array<struct<rule_id:string,pattern:string>>")
+        fired = _owners(F.col("normalized"), [[(r.needle, r.is_regex)] for r in rows])
+        found = F.explode_outer(F.transform(fired, lambda p: F.get(shown, p))).alias("found")
+        return texts.select(id_col, found).filter("found is not null").select(id_col, "found.*")
     keyed = usable_patterns(patterns).withColumn("lit_id", F.xxhash64("needle", "is_regex"))
     needles = keyed.select("lit_id", "needle", "is_regex").distinct()
     rows, distinct = _distinct_texts(texts)
@@ -358,7 +315,7 @@ def has_patterns(match: Column) -> Column:
 
 
 def validate_rule_overrides(
-    overrides: DataFrame, bad_regexes: tuple[str, ...] | None = None
+    overrides: DataFrame, bad_regexes: tuple[str, ...] | None = None, path: str | None = None
 ) -> dict[str, DataFrame]:
     """Valid overrides (cleaned) and quarantined ones with the reason.
 
@@ -411,5 +368,4 @@ def validate_rule_overrides(
         ),
         "no_patterns": F.col("disabled") | (F.size("all") > 0),
     }
-    parts = split_valid(cleaned, checks)
-    return {name: part.drop("too_many", "all") for name, part in parts.items()}
+    return split_valid(cleaned, checks, path, ("too_many", "all"))

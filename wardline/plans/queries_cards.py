@@ -49,8 +49,8 @@ def _kinds(v: Views) -> DataFrame:
 
 def _exploded(v: Views) -> tuple[DataFrame, DataFrame]:
     kinds = _kinds(v)
-    hits = kinds.select("msg_id", F.explode("hits").alias("h")).select("msg_id", "h.rule_id")
-    signals = kinds.select("msg_id", F.explode("signals").alias("s")).select("msg_id", "s.kind")
+    hits = kinds.select("msg_id", F.explode_outer("hits").alias("h")).filter("h is not null").select("msg_id", "h.rule_id")
+    signals = kinds.select("msg_id", F.explode_outer("signals").alias("s")).filter("s is not null").select("msg_id", "s.kind")
     return hits, signals
 
 

@@ -673,6 +673,7 @@ class StreamViews(Views):
 def _streamed(v: Views, build) -> DataFrame:
     """Runs a stream over the events to its end and reads back what it wrote."""
     folder = scratch_dir(v.spark)
+    K.rocksdb_state(v.spark)
     K.run_available(build(StreamViews(v.spark, v.path)), f"{folder}/out", f"{folder}/checkpoint")
     return v.spark.read.parquet(f"{folder}/out")
 
@@ -680,26 +681,21 @@ def _streamed(v: Views, build) -> DataFrame:
 _SIGNAL_ROWS_SQL = f"{BLOCK_ROWS_SQL}, sig AS ({STRUCTURAL_SQL})"
 
 
-@query(
-    "screen_stream",
-    f"""
+_SCREENED_SQL = f"""
     WITH {_SIGNAL_ROWS_SQL}
     SELECT msg_id, rule_id AS name, family AS note FROM rule_hits
     UNION ALL SELECT msg_id, kind, note FROM sig
     UNION ALL SELECT DISTINCT 'p' || page_id, rule_id, family FROM pages JOIN patterns ON contains({norm("url")}, needle)
     UNION ALL SELECT 'p' || page_id, 'shared.link.blocklisted', 'suspicious_link_qr' FROM pages
-      WHERE sha256(regexp_replace(split_part(url, '/', 3), '^www\\.', '')) IN (SELECT domain_hash FROM block)""",
-    ("messages", "normal", "rule_hits"),
-)
-def _(v: Views) -> DataFrame:
-    folder = scratch_dir(v.spark)
-    found = None
+      WHERE sha256(regexp_replace(split_part(url, '/', 3), '^www\\.', '')) IN (SELECT domain_hash FROM block)"""
+
+
+def _screened(v: Views, run) -> DataFrame:
+    """Hits and signals of all corpus tables as streams; ``run`` screens a table's stream into a folder."""
+    folder, found = scratch_dir(v.spark), None
     for table in ("documents", "conversations", "pages"):
         schema = v.spark.read.parquet(f"{v.path}/{table}.parquet").schema
-        arriving = read_message_stream(v.spark, v.path, table, schema)
-        K.screen_stream(
-            arriving, v.patterns, f"{folder}/{table}", f"{folder}/{table}-checkpoint", K.AVAILABLE, blocklist=v.blocklist
-        ).awaitTermination()
+        run(read_message_stream(v.spark, v.path, table, schema), f"{folder}/{table}", f"{folder}/{table}-checkpoint")
         screened = v.spark.read.parquet(f"{folder}/{table}")
         hits = screened.select("msg_id", F.explode("hits").alias("h")).select("msg_id", F.col("h.rule_id").alias("name"), F.col("h.family").alias("note"))
         if table != "pages":  # links have signals of their own, see sig_links
@@ -709,6 +705,20 @@ def _(v: Views) -> DataFrame:
     return found
 
 
+@query("screen_stream", _SCREENED_SQL, ("messages", "normal", "rule_hits"))
+def _(v: Views) -> DataFrame:
+    return _screened(
+        v, lambda rows, path, checkpoint: K.screen_stream(rows, v.patterns, path, checkpoint, K.AVAILABLE, blocklist=v.blocklist).awaitTermination()
+    )
+
+
+@query("screened_stream", _SCREENED_SQL, ("messages", "normal", "rule_hits"))
+def _(v: Views) -> DataFrame:
+    return _screened(
+        v, lambda rows, path, checkpoint: K.run_available(K.screened_stream(rows, v.patterns, blocklist=v.blocklist), path, checkpoint)
+    )
+
+
 # A window is emitted once the watermark, ten minutes behind the newest event, has passed its end.
 @query(
     "availability_stream",

@@ -282,17 +282,41 @@ def _(v: Views) -> DataFrame:
     ("normal",),
 )
 def _(v: Views) -> DataFrame:
-    # One expression per sentence of an item, its words with any space between them, and one that does not compile.
+    return RU.rule_hits(v.messages, RU.flatten_rules(_sentence_rules(v))).select("msg_id", "rule_id")
+
+
+def _sentence_rules(v: Views) -> DataFrame:
+    """One expression per sentence of an item, its words with any space between them, and one that does not compile."""
     sentence = F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), r"\. ")
     escaped = F.transform(sentence, lambda s: F.regexp_replace(s, r"([.\\+*?\[^\]$(){}=!<>|:\-#,])", r"\\$1"))
     expression = F.transform(escaped, lambda s: F.concat(F.lit("regex:"), F.replace(s, F.lit(" "), F.lit(r"\s+"))))
-    rules = v.table("benchmark").select(
+    return v.table("benchmark").select(
         F.col("item_id").alias("rule_order"), F.concat(F.lit("word.item_"), "item_id").alias("rule_id"),
         F.lit("words").alias("family"), F.lit("Two words").alias("desc"), F.lit("two_words").alias("message_key"),
         F.lit(1).alias("severity"), F.lit(None).cast("string").alias("emits_signal"),
         F.create_map(F.lit("uz_latn"), F.array_append(expression, F.lit("regex:([unclosed"))).alias("match"),
     )
-    return RU.rule_hits(v.messages, RU.flatten_rules(rules)).select("msg_id", "rule_id")
+
+
+@query(
+    "regex_rule_hits_large_pack",
+    f"""
+    WITH r AS (SELECT 'word.item_' || item_id AS rule_id, unnest(string_split({norm("text")}, '. ')) AS s FROM benchmark
+               UNION ALL SELECT 'order.' || o_orderkey, lower(o_orderstatus || ' ' || o_orderkey) FROM orders)
+    SELECT DISTINCT msg_id, rule_id FROM normal JOIN r ON contains(normalized, s)""",
+    ("normal",),
+)
+def _(v: Views) -> DataFrame:
+    # One expression for each order besides the sentences; all of them meet the messages in one pass.
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("regex:"), F.lower("o_orderstatus"), F.lit(r"\s+"), key)
+    orders = v.table("orders").select(
+        key.alias("rule_order"), F.concat(F.lit("order."), key).alias("rule_id"), F.lit("orders").alias("family"), F.lit("Order").alias("desc"),
+        F.lit("order").alias("message_key"), F.lit(1).alias("severity"), F.lit(None).cast("string").alias("emits_signal"),
+        F.create_map(F.lit("uz_latn"), F.array(text)).alias("match"),
+    )
+    rules = _sentence_rules(v).withColumn("rule_order", F.col("rule_order").cast("bigint")).unionByName(orders)
+    return RU.rule_hits(v.messages, RU.flatten_rules(rules), inline_limit=0).select("msg_id", "rule_id")
 
 
 @query(
@@ -609,6 +633,31 @@ def _named(v: Views) -> dict[str, DataFrame]:
     }
 
 
+def _large_catalog(v: Views) -> dict[str, DataFrame]:
+    """The catalog with a brand for every order and one for the first label of every page host, elsewhere at home."""
+    named, order = _named(v), F.concat(F.lit("shop"), "o_orderkey")
+    shops = v.table("orders").select(order.alias("brand"), F.concat(order, F.lit(".example")).alias("domain"))
+    label = F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("."), F.lit(1))
+    hosts = v.table("pages").select(label.alias("brand"), F.concat(label, F.lit(".uz")).alias("domain")).filter(F.length("brand") > 4).distinct()
+    return {**named, "brands": named["brands"].unionByName(shops).unionByName(hosts)}
+
+
+_URL_DOMAIN_SQL = r"regexp_replace(split_part(url, '/', 3), '^www\.', '')"
+#: Labels of the first (raw) and the second (plain) link of each link message under the large catalog.
+_LARGE_LABELS_SQL = f"""{_BRANDS_SQL.replace("FROM pages WHERE contains(url, '://www.'))),", f"""FROM pages WHERE contains(url, '://www.'))
+      UNION ALL SELECT 'shop' || o_orderkey, 'shop' || o_orderkey || '.example' FROM orders
+      UNION ALL SELECT DISTINCT b, b || '.uz' FROM (SELECT split_part(split_part(url, '/', 3), '.', 1) AS b FROM pages) WHERE length(b) > 4),""")},
+    page_doms AS (SELECT DISTINCT {_URL_DOMAIN_SQL} AS domain, FALSE AS mixed FROM pages),
+    {_LIKE_SQL.replace("FROM doms)", "FROM (SELECT * FROM doms UNION SELECT * FROM page_doms))")},
+    two AS (SELECT msg_id, {_DOMAIN_SQL} AS d1, msg_id % 8 AS m, {_URL_DOMAIN_SQL} AS d2 FROM links),
+    labels AS (SELECT msg_id, m,
+      CASE WHEN m = 2 THEN NULL WHEN m = 3 THEN 'ip-address' WHEN m = 4 THEN 'shortened' WHEN d1 IN (SELECT domain FROM likes) THEN 'lookalike-domain'
+        WHEN len(list_filter(string_split(d1, '.')[1:-3], lambda l: l IN ('uz', 'com', 'net', 'org', 'ru'))) > 0 THEN 'domain-in-subdomain'
+        WHEN m = 7 THEN 'mixed-script-domain' END AS raw_label,
+      CASE WHEN d2 IN (SELECT domain FROM likes) THEN 'lookalike-domain'
+        WHEN len(list_filter(string_split(d2, '.')[1:-3], lambda l: l IN ('uz', 'com', 'net', 'org', 'ru'))) > 0 THEN 'domain-in-subdomain' END AS url_label FROM two)"""
+
+
 @query(
     "merge_catalog",
     r"""
@@ -761,6 +810,36 @@ def _(v: Views) -> DataFrame:
     ).distinct()
 
 
+@query(
+    "sig_links_large_catalog",
+    f"""
+    WITH {_LARGE_LABELS_SQL}
+    SELECT DISTINCT msg_id, coalesce(CASE label WHEN 'shortened' THEN 'link_shortened' WHEN 'lookalike-domain' THEN 'link_lookalike'
+      WHEN 'mixed-script-domain' THEN 'link_lookalike' WHEN 'ip-address' THEN 'link_ip' END, 'link') AS kind, coalesce(label, '') AS note
+    FROM (SELECT msg_id, raw_label AS label FROM labels WHERE m <> 2 UNION ALL SELECT msg_id, url_label FROM labels)""",
+    ("links",),
+)
+def _(v: Views) -> DataFrame:
+    rows = linkage.with_link_labels(v.link_messages, _large_catalog(v), limit=0)
+    found = F.explode_outer(S.link_signals(F.col("text"), L.LinkLabels(F.col("link_labels")))).alias("s")
+    return rows.select("msg_id", found).filter("s is not null").select(
+        "msg_id", "s.kind", F.coalesce("s.note", F.lit("")).alias("note")
+    ).distinct()
+
+
+@query(
+    "minimize_strict_large_catalog",
+    f"""
+    WITH {_LARGE_LABELS_SQL}
+    SELECT msg_id, 'See ' || coalesce('[LINK: ' || raw_label || ']', '[LINK]') || ', then ' || coalesce('[LINK: ' || url_label || ']', '[LINK]')
+      || ' or write to [EMAIL].' AS minimized FROM labels""",
+    ("links",),
+)
+def _(v: Views) -> DataFrame:
+    rows = linkage.with_link_labels(v.link_messages, _large_catalog(v), limit=0)
+    return rows.select("msg_id", R.minimize_strict(F.col("text"), L.LinkLabels(F.col("link_labels"))).alias("minimized"))
+
+
 STRUCTURAL_SQL = " UNION ALL ".join(
     f"SELECT msg_id, {quoted(kind)} AS kind, '' AS note FROM messages WHERE regexp_matches(text, {quoted(edge(p))})"
     for kind, p in (
@@ -772,7 +851,7 @@ STRUCTURAL_SQL = " UNION ALL ".join(
 
 @query("structural_signals", STRUCTURAL_SQL, ("messages", "normal", "rule_hits"))
 def _(v: Views) -> DataFrame:
-    return v.signalled.select("msg_id", F.explode("signals").alias("s")).select(
+    return v.signalled.select("msg_id", F.explode_outer("signals").alias("s")).filter("s is not null").select(
         "msg_id", "s.kind", F.coalesce("s.note", F.lit("")).alias("note")
     )
 
@@ -922,7 +1001,8 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     screened = screen(v.messages, v.patterns)
     return (
-        screened.select(F.coalesce("language", F.lit("none")).alias("language"), F.explode("hits").alias("h"))
+        screened.select(F.coalesce("language", F.lit("none")).alias("language"), F.explode_outer("hits").alias("h"))
+        .filter("h is not null")
         .groupBy("language", F.col("h.family").alias("family"))
         .agg(F.count("*").alias("hits"), F.max("h.severity").alias("max_severity"))
     )

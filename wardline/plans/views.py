@@ -52,7 +52,9 @@ class Views:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return read_messages(self.spark, self.path)
+        """The corpus; ``spark.wardline.partitions`` deals it over so many tasks where its files cannot be split."""
+        partitions = self.spark.conf.get("spark.wardline.partitions", None)
+        return read_messages(self.spark, self.path, partitions=int(partitions) if partitions else None)
 
     # --- rules and cards from the benchmark items ------------------------------------------------
     @cached_property

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-
 def as_timestamp(ts: Column) -> Column:
     """Parquet times without a zone are UTC; the session zone has to be UTC as well."""
     return ts.cast("timestamp")
@@ -53,17 +52,19 @@ def read_messages(
     spark: SparkSession,
     path: str,
     tables: tuple[str, ...] = ("documents", "conversations"),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Message table from the corpus tables under ``path``; only the needed columns are read.
 
-    Ids are text: a letter for the table, then its key.
+    Ids are text: a letter for the table, then its key. ``partitions`` deals the messages over that many tasks by a hash
+    of their ids, for files that cannot be split; without it every file block is a task and nothing is shuffled.
     """
     merged = None
     for name in tables:
         table = spark.read.parquet(f"{path}/{name}.parquet")
         part = _ADAPTERS[name](table)
         merged = part if merged is None else merged.unionByName(part)
-    return merged
+    return merged if partitions is None else merged.repartition(partitions, "msg_id")
 
 
 def read_message_stream(
@@ -82,8 +83,8 @@ def read_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Event rows of a table written by ``write_events``; a window prunes day folders."""
-    events = spark.read.parquet(path)
+    """Valid event rows of a table written by ``write_events``; a window prunes day folders."""
+    events = spark.read.parquet(path).filter("verdict = 'valid'").drop("verdict", "reason", "batch")
     if since is not None:
         events = events.filter(
             (F.col("day") >= F.lit(since).cast("date")) & (F.col("ts") >= F.lit(since).cast("timestamp"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.operators.events import validate_events
+from wardline.operators.common import first_failure, routed
+from wardline.operators.events import event_checks
 
 METRIC_KEYS = (
     "checks_total", "checks_completed", "completion_rate", "activated_users", "activation_rate",
@@ -14,16 +15,14 @@ METRIC_KEYS = (
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", parts_per_day: int = 8) -> DataFrame:
-    """Writes the rows that keep the contract under ``day=`` folders and returns the others.
+    """Writes events under ``verdict=`` and ``day=`` folders in one pass and returns those that break the contract.
 
-    Rows are spread by day and a hash of the id, so a busy day is several tasks and files.
+    ``read_events`` reads the valid ones. Rows are spread by day and a hash of the id, so a busy day is several tasks and
+    files.
     """
-    parts = validate_events(events)
-    dated = parts["valid"].withColumn("day", F.to_date("ts")).withColumn(
-        "_part", F.pmod(F.xxhash64("id"), F.lit(parts_per_day))
-    )
-    dated.repartition("day", "_part").drop("_part").write.mode(mode).partitionBy("day").parquet(path)
-    return parts["quarantine"]
+    dated = events.withColumn("day", F.to_date("ts"))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts_per_day))
+    return routed(dated, first_failure(event_checks()), path, folders=("day",), mode=mode, spread=(part,))["quarantine"].drop("day")
 
 
 def metrics_long(summary: DataFrame) -> DataFrame:

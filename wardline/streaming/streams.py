@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wardline import fixed_values as V
 from wardline.operators.alerts import availability_windows, paged_errors, traffic_windows
@@ -18,6 +18,12 @@ from wardline.operators.linkage import upsert_blocklist
 from wardline.plans.screening import screen
 
 WATERMARK = "10 minutes"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Sets the state store that the debouncing and quota streams need; running queries keep theirs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
 #: Trigger options of a job that ends when everything that is there now is processed.
@@ -43,10 +49,19 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
+def screened_stream(messages: DataFrame, patterns: DataFrame, **packs) -> DataFrame:
+    """Arriving messages with what :func:`wardline.plans.screening.screen` adds, as an append plan without state.
+
+    For :func:`start`, whose file sink commits every batch once. Packs, cards, catalog and blocklist have to be of the
+    sizes that sit in a plan or are joined as static tables; beyond, :func:`screen_stream` screens batch by batch.
+    """
+    return screen(messages, patterns, **packs)
+
+
 def screen_stream(
     messages: DataFrame, patterns: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **packs
 ) -> StreamingQuery:
-    """Starts screening arriving messages with the batch plan: rule hits, signals, and blocklist hits if a list is given.
+    """Starts screening arriving messages batch by batch, with packs of any size.
 
     A replayed batch overwrites its own folder.
     """
@@ -78,59 +93,99 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", watermark: str =
     )
 
 
-def debounce_stream(errors: DataFrame, debounce_seconds: int = V.ALERT_DEBOUNCE_SECONDS) -> DataFrame:
-    """Alerts sent per (stage, error_type); the state is the time of the last one sent."""
-    gap = debounce_seconds * 1_000_000
+class _Debounce(StatefulProcessor):
+    """State of a key: the time of the last alert sent."""
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = pd.concat([b["t"] for b in batches]).sort_values().unique()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Of each chunk only the distinct times are held, as plain numbers.
+        times = np.unique(np.concatenate([np.unique(chunk["t"].to_numpy()) for chunk in rows]))
+        stand = self.last.get()
+        at = 0 if stand is None else int(np.searchsorted(times, stand[0] + self.gap))
         sent = []
-        for t in times:
-            if last is None or t - last >= gap:
-                last = int(t)
-                sent.append(last)
-        if last is not None:
-            state.update((last,))
+        while at < len(times):
+            sent.append(int(times[at]))
+            at = int(np.searchsorted(times, times[at] + self.gap))
+        if sent:
+            self.last.update((sent[-1],))
         yield pd.DataFrame({"stage": key[0], "error_type": key[1], "t": sent})
 
+    def close(self) -> None:
+        pass
+
+
+def debounce_stream(errors: DataFrame, debounce_seconds: int = V.ALERT_DEBOUNCE_SECONDS) -> DataFrame:
+    """Alerts sent per (stage, error_type); the state is the time of the last one sent, kept in RocksDB.
+
+    The session needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider, see ``rocksdb_state``.
+    """
     times = paged_errors(errors).select("stage", "error_type", F.unix_micros("ts").alias("t"))
-    return (
-        times.groupBy("stage", "error_type")
-        .applyInPandasWithState(
-            step, "stage string, error_type string, t long", "last long", "append",
-            GroupStateTimeout.NoTimeout,
-        )
-        .select("stage", "error_type", F.timestamp_micros("t").alias("ts"))
+    sent = times.groupBy("stage", "error_type").transformWithStateInPandas(
+        _Debounce(debounce_seconds * 1_000_000), "stage string, error_type string, t long", "append", "none"
     )
+    return sent.select("stage", "error_type", F.timestamp_micros("t").alias("ts"))
+
+
+class _Quota(StatefulProcessor):
+    """State of a user and day: billable checks so far. A timer at the end of the day drops it."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Checks in order of (t, id). The last place still free decides; the places only move forward as chunks come in.
+
+        Rows behind the last free place are refused and leave at once; of those before it only ids and times are held.
+        """
+        stand = self.used.get()
+        used = stand[0] if stand is not None else 0
+        free, billed, held = max(self.limit - used, 0), 0, None
+        for chunk in rows:
+            billed += int(chunk["billable"].sum())
+            chunk = chunk[["t", "id", "billable"]]
+            held = chunk if held is None else pd.concat([held, chunk])
+            held = held.sort_values(["t", "id"])
+            before = held["billable"].to_numpy().cumsum() - held["billable"].to_numpy()
+            refused = held[before >= free]
+            held = held[before < free]
+            if len(refused):
+                yield pd.DataFrame({"id": refused["id"], "user_key": key[0], "admitted": False})
+        self.used.update((used + billed,))
+        if stand is None:
+            day_end = (pd.Timestamp(key[1]) + pd.Timedelta(days=1)).value // 1_000_000
+            self.handle.registerTimer(max(day_end, timerValues.getCurrentWatermarkInMs() + 1))
+        if held is not None and len(held):
+            yield pd.DataFrame({"id": held["id"], "user_key": key[0], "admitted": True})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.used.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def quota_stream(events: DataFrame, limit: int = V.DAILY_LIMIT, watermark: str = WATERMARK) -> DataFrame:
-    """(id, user_key, admitted); the state counts the billable checks of a user and day.
+    """(id, user_key, admitted); the state counts the billable checks of a user and day, kept in RocksDB.
 
-    The state of a day is dropped once the watermark has passed its end.
+    A timer drops the state of a day once the watermark has passed its end; rows later than the watermark are dropped.
     """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        before = used + rows["billable"].astype("int64").cumsum() - rows["billable"].astype("int64")
-        state.update((int(used + rows["billable"].sum()),))
-        day_end = (pd.Timestamp(key[1]) + pd.Timedelta(days=1)).value // 1_000_000
-        state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": rows["id"], "user_key": key[0], "admitted": before < limit})
-
     keyed = events.withWatermark("ts", watermark).select(
         "id", "user_key", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts",
         F.unix_micros("ts").alias("t"),
-        F.col("status").isin(*V.BILLABLE_STATUSES).alias("billable"),
+        F.coalesce(F.col("status").isin(*V.BILLABLE_STATUSES), F.lit(False)).cast("int").alias("billable"),
     )
-    return keyed.groupBy("user_key", "day").applyInPandasWithState(
-        step, f"id {events.schema['id'].dataType.simpleString()}, user_key string, admitted boolean",
-        "used long", "append", GroupStateTimeout.EventTimeTimeout,
+    return keyed.groupBy("user_key", "day").transformWithStateInPandas(
+        _Quota(limit), f"id {events.schema['id'].dataType.simpleString()}, user_key string, admitted boolean", "append", "eventTime"
     )
 
 
