@@ -90,12 +90,19 @@ def test_estimate_of_phrase_similarity():
 
 
 def test_phrases_and_hashes():
-    seen = {}
-    assert phrases.parsed(seen, b"aababcabcd", 0, 0) == 10 and list(seen) == [b"a", b"ab", b"abc", b"abcd"]
+    seen, fresh = set(), []
+    assert phrases.parsed(seen, fresh, b"aababcabcd", 0, 0) == 10 and fresh == [b"a", b"ab", b"abc", b"abcd"] and seen == set(fresh)
     long = "x" * 50_000
     assert len(phrase_set(long)) == len(text_signature(long, 10_000))  # phrases of up to 316 bytes, no two hashes alike
     assert list(text_signature("")) == [] and likeness(text_signature(""), text_signature("")) == 1.0
     assert likeness(text_signature(""), text_signature("a")) == 0.0
+    for text in ("", "a", long, prose(random.Random(1), 300)):
+        sig = text_signature(text)
+        assert list(phrases._from_hex(phrases._hex(sig))) == list(sig)
+    whole = [set(map(int, text_signature(prose(random.Random(k), 300), 10**6))) for k in (1, 2)]
+    least = sorted(whole[0] | whole[1])[:128]
+    exact = len(whole[0] & whole[1] & set(least)) / 128
+    assert likeness(*(text_signature(prose(random.Random(k), 300)) for k in (1, 2))) == exact
 
 
 def test_fingerprints_of_a_table(awkward, nothing):

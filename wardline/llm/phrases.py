@@ -9,6 +9,7 @@ are the fingerprint, and the likeness of two fingerprints estimates the Jaccard
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,46 +17,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from wardline.llm.shared import mixed, written
+from wardline.llm.shared import written
 
 SIZE = 128
-#: Odd multipliers for the bytes of a phrase, by their place in it; longer phrases go on with a longer table.
-_BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, dtype=np.uint64)
 
 
-def _power_table(length: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < length:
-        steps = np.full(max(256, 2 * length), _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
-
-
-def parsed(seen: dict[bytes, None], data: bytes, start: int, stop: int) -> int:
-    """Goes on parsing ``data`` behind ``stop`` with a phrase open at ``start``; new phrases go into ``seen`` in order.
+def parsed(seen: set[bytes], fresh: list[bytes], data: bytes, start: int, stop: int) -> int:
+    """Goes on parsing ``data`` behind ``stop`` with a phrase open at ``start``; new phrases go into ``seen`` and ``fresh``.
 
     Returns the start of the phrase that is open at the end; it is a known one and adds nothing.
     """
+    add, append = seen.add, fresh.append
     for end in range(stop + 1, len(data) + 1):
-        phrase = data[start:end]
-        if phrase not in seen:
-            seen[phrase] = None
+        if (phrase := data[start:end]) not in seen:
+            add(phrase)
+            append(phrase)
             start = end
     return start
 
 
-def signature(seen: dict[bytes, None], size: int = SIZE) -> np.ndarray:
-    """The smallest distinct hashes of the phrases, sorted."""
-    if not seen:
-        return np.empty(0, dtype=np.uint32)
-    lengths = np.fromiter(map(len, seen), dtype=np.int64, count=len(seen))
-    ends = np.cumsum(lengths)
-    data = np.frombuffer(b"".join(seen), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    places = np.arange(len(data)) - np.repeat(ends - lengths, lengths)
-    sums = np.add.reduceat(data * _power_table(int(lengths.max()))[places], ends - lengths)
-    return np.unique((mixed(sums) >> np.uint64(32)).astype(np.uint32))[:size]
+def hashes(phrases: list[bytes]) -> np.ndarray:
+    """Sorted 32-bit hashes of phrases: checksums, spread by a bijection."""
+    x = np.fromiter(map(zlib.crc32, phrases), dtype=np.uint32, count=len(phrases))
+    for shift in (16, 15):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(0x9E3779B1)  # odd, from the golden ratio
+    x ^= x >> np.uint32(16)
+    x.sort()
+    return x
+
+
+def smallest(x: np.ndarray, size: int) -> np.ndarray:
+    """The smallest distinct numbers of a sorted array."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])][:size] if len(x) else x
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
@@ -63,26 +57,35 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
 
     When both signatures are below ``size`` they are the whole sets and so all of their hashes count.
     """
-    together = np.union1d(a, b)
-    if max(len(a), len(b)) >= size:
-        together = together[:size]
-    if not len(together):
+    both = np.concatenate([a, b])
+    both.sort()
+    again = np.concatenate([[False], both[1:] == both[:-1]]) if len(both) else np.empty(0, dtype=bool)
+    distinct = len(both) - int(again.sum())
+    if not distinct:
         return 1.0
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), together, assume_unique=True)) / len(together)
+    if max(len(a), len(b)) >= size and distinct > size:
+        # The first ``size`` distinct numbers end where the count of first occurrences says.
+        end = int(np.searchsorted(np.cumsum(~again), size + 1))
+        return int(again[:end].sum()) / size
+    return int(again.sum()) / distinct
 
 
 def text_signature(text: str | None, size: int = SIZE) -> np.ndarray:
-    seen: dict[bytes, None] = {}
-    parsed(seen, (text or "").encode(), 0, 0)
-    return signature(seen, size)
+    fresh: list[bytes] = []
+    parsed(set(), fresh, (text or "").encode(), 0, 0)
+    return smallest(hashes(fresh), size)
 
 
-def _stored(sig: np.ndarray) -> bytes:
-    return sig.astype(">u4").tobytes()
+def _hex(sig: np.ndarray) -> str:
+    return _stored(sig).hex()
+
+
+def _from_hex(digits: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(digits), dtype=">u4").astype(np.uint32)
 
 
-def _loaded(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, dtype=">u4").astype(np.uint32)
+def _stored(sig: np.ndarray) -> bytes:
+    return sig.astype(">u4").tobytes()
 
 
 def fingerprint_documents(documents: DataFrame, column: str = "text", size: int = SIZE) -> DataFrame:
@@ -95,7 +98,7 @@ def fingerprint_documents(documents: DataFrame, column: str = "text", size: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [_stored(text_signature(t.as_py(), size)).hex() for t in batch[column]]
+            prints = [_hex(text_signature(t.as_py(), size)) for t in batch[column]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
     return rows.mapInArrow(work, schema)
@@ -108,7 +111,7 @@ def likeness_of(left: Column, right: Column, size: int = SIZE) -> Column:
     def compare(a, b):
         import pandas as pd
 
-        return pd.Series([likeness(_loaded(bytes.fromhex(x)), _loaded(bytes.fromhex(y)), size) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([likeness(_from_hex(x), _from_hex(y), size) for x, y in zip(a, b)], dtype="float64")
 
     return compare(left, right)
 
@@ -116,17 +119,22 @@ def likeness_of(left: Column, right: Column, size: int = SIZE) -> Column:
 def _with_follower(text: str, follower: str, size: int) -> tuple[np.ndarray, np.ndarray, str]:
     """Signatures of a text and of it with its last third replaced by the follower's start, and the edited text's digest.
 
-    Both share the parse of the first two thirds.
+    Both share the parse and the hashes of the first two thirds.
     """
     third = len(text) // 3
     head = text[: len(text) - third].encode()
     edited = head + follower[:third].encode()
-    seen: dict[bytes, None] = {}
-    start = parsed(seen, head, 0, 0)
-    other = dict(seen)
-    parsed(seen, text.encode(), start, len(head))
-    parsed(other, edited, start, len(head))
-    return signature(seen, size), signature(other, size), hashlib.sha256(edited).hexdigest()
+    seen: set[bytes] = set()
+    fresh: list[bytes] = []
+    start = parsed(seen, fresh, head, 0, 0)
+    shared, signatures = smallest(hashes(fresh), size), []
+    for phrases, data in ((seen.copy(), text.encode()), (seen, edited)):
+        fresh = []
+        parsed(phrases, fresh, data, start, len(head))
+        every = np.concatenate([shared, hashes(fresh)])
+        every.sort()
+        signatures.append(smallest(every, size))
+    return *signatures, hashlib.sha256(edited).hexdigest()
 
 
 _FIELDS = [
@@ -187,7 +195,7 @@ def edited_neighbours(documents: DataFrame, size: int = SIZE) -> DataFrame:
             out = [] if waiting is None else [_judged(*waiting, text_signature(held[1], size), size)]
             yield _batch([*out, (*held[0], len(held[1]), *[None] * 5, held[1], first)], target)
 
-    walked = written(ranged.mapInArrow(walk, schema), "walked")
+    walked = written(ranged.mapInArrow(walk, schema), "walked", codec="zstd")
     # The last document of each task meets the first text of the next task that has any, the very last one the very first.
     ends = walked.filter("first_text is not null")
     parts = ends.select("part")  # one number a task
@@ -205,6 +213,5 @@ def edited_neighbours(documents: DataFrame, size: int = SIZE) -> DataFrame:
 
     closing_columns = closing.columns
     whole = walked.filter("first_text is null").unionByName(closing.mapInArrow(close, schema))
-    return whole.select(
-        "doc_id", "n_chars", "edited_sha256", *[F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next",
-    )
+    prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return whole.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
