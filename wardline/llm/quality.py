@@ -1,7 +1,8 @@
 """Quality rules and quality classifier: boosted trees over document statistics.
 
 Both learn ``labels.quality`` from at most ``sample`` labelled rows (a documented bound: those of smallest id hash among
-the rows whose crc32(doc_id) mod 5 is not 0) and score every whole text in the task that reads it; nothing is shuffled.
+the rows whose crc32(doc_id) mod 5 is not 0) and score every whole text in the task that reads it; only ids and labels
+are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import boosting
-from wardline.llm.shared import byte_texts, hash_share, held_out, map_batches, training_row
+from wardline.llm.shared import byte_texts, hash_share, held_out, map_batches, training_row, written
 from wardline.llm.statistics import COUNTS, FEATURES, batch_statistics
 
 SAMPLE = 20_000
@@ -23,19 +24,19 @@ LEAST_SCORE = 0.5
 def training_matrix(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and quality of at most ``sample`` labelled training documents; no text reaches the driver.
 
-    A document with contradicting labels is left out. Of rows with the same id the statistics of each count.
+    A document with contradicting labels is left out. Of rows with the same id the statistics of each count. Label rows
+    that are held out, have no quality or name no document do not count, however many they are.
     """
-    known = (
+    usable = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"))
         .filter(training_row(F.col("_id")) & F.col("_quality").isin(0, 1))
-        .filter(hash_share(F.xxhash64("_id"), sample, labels.count()))
         .groupBy("_id")
         .agg(F.min("_quality").alias("_quality"), F.max("_quality").alias("_other"))
         .filter(F.col("_quality") == F.col("_other"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(sample)
-        .select("_id", "_quality")
+        .join(documents.select(F.col("doc_id").alias("_id")).filter(training_row(F.col("_id"))), "_id", "left_semi")
     )
+    usable = written(usable.select("_id", "_quality"), "labels")
+    known = usable.filter(hash_share(F.xxhash64("_id"), sample, usable.count())).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = documents.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(known), "_id")  # at most sample rows
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
@@ -84,7 +85,10 @@ def judge_quality(documents: DataFrame, model: boosting.Forest, least: float = L
 
 
 def keep_quality(documents: DataFrame, model: boosting.Forest, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows that the rules keep, with all their columns, whatever these are named."""
+    """The rows that the rules keep, with all their columns, whatever these are named.
+
+    Null and empty texts fail. Repeated rows are judged alike, null ids like others. An empty table gives no rows.
+    """
     schema = documents.schema
     at = documents.columns.index("text")
 
