@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wardline.llm.shared import hash_share, held_out, map_batches, training_row
 
 SAMPLE = 400
+MOST = 200  # languages, each a dictionary in every worker
 PIECE = 600
 LEVEL = 9
 #: Short texts are compressed with more search, as single bytes decide.
@@ -35,16 +36,19 @@ def letter_runs(text: str) -> bytes:
     return f" {' '.join(_LETTERS.findall(text.lower()))} ".encode()
 
 
-def learn_languages(documents: DataFrame, sample: int = SAMPLE, piece: int = PIECE) -> dict[str, bytes]:
+def learn_languages(documents: DataFrame, sample: int = SAMPLE, piece: int = PIECE, most: int = MOST) -> dict[str, bytes]:
     """Dictionary content by language, most frequent first, from text and lang of training rows; empty without such rows.
 
     Of each language the ``sample`` rows of smallest hash count, each with at most ``piece`` characters from a place that
-    its hash chooses; only these pieces are shuffled and reach the driver.
+    its hash chooses; only these pieces are shuffled and reach the driver. More than ``most`` languages are an error: then
+    the column holds something else, and none is left out silently.
     """
     rows = documents.filter(training_row(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     spot = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("order"), F.substring("text", spot, F.lit(piece)).alias("piece"))
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
+    if len(often) > most:
+        raise ValueError(f"lang holds more than {most} values; clean it or raise ``most``")
     rows = rows.filter(_any([(F.col("lang") == r["lang"]) & hash_share(F.col("order"), sample, r["count"]) for r in often]))
     first = W.partitionBy("lang").orderBy("order", "piece")
     chosen = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= sample).orderBy("lang", "at").collect()
