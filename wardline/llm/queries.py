@@ -52,7 +52,8 @@ def op5_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))  # the digest's own rule; keep_one_of_each keeps one row
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 @query
