@@ -1,11 +1,12 @@
 """Licence scan: a trained paragraph classifier whose findings are confirmed by comparison with templates.
 
-Paragraphs are lines. A softmax regression over hashed word unigrams and bigrams tells licence families from ordinary
-prose. It is trained here from the templates, varied and set into prose, and from at most ``SAMPLE`` prose lines of the
-corpus (a documented bound). Held-out prose calibrates the least probability of a family. A paragraph that reaches it is
-confirmed when it holds enough of the word pairs of one of the family's templates; otherwise it is an unknown licence. A notice wrapped over several lines is found by
-comparison alone: in runs of lines with words (comment marks are no words) the shortest groups that hold enough of a
-template's word pairs, within ``SPREAD`` times its length, those across line ends included.
+Paragraphs are lines and, for notices wrapped over several of them, groups of lines. A softmax regression over hashed word
+unigrams and bigrams tells licence families from ordinary prose. It is trained here from the templates, varied and set into
+prose, and from at most ``SAMPLE`` prose lines of the corpus (a documented bound). Prose it was not fitted on calibrates the
+least probability of a family. A line that reaches it is confirmed when it holds enough of the word pairs of one of the
+family's templates; otherwise it is an unknown licence. In runs of lines with words (comment marks are no words) the shortest
+groups that hold enough of a template's word pairs, within ``SPREAD`` times its length, those across line ends included, go
+through the classifier like lines and count when it takes them for a licence of that family.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm.shared import byte_texts, hash_share, map_batches, mixed
 
-SAMPLE = 2000
+SAMPLE = 7000
+FITTED = 1400  # prose lines that the weights are fitted on; the others calibrate the threshold
+LINE_CHARS = 4000  # of a sampled line; lines that are scanned are never cut
 BITS = 16
 COVER = 0.6  # share of a template's word pairs that a paragraph must hold
 SPREAD = 2  # words of a group of lines, as a multiple of the template's words, within which its pairs must lie
@@ -111,21 +114,23 @@ class Classifier:
         return total / total.sum(axis=1, keepdims=True)
 
 
-def prose_sample(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most ``sample`` lines of prose: one line, at a place its hash chooses, of each document of smallest hash."""
+def prose_sample(documents: DataFrame, sample: int = SAMPLE, chars: int = LINE_CHARS) -> list[str]:
+    """At most ``sample`` lines of prose, of each the first ``chars`` characters: one line, at a place its hash chooses, of
+    each document of smallest hash."""
     rows = documents.select(F.xxhash64("doc_id", "text").alias("order"), F.split("text", "\n").alias("lines")).filter("lines is not null")
     line = F.get("lines", F.pmod("order", F.size("lines").cast("long")).cast("int"))
-    rows = rows.select("order", F.substring(line, 1, 4000).alias("line"))  # of the training lines only
+    rows = rows.select("order", F.substring(line, 1, chars).alias("line"))
     rows = rows.filter(hash_share(F.col("order"), sample, documents.count()))
     return [r["line"] for r in rows.orderBy("order", "line").limit(sample).collect()]
 
 
 def train(prose: list[str], rounds: int = 120, rate: float = 1.0, seed: int = 7) -> Classifier:
-    """Softmax regression by adaptive gradient steps; every third prose line is held out to calibrate the threshold."""
+    """Softmax regression by adaptive gradient steps; prose lines beyond ``FITTED``, a third at least, calibrate the threshold."""
     chance = random.Random(seed)
     cues = re.compile(r"licen[sc]e|copyright|rights reserved|public domain", re.IGNORECASE)
     plain = [p.encode() for p in prose if not cues.search(p)] or [b"an ordinary line of prose", b"another one"]
-    fitted, spared = [p for k, p in enumerate(plain) if k % 3], plain[::3]
+    fit = min(FITTED, len(plain) - -(-len(plain) // 3))
+    fitted, spared = plain[:fit], plain[fit:]
     rows: list[list[bytes]] = [words_of(p) for p in fitted]
     kinds = [0] * len(rows)
     for k, family in enumerate(FAMILIES, 1):
@@ -226,13 +231,21 @@ def wrapped(run: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, str]]:
     return groups
 
 
-def _with_wrapped(found: list[tuple[int, str]], lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, str]]:
-    """The hits of single lines and, at their first line, of wrapped notices; a line within one is no longer unknown."""
+def _with_wrapped(found: list[tuple[int, str]], lines: list[tuple[int, list[bytes]]], classifier: Classifier) -> list[tuple[int, str]]:
+    """The hits of single lines and, at their first line, of wrapped notices; a line within one is no longer unknown.
+
+    A group of lines that may hold a template is a paragraph of its own: the classifier has to take it for a licence, with
+    the family among its two likeliest, and the template confirms it.
+    """
     start = 0
     for end in range(1, len(lines) + 1):
         if end < len(lines) and lines[end][0] == lines[end - 1][0] + 1:
             continue
-        for first, last, family in wrapped(lines[start:end]) if end - start > 1 else ():
+        groups = wrapped(lines[start:end]) if end - start > 1 else []
+        grams = [_grams([w for k, words in lines[start:end] if first <= k <= last for w in words]) for first, last, _ in groups]
+        for (first, last, family), p in zip(groups, classifier.probabilities(grams) if groups else (), strict=True):
+            if 1 - p[0] < classifier.least or family not in {FAMILIES[f] for f in np.argsort(-p[1:], kind="stable")[:2]}:
+                continue
             if not any(first <= k <= last and f == family for k, f in found):
                 found = [(k, f) for k, f in found if f != "unknown" or not first <= k <= last] + [(first, family)]
             else:
@@ -262,7 +275,7 @@ def scan_licenses(documents: DataFrame, classifier: Classifier) -> DataFrame:
                     ranked = np.argsort(-p[at, 1:], kind="stable")[:2].tolist()
                     family = next((FAMILIES[f] for f in ranked if confirmed(words, FAMILIES[f])), "unknown")
                     found.append((k, family))
-                found = _with_wrapped(found, lines)
+                found = _with_wrapped(found, lines, classifier)
             families.append(",".join(sorted({f for _, f in found if f != "unknown"})))
             hits.append(",".join(f"{k}:{f}" for k, f in found))
             unknown.append(sum(f == "unknown" for _, f in found))
