@@ -50,7 +50,7 @@ def _places(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
 
 
 _ALPHABET = "string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', '')"
-_ALLOWED = " OR ".join(f"regexp_matches(m, {_quoted(a)})" for a in secrets.ALLOWED if "\\1" not in a)
+_ALLOWED = " OR ".join(f"regexp_matches(m, {_quoted(a)})" for a in secrets.ALLOWED[:3])
 _W, _T = secrets.WINDOW, secrets.THRESHOLDS
 _SUM = f"list_sum(list_transform(list_distinct(string_split(win, '')), lambda c: ({_W} - length(replace(win, c, ''))) * log2({_W} - length(replace(win, c, '')))))"
 
@@ -58,9 +58,10 @@ SECRETS = f"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
       base AS ({' UNION ALL '.join(f"SELECT * FROM {_places(k, r, p, *secrets.LEAST[k])}" for r, (k, p) in enumerate(secrets.KINDS.items()))}),
       cand AS (SELECT * FROM {_places("entropy", len(secrets.KINDS), secrets.CANDIDATE, 0, _W)}
-               WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({_ALLOWED})
-                 AND len(list_filter({_ALPHABET}, lambda c: contains(m, repeat(c, 6)))) = 0),
-      wins AS (SELECT doc_id, first, m, substr(m, j, {_W}) AS win FROM (SELECT *, unnest(range(1, length(m) - {_W} + 2)) AS j FROM cand)),
+               WHERE (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') OR regexp_full_match(m, '[A-Za-z]+')) AND NOT ({_ALLOWED})),
+      wins AS (SELECT doc_id, first, m, win FROM (
+                 SELECT doc_id, first, m, substr(m, j, {_W}) AS win FROM (SELECT *, unnest(range(1, length(m) - {_W} + 2)) AS j FROM cand))
+               WHERE NOT regexp_matches(win, {_quoted(secrets.ALLOWED[4])}) AND len(list_filter({_ALPHABET}, lambda c: contains(win, repeat(c, 6)))) = 0),
       high AS (SELECT doc_id, first, m, max(log2({_W}) - {_SUM} / {_W}) AS h FROM wins GROUP BY ALL),
       added AS (SELECT c.* FROM cand c JOIN high USING (doc_id, first)
                 WHERE h >= CASE WHEN regexp_full_match(c.m, '[0-9a-f]+|[0-9A-F]+') THEN {_T['hex']} ELSE {_T['mixed']} END

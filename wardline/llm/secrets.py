@@ -12,6 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.text import bind
+
 #: Kinds in order with their patterns. Letters of the words in either case.
 KINDS = {
     "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -39,6 +41,9 @@ _CUTS = (
     (r"(0)(12345678)(9)", "$1$2 $2$3"), (r"(?i)(q)(wertyu)(i)", "$1$2 $2$3"),
 )
 _CHUNK = 512
+#: Characters of a candidate; counts of ten of them share one number.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_PACK = 10
 
 
 def _running(parts: Column) -> Column:
@@ -83,29 +88,56 @@ def _parts(text: Column, kind: str, rank: int, pattern: str, group: int, least:
 
 
 def window_entropy(token: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy in bits of any ``window`` consecutive characters."""
+    """Highest Shannon entropy in bits of any ``window`` (at most 31) consecutive characters.
+
+    The counts of the window are kept up to date as it slides: one number holds those of ten characters of the alphabet,
+    five bits each. Characters outside the alphabet share one count.
+    """
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    chars = F.split(token, "")
-
-    def count(part: Column, c: Column) -> Column:
-        return F.size(part) - F.size(F.array_remove(part, c))
-
-    def step(acc: Column, i: Column) -> Column:
-        """acc: sum of c log c over the counts c of the window so far, and the highest entropy."""
-        full = i > window
-        before = F.slice(acc["chars"], F.greatest(F.lit(1), i - window), F.least(i - 1, F.lit(window)))
-        leaving = F.when(full, count(before, F.get(acc["chars"], i - window - 1))).otherwise(0)
-        kept = F.slice(acc["chars"], F.greatest(F.lit(1), i - window + 1), F.least(i - 1, F.lit(window - 1)))
-        entering = count(kept, F.get(acc["chars"], i - 1))
-        total = (
-            acc["sum"] + F.when(full, F.get(weight, leaving - 1) - F.get(weight, leaving)).otherwise(0.0)
-            + F.get(weight, entering + 1) - F.get(weight, entering)
-        )
-        high = F.when(i >= window, F.greatest(acc["high"], F.lit(math.log2(window)) - total / window)).otherwise(acc["high"])
-        return F.struct(acc["chars"].alias("chars"), total.alias("sum"), high.alias("high"))
-
-    start = F.struct(chars.alias("chars"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), start, step, lambda acc: acc["high"])
+    unit = F.array(*[F.lit(1 << (5 * k)).cast("long") for k in range(_PACK)])
+    places = F.transform(
+        F.split(token, ""), lambda c: F.when(F.instr(F.lit(_ALPHABET), c) > 0, F.instr(F.lit(_ALPHABET), c) - 1).otherwise(len(_ALPHABET))
+    )
+
+    def count(counts: Column, place: Column) -> Column:
+        # Division by a power of two is exact below 2 ** 53.
+        return F.pmod(F.floor(F.get(counts, F.floor(place / _PACK).cast("int")) / F.get(unit, place % _PACK)), F.lit(32)).cast("int")
+
+    def changed(counts: Column, place: Column, sign: int) -> Column:
+        pack, by = F.floor(place / _PACK).cast("int"), F.get(unit, place % _PACK) * sign
+        return F.transform(counts, lambda n, k: F.when(k == pack, n + by).otherwise(n))
+
+    def enter(acc: Column, place: Column) -> Column:
+        """acc: counts, sum of c log c over them, and the highest entropy."""
+        entering = count(acc["counts"], place)
+        total = acc["sum"] + F.get(weight, entering + 1) - F.get(weight, entering)
+        return F.struct(changed(acc["counts"], place, 1).alias("counts"), total.alias("sum"), acc["high"].alias("high"))
+
+    def leave(acc: Column, place: Column) -> Column:
+        leaving = count(acc["counts"], place)
+        total = acc["sum"] + F.get(weight, leaving - 1) - F.get(weight, leaving)
+        return F.struct(changed(acc["counts"], place, -1).alias("counts"), total.alias("sum"), acc["high"].alias("high"))
+
+    def highest(acc: Column) -> Column:
+        high = F.greatest(acc["high"], F.lit(math.log2(window)) - acc["sum"] / window)
+        return F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"), high.alias("high"))
+
+    def slide(acc: Column, i: Column) -> Column:
+        gone = bind(acc, lambda a: leave(a, F.get(places, i - window)))
+        return bind(bind(gone, lambda a: enter(a, F.get(places, i))), highest)
+
+    packs = len(_ALPHABET) // _PACK + 1
+    none = F.struct(F.array(*[F.lit(0).cast("long")] * packs).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("high"))
+
+    def over(places_once: Column) -> Column:
+        nonlocal places
+        places = places_once
+        first = F.aggregate(F.slice(places, 1, window), none, enter)
+        rest = F.sequence(F.lit(window), F.size(places) - 1)
+        slid = F.when(F.size(places) > window, F.aggregate(rest, bind(first, highest), slide)["high"])
+        return F.when(F.size(places) < window, 0.0).otherwise(F.coalesce(slid, bind(first, highest)["high"]))
+
+    return bind(places, over)
 
 
 def _suspicious(token: Column) -> Column:
