@@ -36,7 +36,9 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, .
     """source, source_size, target: ``share`` of all words by weight, no source above ``cap`` times its size.
 
     Expects columns source and size. Sources in order of code points, null last, take the weights in turn. The level at
-    which uncapped sources stand is found by running sums over sources ordered by cap per weight.
+    which uncapped sources stand is found by running sums over sources ordered by cap per weight. Null sizes count as
+    none, repeated rows count each, an empty table gives no rows. The windows run over one row a source in one task: fine
+    for the tens or thousands of sources of a mix, not for a source per document.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     order = W.orderBy(F.col("source").isNull(), "source")
