@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,14 @@ ROWS_PER_FILE = 100_000
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
 
+#: Folder of the step that is running, see ``passing``.
+_step: ContextVar[str | None] = ContextVar("step", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, only a local session gets one of its own."""
+    if (step := _step.get()) is not None:
+        return f"{step}/{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -27,16 +36,48 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/wardline-llm/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """The same rows, written once to the shared folder and read from there: lineage ends here.
 
     ``rows``, a bound known beforehand, keeps small tables from being strewn over many files.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
+    writer = (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write
+    (writer if codec is None else writer.option("compression", codec)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished plans now; else they stay until the driver happens to collect garbage."""
+    gc.collect()  # data frames that Python still holds keep their plans alive
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A step whose written tables are dropped when it ends; what it yields writes the step's result to stay.
+
+    Nothing that a caller goes on with may read the step's tables but through that result.
+    """
+    folder, outer = shared_folder(spark), _step.get()
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        mark = _step.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _step.reset(mark)
+
+    mark = _step.set(folder)
+    try:
+        yield put
+    finally:
+        _step.reset(mark)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        free_shuffles(spark)
+
+
 def identified(documents: DataFrame, column: str) -> DataFrame:
     """All rows and columns, and ``column``: null for rows with an id, else a number of the row, written so that it is stable."""
     unnamed = documents.filter("doc_id is null").withColumn(column, F.monotonically_increasing_id())
